@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,3 +63,28 @@ def _values(column: pa.Array) -> Iterator:
     """List columns as numpy arrays, without a Python object for each element."""
     for x in column:
         yield None if not x.is_valid else x.values.to_numpy(zero_copy_only=False)
+
+
+class TokenTable(dict):
+    """Rows of numbers by token, computed when a token is first met and kept in one array.
+
+    The table is emptied between two texts once it holds more than entries tokens.
+    """
+
+    def __init__(self, width: int, row: Callable[[str], object], entries: int = 400_000) -> None:
+        super().__init__()
+        self.row, self.entries, self.rows = row, entries, np.zeros((4096, width), np.float32)
+
+    def __missing__(self, token: str) -> int:
+        i = len(self)
+        if i == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[i] = self.row(token)
+        self[token] = i
+        return i
+
+    def look_up(self, tokens: list[str]) -> np.ndarray:
+        if len(self) > self.entries:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        return self.rows[at]
