@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, htmltext, langid, media, mixing, toxicity, warc
+from . import bpe, htmltext, langid, media, mixing, simhash, substring, toxicity, warc
 from .common import fold_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -58,10 +58,18 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_texts(table(spark, sf_dir, "pages"))
 
@@ -75,7 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op3_language_id": op3_language_id,
     "op4_byte_level_bpe": op4_byte_level_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_warc": op7_warc,
+    "op8_simhash": op8_simhash,
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing_sources": op10_mixing_sources,
 }
