@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, htmltext, langid, media, mixing, simhash, substring, toxicity, warc
+from . import ann, bpe, htmltext, langid, media, mixing, simhash, substring, toxicity, warc
 from .common import fold_of
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -62,6 +62,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_byte_level_bpe": op4_byte_level_bpe,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
     "op9_html_extraction": op9_html_extraction,
