@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import TokenTable, map_batches
 
-SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS = 500, 2500, 12_000_000
-BUCKETS, GRAMS = 1 << 13, (1, 2, 3, 4)
-STEPS, RATE, DECAY = 120, 0.05, 1e-6
+SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS = 400, 2000, 8_000_000
+BUCKETS, GRAMS = 1 << 13, (2, 3)
+STEPS, RATE, DECAY = 80, 0.05, 1e-6
 MARGIN = 0.05
 EXHAUSTIVE, RANDOM_BITS = 7, 63
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -52,9 +52,22 @@ def code(k: int) -> np.ndarray:
     return np.array(columns, np.float64).T
 
 
+class Buckets(dict):
+    """The bucket of each n-gram met; emptied when full."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= 300_000:
+            self.clear()
+        b = self[gram] = xxhash.xxh32_intdigest(gram) % BUCKETS
+        return b
+
+
+BUCKET = Buckets()
+
+
 def grams(word: str) -> list[int]:
     w = f"<{word}>"
-    return [xxhash.xxh32_intdigest(w[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(w) - n + 1)]
+    return [BUCKET[w[i : i + n]] for n in GRAMS for i in range(len(w) - n + 1)]
 
 
 def tokens(text: str) -> list[str]:
@@ -74,9 +87,10 @@ class Model:
     def row(self, token: str) -> np.ndarray:
         """Sums over the token's n-grams: the weights of each bit, and 1."""
         ids = [g for w in WORDS(token) for g in grams(w)]
-        return np.append(self.weights[ids].sum(axis=0), len(ids)) if ids else np.zeros(self.weights.shape[1] + 1)
+        return np.add.reduce(self.counted.take(ids, axis=0)) if ids else 0.0
 
     def table(self) -> TokenTable:
+        self.counted = np.append(self.weights, np.ones((len(self.weights), 1)), axis=1).astype(np.float32)
         return TokenTable(self.weights.shape[1] + 1, self.row, 250_000)
 
     def losses(self, margins: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ A sentence with log-odds z is toxic with probability sigmoid(z), a document unle
 P = 1 - prod(1 - sigmoid(z)) = 1 - exp(-sum(softplus(z))). Only documents are labelled; the loss of P against
 the label is passed down to the sentences, so that training finds which of them are to blame, and the trained
 sentence scores locate offending sentences later. z is a bias plus the weights of the words' features: the word
-itself and its character 3- to 6-grams with word ends, so that unseen forms of known stems count too.
+itself and its character 4- and 5-grams with word ends, so that unseen forms of known stems count too.
 
 The fit runs on the driver, over a bounded sample of labelled documents: at most SAMPLE_ROWS of each class in
 hash order of their ids, and at most SAMPLE_CHARS characters. Classes are weighted back to their true share, which
@@ -25,14 +25,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
 from .common import TokenTable, map_batches
 
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 16_000_000
-MIN_DOCS, MIN_SHARE, MAX_FEATURES, GRAMS = 3, 0.002, 40_000, (3, 4, 5, 6)
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 12_000_000
+MIN_DOCS, MIN_SHARE, MAX_FEATURES, GRAMS = 3, 0.002, 40_000, (4, 5)
 STEPS, RATE, DECAY = 80, 0.15, 2e-5
 WORDS, LONGEST = re.compile(r"[^\W\d_]+").findall, 40
 #: A sentence ends behind a token that ends in one of these, perhaps followed by closing marks, and at the end of a line.
@@ -65,9 +66,15 @@ class Model:
 
     def row(self, token: str) -> tuple[float, float]:
         """Weight of a token, and whether a sentence ends behind it."""
-        known = self.weights
-        hits = sorted(f for w in WORDS(token.lower()) for f in features(w) if f in known)  # in order, so that sums agree everywhere
-        return sum(known[f] for f in hits), float(token == "\0" or bool(ENDS(token)))
+        known, total = self.weights, 0.0
+        for word in WORDS(token.lower()):
+            w = f"<{word}>"
+            hits = [g for n in GRAMS for i in range(len(w) - n + 1) if (g := w[i : i + n]) in known]
+            if w in known and len(word) <= LONGEST:
+                hits.append(w)
+            if hits:
+                total += sum(known[f] for f in sorted(set(hits)))  # in order, so that sums agree everywhere
+        return total, float(token == "\0" or bool(ENDS(token)))
 
     def table(self) -> TokenTable:
         return TokenTable(2, self.row)
@@ -204,3 +211,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return row
 
     return map_batches(docs.select("doc_id", F.col("text").cast("string")), "doc_id bigint, score double, sentences array<struct<start: bigint, end: bigint, p: double>>", make)
+
+
+def filtered(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below threshold, columns unchanged; one pass, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        table = m.table()
+        for b in batches:
+            yield b.filter(pa.array([m.score(t, table) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
