@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import complexity
+from . import community, complexity, similarity
 
-QUERIES = dict(complexity.QUERIES)
-ORACLE_SQL = dict(complexity.SQL)
+PARTS = (complexity, similarity, community)
+QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
+ORACLE_SQL = {k: v for p in PARTS for k, v in p.SQL.items()}
