@@ -335,7 +335,7 @@ def misspelled(spark, sf):
     return grammar_ro.misspelled(segment.tokens(docs_of(spark, sf)), lexicon(spark, "lex_pos"))
 
 
-@query(f"WITH {TOKENS}, {as_sql('lex_pos')}, w AS (SELECT DISTINCT lemma FROM t WHERE regexp_matches(text, '\\p{{L}}') AND lemma NOT IN (SELECT word FROM lex_pos) AND regexp_full_match(lemma, '[a-z]{1,8}')), n AS (SELECT lemma, word, levenshtein(lemma, word) AS d FROM w, lex_pos), r AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY d, word) AS rank FROM n WHERE d <= 1) SELECT lemma, rank, word FROM r WHERE rank <= 3")
+@query(f"WITH {TOKENS}, {as_sql('lex_pos')}, w AS (SELECT DISTINCT lemma FROM t WHERE regexp_matches(text, '\\p{{L}}') AND lemma NOT IN (SELECT word FROM lex_pos) AND regexp_full_match(lemma, '[a-z]{{1,8}}')), n AS (SELECT lemma, word, levenshtein(lemma, word) AS d FROM w, lex_pos), r AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY d, word) AS rank FROM n WHERE d <= 1) SELECT lemma, rank, word FROM r WHERE rank <= 3")
 def spelling_suggestions(spark, sf):
     from ..sources.lexicons import lexicon
 

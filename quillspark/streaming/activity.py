@@ -50,7 +50,8 @@ def runs(stream: DataFrame, seconds: int = 1800, late: str = "1 day") -> DataFra
                 first, n = t, 1
         state.update((first, n))
         state.setTimeoutTimestamp(max((first + seconds + 1) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(done, columns=["user_id", "first", "n"])
+        if done:
+            yield pd.DataFrame(done, columns=["user_id", "first", "n"])
 
     return stream.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id bigint, first timestamp, n int", "first bigint, n int", "append", GroupStateTimeout.EventTimeTimeout)
 
