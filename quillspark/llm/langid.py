@@ -118,7 +118,7 @@ SHARPNESS = 4.0
 def fit(texts: list[str], langs: list[str], steps: int = STEPS) -> Model:
     """One L2-regularised logistic classifier for each bit, all by the same full-batch Adam steps."""
     languages = sorted(set(langs))
-    words = code(len(languages))
+    words = code(len(languages)) if languages else np.zeros((0, 0))
     if len(languages) < 2:
         return Model(languages, words, np.zeros((BUCKETS, words.shape[1])), np.zeros(words.shape[1]), np.zeros(words.shape[1]))
     known = lru_cache(maxsize=300_000)(lambda w: np.array([g for x in WORDS(w) for g in grams(x)], np.int32))

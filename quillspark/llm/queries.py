@@ -94,4 +94,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing_sources": op10_mixing_sources,
 }
-ORACLE_SQL: dict[str, str] = {}
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: Removal by comparing all windows of 50 words.
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {WORDS_SQL} AS w FROM documents),
+x AS (SELECT row, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM d, unnest(range(1, greatest(1, len(w) - 48))) u(i) WHERE doc_id IS NOT NULL),
+f AS (SELECT k, min(doc_id) AS first FROM x GROUP BY k),
+r AS (SELECT row, list_distinct(flatten(list(range(i, i + 50)))) AS gone FROM x JOIN f USING (k) WHERE first < doc_id GROUP BY row),
+k AS (SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS m, CASE WHEN gone IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j))), lambda j: w[j]) END AS kept FROM d LEFT JOIN r USING (row))
+SELECT doc_id, n::BIGINT AS n_words, m::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k"""
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (h)"""
+
+#: Sources that stop at 3 times their size are those of least size by weight, as many as the shared rest still exceeds.
+OP10_SQL = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT source, n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s),
+o AS (SELECT *, row_number() OVER o AS k, coalesce(sum(3 * n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped, sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(n) OVER () AS total FROM w WINDOW o AS (ORDER BY n / w, source NULLS LAST)),
+c AS (SELECT min(k) AS k FROM o WHERE (total - capped)::DOUBLE * w / rest <= 3 * n),
+g AS (SELECT o.source, o.n, CASE WHEN o.k < c.k THEN (3 * o.n)::DOUBLE ELSE (b.total - b.capped)::DOUBLE * o.w / b.rest END AS target FROM o, c JOIN o b ON b.k = c.k),
+q AS (SELECT d.doc_id, d.source, d.size, g.n, g.target, round_even(g.target, 0)::BIGINT AS budget, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('0:' || coalesce(d.doc_id::VARCHAR, '')), d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, n AS source_size, target, CASE WHEN n = 0 THEN 0 ELSE (size * (budget // n) + greatest(0, least(size, budget % n - before)))::BIGINT END AS taken FROM q"""
+
+#: The others have no form in SQL (learned models, transport streams, BPE, XXH64 with a seed, approximate search); tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op5_substring_dedup": OP5_SQL, "op7_warc": OP7_SQL, "op10_mixing_sources": OP10_SQL}

@@ -11,7 +11,7 @@ hash order of their ids, and at most SAMPLE_CHARS characters. Classes are weight
 is counted over all labels. Features are those met in at least MIN_DOCS toxic documents, and MIN_SHARE of them, and relatively more
 often than in others, at most MAX_FEATURES by strength of association. Every document is scored, whole.
 
-Defined cases: null and empty texts have no sentence and score 0, predicted 0; equal texts score the same;
+Defined cases: null, empty and blank texts have no sentence and score 0, predicted 0; equal texts score the same;
 null labels are no labels, and a document labelled twice counts as toxic if any label says so; without labels of both
 classes all scores are the share of toxic labels (0 without labels); an empty table gives an empty result.
 Other columns are ignored.
@@ -81,7 +81,7 @@ class Model:
 
     def sentences(self, text: str, table: TokenTable) -> np.ndarray:
         """Log-odds of each sentence."""
-        if not (found := tokens(text)):
+        if text.isspace() or not (found := tokens(text)):
             return np.zeros(0)
         rows = table.look_up(found)
         starts = np.flatnonzero(np.concatenate([[True], rows[:-1, 1] > 0]))
