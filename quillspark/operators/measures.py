@@ -45,8 +45,8 @@ def sentence_counts(docs: DataFrame) -> DataFrame:
 def entropy_of(items: Column) -> Column:
     """Entropy (natural logarithm) of an array's elements, without exploding it; 0 for an empty array."""
     n = F.size(items).cast("double")
-    share = lambda x: F.size(F.filter(items, lambda y: y == x)) / n
-    return F.aggregate(F.array_distinct(items), F.lit(0.0), lambda s, x: s - share(x) * F.ln(share(x)))
+    counts = F.transform(F.array_distinct(items), lambda x: F.size(F.filter(items, lambda y: y == x)).cast("double"))
+    return F.when(n > 0, F.ln(n) - F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * F.ln(c)) / n).otherwise(0.0)
 
 
 def word_entropy(tokens: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,6 +63,12 @@ def gram_entropy(word: Column, n: int) -> Column:
     return entropy_of(letter_grams(word, n))
 
 
+def by_form(tokens: DataFrame, name: str, value: Column) -> DataFrame:
+    """tokens with a costly value of their text, computed once for each distinct form; rows of the most frequent forms are split by AQE in the join."""
+    forms = tokens.select("text").distinct().withColumn(name, value)
+    return tokens.join(forms, "text")
+
+
 def word_values(tokens: DataFrame) -> DataFrame:
     """Measures of single words: length, distance of form and lemma, vowel groups as syllables.
 

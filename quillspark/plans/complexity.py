@@ -97,13 +97,13 @@ def _gram_sql(n: int) -> str:
 
 @query(_gram_sql(2))
 def bigram_entropy(spark, sf):
-    t = segment.tokens(docs_of(spark, sf)).withColumn("entropy", measures.gram_entropy(F.col("text"), 2))
+    t = measures.by_form(segment.tokens(docs_of(spark, sf)), "entropy", measures.gram_entropy(F.col("text"), 2))
     return reducers.summary(t, ["doc_id"], ["entropy"])
 
 
 @query(_gram_sql(1))
 def letter_entropy(spark, sf):
-    t = segment.tokens(docs_of(spark, sf)).withColumn("entropy", measures.gram_entropy(F.col("text"), 1))
+    t = measures.by_form(segment.tokens(docs_of(spark, sf)), "entropy", measures.gram_entropy(F.col("text"), 1))
     return reducers.summary(t, ["doc_id"], ["entropy"])
 
 

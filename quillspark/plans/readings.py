@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import comprehension
+from ..operators import apps, comprehension, measures, rhythm, segment, wordnet
 from ..sources.tables import shared_dir, table
 from ..streaming import activity
+from . import applications
 from .community import rounded
-from .complexity import annotated_of
-from .sqltext import ANNOTATED
+from .complexity import annotated_of, docs_of
+from .sqltext import ANNOTATED, TOKENS
 
 QUERIES, SQL = {}, {}
 
@@ -76,3 +77,69 @@ def streamed_sessions(spark, sf):
 @query()
 def streamed_runs(spark, sf):
     return streamed(spark, sf, "runs", activity.runs)
+
+
+SYLLABLES = [("the", [["DH", "AH0"]]), ("and", [["AE1", "N", "D"]]), ("about", [["AH0"], ["B", "AW1", "T"]]), ("nicht", [["N", "IH1", "CH", "T"]]), ("ertion", [["ER1"], ["SH", "AH0", "N"]])]
+SYLLABLES_SQL = "sy(word, n, st) AS (VALUES " + ", ".join(f"('{w}', {len(s)}, {sum(any(p.endswith('1') for p in x) for x in s)})" for w, s in SYLLABLES) + ")"
+
+
+@query(f"WITH {TOKENS}, {SYLLABLES_SQL} SELECT doc_id, sum(coalesce(n, 1))::BIGINT AS syllables, sum(coalesce(st, 0))::BIGINT AS stressed FROM t LEFT JOIN sy ON word = lemma WHERE regexp_matches(text, '\\p{{L}}') GROUP BY doc_id")
+def rhythm_syllables(spark, sf):
+    d = spark.createDataFrame(SYLLABLES, "word string, syllables array<array<string>>")
+    return rhythm.syllable_counts(segment.tokens(docs_of(spark, sf)), d, ["doc_id"])
+
+
+@query(f"WITH {TOKENS}, c AS (SELECT doc_id, block_ix, sent_ix, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix, sent_ix) - row_number() OVER (PARTITION BY doc_id, n ORDER BY block_ix, sent_ix) AS g FROM c), x AS (SELECT doc_id, n, g, count(*) AS k, min((block_ix, sent_ix)) AS o FROM r GROUP BY ALL) SELECT doc_id, array_to_string(list(k ORDER BY o), ',') AS structure FROM x GROUP BY doc_id")
+def rhythmic_structure(spark, sf):
+    s = measures.by_sentence(docs_of(spark, sf)).filter("sent_ix is not null")
+    lists = s.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "sent_ix", "wd"))), lambda x: x["wd"]).alias("n"))
+    return lists.select("doc_id", F.array_join(rhythm.structure(F.col("n")).cast("array<string>"), ",").alias("structure"))
+
+
+@query()
+def similar_concepts(spark, sf):
+    """Synonyms, hypernyms and nearest words of the fixture hierarchy, as JSON; tests hold it against the tables."""
+    s, h = applications.synsets(spark)
+    near = s.select("word", F.reverse("word").alias("other"))
+    return wordnet.similar_concepts(s, h, near)
+
+
+@query()
+def split_labels(spark, sf):
+    """Labels with a development share of one fifth, by hash of the id: the same in every run."""
+    return table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("target"), apps.hash_split(F.col("doc_id"), 0.2).alias("dev"))
+
+
+@query()
+def regression_search(spark, sf):
+    """Cross-validated grid search of a ridge regression over the feature table: parameters and mean absolute error."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.pipeline import Pipeline
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rows = applications.feature_table(spark, sf).join(applications.targets(spark, sf), "doc_id")
+    ridge = LinearRegression(labelCol="target", featuresCol="scaled", elasticNetParam=0.0)
+    grid = ParamGridBuilder().addGrid(ridge.regParam, [0.01, 0.1, 1.0]).build()
+    steps = Pipeline(stages=[VectorAssembler(inputCols=applications.NAMES, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True), ridge])
+    found = CrossValidator(estimator=steps, estimatorParamMaps=grid, evaluator=RegressionEvaluator(labelCol="target", metricName="mae"), numFolds=3, seed=0, parallelism=3).fit(rows)
+    return spark.createDataFrame([(float(g[ridge.regParam]), float(m)) for g, m in zip(grid, found.avgMetrics, strict=True)], "reg_param double, mae double")
+
+
+@query()
+def clustered_documents(spark, sf):
+    """Three clusters of documents by standardised features."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    rows = VectorAssembler(inputCols=applications.NAMES, outputCol="raw").transform(applications.feature_table(spark, sf))
+    rows = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows)
+    return BisectingKMeans(k=3, seed=0).fit(rows).transform(rows).select("doc_id", "prediction")
+
+
+@query("SELECT conv_id, turn + 1 AS child, turn AS parent FROM conversations c WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn + 1 = c.turn)")
+def reply_edges(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("child"), F.col("turn").alias("parent")).filter("parent > 0")
+    known = table(spark, sf, "conversations").select("conv_id", (F.col("turn") + 1).alias("parent"))
+    return c.join(known, ["conv_id", "parent"], "left_semi").select("conv_id", "child", "parent")
