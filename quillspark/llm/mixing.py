@@ -100,11 +100,15 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     The last reading of the document in which a source's budget ends is cut behind its last word taken.
     Repeated ids are told apart by their place among the rows of that id.
     """
-    place = lambda df, text: df.withColumn("__place", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", text)))
-    plan = place(mix(docs, **options), F.col("size")).select(F.col("doc_id").alias("__id"), "__place", "taken", F.col("size").alias("__size")).filter("taken > 0")
-    rows = place(docs, text_size(F.col("text"))).withColumnRenamed("__place", "__row")
-    joined = rows.join(plan, (F.col("doc_id").eqNullSafe(F.col("__id"))) & (F.col("__row") == F.col("__place")))
-    readings = F.transform(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("__size")).cast("int")), lambda k: F.least(F.col("__size"), F.col("taken") - (k - 1) * F.col("__size")))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
+    place = lambda df, size: df.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("source", size)))
+    plan = place(mix(docs, **options).select(key, "source", "size", "taken"), F.col("size")).filter("taken > 0")
+    # one row for each id, so that the texts are shuffled once, by id, for their places and for the join
+    plan = plan.groupBy("__key").agg(F.collect_list(F.struct("__place", "taken", "size")).alias("__plan"))
+    rows = place(docs.select("*", key), text_size(F.col("text"))).join(plan, "__key")
+    own = F.filter("__plan", lambda x: x["__place"] == F.col("__place"))
+    joined = rows.withColumn("__own", F.explode(own)).withColumn("__size", F.col("__own.size"))
+    readings = F.transform(F.sequence(F.lit(1), F.ceil(F.col("__own.taken") / F.col("__size")).cast("int")), lambda k: F.least(F.col("__size"), F.col("__own.taken") - (k - 1) * F.col("__size")))
     cut = F.when(F.col("__take") == F.col("__size"), F.col("text")).otherwise(F.expr(r"array_join(slice(regexp_extract_all(text, r'" + WORD + r"', 0), 1, cast(__take as int)), ' ')"))
     out = joined.withColumn("__take", F.explode(readings)).withColumn("text", cut)
     if "n_chars" in docs.columns:
