@@ -120,6 +120,9 @@ class Codec(dict):
         return _codec, (self.ranks, self.pattern, self.hash)
 
     def ready(self) -> Codec:
+        """Opens the codec in a worker; what it remembers outlives a task, as workers and their broadcast values do."""
+        if hasattr(self, "find"):
+            return self
         self.find = regex.compile(self.pattern).findall
         self.cuts = self.pattern == GPT_PATTERN
         self.pieces: dict[str, tuple[int, ...]] = {}
