@@ -124,6 +124,7 @@ def repeated_passages(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     all_ = stored(profiles(docs), "substring-profiles", compression="zstd")
     long = all_.filter((F.col("n_words") >= WINDOW) & F.col("doc_id").isNotNull())
     copies = long.groupBy("sha").agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("last_copy")).filter("original < last_copy").select("sha", "original")
+    copies = stored(copies, "substring-copies")  # read again, so that the joins have shuffles of their own, which AQE can split
     known = all_.drop("anchors").join(copies, "sha", "left").withColumn("copy", F.coalesce((F.col("original") < F.col("doc_id")) & (F.col("n_words") >= WINDOW), F.lit(False)))
     known = stored(known.select("doc_id", "row", "n_words", "sha", "copy"), "substring-known")
     single = long.join(copies, "sha", "left").filter("original is null or original = doc_id").select("doc_id", "row", F.explode("anchors").alias("anchor"))
@@ -139,12 +140,13 @@ def repeated_passages(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         found = index.add(batch)
         hits = found if hits is None else hits.union(found)
 
-    hits = hits.groupBy("anchor").agg(F.min("first").alias("first"))
+    hits = stored(hits.groupBy("anchor").agg(F.min("first").alias("first")), "substring-hits")
     of_row = single.join(hits, "anchor").groupBy("doc_id", "row").agg(F.collect_list("anchor").alias("hits"), F.collect_list(F.col("first") < F.col("doc_id")).alias("earlier"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("string"))
     texts = stored(rows.join(of_row, ["doc_id", "row"]), "substring-texts", compression="zstd")
     windows = _windows(texts)
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("w1", "w2", "first")
+    firsts = stored(firsts, "substring-firsts")
     starts = windows.filter("earlier").join(firsts, ["w1", "w2"]).filter("first < doc_id").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("starts"))
 
     def cut(doc_id: int, key: int, text: str, starts: np.ndarray) -> Iterator[tuple]:
