@@ -20,6 +20,15 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def hash_sample(df: DataFrame, key: Column, wanted: int, total: int) -> DataFrame:
+    """Rows of about 1.5 times wanted distinct keys (all, if total isn't more), chosen by hash of the key.
+
+    To be sorted by hash and cut to wanted afterwards: what tasks then send to the driver is bounded by wanted, however many tasks there are.
+    """
+    share = min(1.0, (1.5 * wanted + 50) / max(total, 1))
+    return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterable[tuple]]], size: Callable[[tuple], int] | None = None) -> DataFrame:
     """df through a Python function that gets one row's values and yields output rows as tuples.
 

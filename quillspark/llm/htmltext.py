@@ -12,8 +12,8 @@ containers, lists and tables can be template.
 Two passes read each page: the first yields the hosts' subtree hashes, of which one row for each (host, hash) remains
 after a combined aggregation; the second deletes. Between them a host has at most a bounded number of
 templates: each occurs on MIN_SHARE of its pages at least, so there are no more than the mean number of subtrees
-of a page over MIN_SHARE. Pages meet their host's templates in a join that Spark can split, so a host with a third of all
-pages is no hot task.
+of a page over MIN_SHARE. Pages meet their host's templates without a shuffle while all
+templates are few (they are counted first), else in a join by host and salt, so a host with a third of all pages is no hot task.
 
 Defined cases: null or empty html and pages without text give an empty text; broken markup is read as far as it goes: end tags
 without start are ignored, elements left open end with their parent, a < that starts no tag is text; a null url or one
@@ -30,9 +30,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
 from .common import map_batches
 
 MIN_PAGES, MIN_SHARE = 5, 0.1
+#: Templates are broadcast up to so many hashes in all; beyond, pages are joined with them in so many parts of each host.
+BROADCAST_HASHES, SALTS = 500_000, 64
 #: Elements that never hold article text, whatever they contain.
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe object embed svg math canvas audio video button select option datalist textarea input label fieldset dialog menu head title map applet".split())
 #: Elements whose content is no markup.
@@ -250,7 +253,14 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 def main_texts(pages: DataFrame, **options: float) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    joined = rows.join(templates(pages, **options), "host", "left").select("page_id", "url", "html", "templates")
+    known = stored(templates(pages, **options), "templates")
+    size = known.agg(F.coalesce(F.sum(F.size("templates") + 8), F.lit(0))).first()[0]
+    if size <= BROADCAST_HASHES:
+        joined = rows.join(F.broadcast(known), "host", "left")  # at most 8 bytes times BROADCAST_HASHES
+    else:  # a host's templates go to SALTS tasks, and so do its pages
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "templates")
 
     def row(page_id: int, url: str | None, html: str | None, known: object) -> Iterator[tuple]:
         text = main_text(html, () if known is None else known.tolist())

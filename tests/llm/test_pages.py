@@ -100,7 +100,9 @@ def test_main_text(html, text):
     assert htmltext.main_text(html) == text
 
 
-def test_templates_of_a_host_go(spark):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_templates_of_a_host_go(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(htmltext, "BROADCAST_HASHES", broadcast)
     box = "<div><b>Read our app</b><p>today</p></div>"
     rows = [(i, f"https://h.example/{i}", f"{box}<div><p>text {i} here</p><p>and said again</p></div><div>{i % 9} end</div>") for i in range(40)]
     rows += [(100 + i, f"https://other{i}.example/", f"{box}<p>alone {i}</p>") for i in range(6)]
