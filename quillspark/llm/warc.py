@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
-from .common import map_batches
+from .common import hash_sample, map_batches
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 4 << 20
@@ -141,7 +141,8 @@ def plan(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, level: int = LEVEL) -> DataFrame:
     """The archives (archive string, warc binary) of all rows of pages, written into the shared folder."""
     planned = plan(pages)
-    sample = pages.select(F.xxhash64("page_id", "html").alias("h"), "page_id", F.col("html").cast("string").alias("html")).filter(F.length("html") <= SAMPLE_BYTES).orderBy("h", "page_id").limit(SAMPLE_RECORDS).collect()
+    few = hash_sample(pages.select("page_id", F.col("html").cast("string").alias("html")), F.col("page_id"), SAMPLE_RECORDS, pages.count())
+    sample = few.filter(F.length("html") <= SAMPLE_BYTES).orderBy(F.xxhash64("page_id", "html"), "page_id").limit(SAMPLE_RECORDS).collect()
     dictionary = build_dictionary([write_record(r.page_id, "", d := (r.html or "").encode(), hashlib.sha256(d).hexdigest()) for r in sample])
     lead = dictionary_frame(dictionary)
 
