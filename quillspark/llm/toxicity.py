@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
-from .common import TokenTable, map_batches
+from .common import TokenTable, hash_sample, map_batches
 
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 12_000_000
 MIN_DOCS, MIN_SHARE, MAX_FEATURES, GRAMS = 3, 0.002, 40_000, (4, 5)
@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     if not counts.get(0) or not counts.get(1):
         return Model({}, 0.0, float(bool(counts.get(1))))
     order = F.xxhash64("doc_id")
-    chosen = spark.createDataFrame([tuple(r) for c in (0, 1) for r in known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample_rows).collect()], "doc_id bigint, toxic int")
+    chosen = spark.createDataFrame([tuple(r) for c in (0, 1) for r in hash_sample(known.filter(F.col("toxic") == c), F.col("doc_id"), sample_rows, counts[c]).orderBy(order, "doc_id").limit(sample_rows).collect()], "doc_id bigint, toxic int")
     rows = stored(docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # at most twice sample_rows ids
     sizes = rows.select("doc_id", F.length("text").alias("n"), order.alias("h")).orderBy("h", "doc_id").limit(4 * sample_rows).collect()
     left, ids = sample_chars, []
