@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from .segment import SENT
 
 #: Neighbouring words that sound badly together.
-CACOPHONIES = [("la", "la"), ("sa", "sa"), ("ca", "ca"), ("că", "ca"), ("că", "că"), ("ca", "că"), ("că", "când"), ("ca", "când"), ("fiindcă", "ca"), ("dacă", "ca"), ("încă", "ca"), ("că", "care")]
+CACOPHONIES = [("la", "la"), ("sa", "sa"), ("ca", "ca"), ("ca", "că"), ("ca", "ce"), ("ca", "ci"), ("că", "ca"), ("cu", "co"), ("că", "cu"), ("că", "când"), ("ca", "când"), ("că", "câ")]
 #: Wrong forms of the verb "a voi".
-WRONG_FORMS = ["vroiam", "vroiai", "vroia", "vroiați", "vroiau"]
+WRONG_FORMS = ["vroiam", "vroiai", "vroia", "vroiau", "vroiaţi"]
 #: Adverbs that don't begin a sentence.
-START_ADVERBS = ["și", "deci", "dar", "însă"]
+START_ADVERBS = ["totuși", "așadar", "deci"]
 
 
 def cacophonies(tokens: DataFrame, pairs: list[tuple[str, str]] = CACOPHONIES) -> DataFrame:
@@ -87,6 +87,11 @@ def disagreements(tokens: DataFrame, gender_slot: int = 3, number_slot: int = 4)
     return rows.withColumn("gender", F.coalesce(g, F.lit(False))).withColumn("number", F.coalesce(n, F.lit(False))).filter("gender or number").select(*SENT, "tok_ix", "text", "head", "gender", "number")
 
 
+def comparatives(text: Column) -> Column:
+    """Comparisons written with de or ca behind the comparative."""
+    return F.regexp_extract_all(text, F.lit(r"(?i)mai\s[\p{L}\p{N}]+\s(?:de|ca)"), F.lit(0))
+
+
 def collapsed_spaces(text: Column) -> Column:
     """Runs of spaces as one, none before punctuation."""
     return F.regexp_replace(F.regexp_replace(text, " {2,}", " "), r" +([,.;:!?])", "$1")

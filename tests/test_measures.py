@@ -239,6 +239,7 @@ def test_grammar(spark):
     assert grammar_ro.without_comma(t).count() == 1
     assert grammar_ro.listed(t, grammar_ro.START_ADVERBS, first=True).count() == 1
     assert {r.lemma for r in grammar_ro.near_repetitions(t).collect()} == {"la", "totuși"}
+    assert spark.sql("SELECT 'e Mai mare ca tine' t").select(grammar_ro.comparatives(F.col("t"))).first()[0] == ["Mai mare ca"]
     r = spark.sql("SELECT 'a  b ,c' t, 'Case=Acc,Nom,Xyz|Number=Sing' f").select(grammar_ro.collapsed_spaces(F.col("t")), grammar_ro.feature_values(F.col("f"), "Case"), grammar_ro.feature_values(F.col("f"), "Person")).first()
     assert tuple(r) == ("a b,c", ["Acc", "Nom"], [])
     tags = [(0, 0, 0, 0, "casă", "Ncfsrn", 0), (0, 0, 0, 1, "frumos", "Afpms-n", 0), (0, 0, 0, 2, "mare", "Afp-s-n", 0)]
