@@ -32,7 +32,7 @@ from ..sources.tables import stored
 
 SAMPLE_ROWS, CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 4096, 24, 256, 4, 8
 SHORTLIST, TOP = 400, 20
-QUERY_ROWS, INDEX_ROWS = 2048, 16_384
+QUERY_ROWS, INDEX_ROWS = 512, 131_072
 EVERY = 20
 
 
