@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
+from .common import hash_sample
 
 SAMPLE_ROWS, CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 4096, 24, 256, 4, 8
 SHORTLIST, TOP = 400, 20
@@ -105,12 +106,12 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, shortlist: i
     one = ["h1", "h2", "embedding"]
     entries = stored(rows.groupBy(*one).agg(F.min("vec_id").alias("entry")), "ann-entries")
     queries = stored(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct(), "ann-queries")
-    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE_ROWS).select("embedding").collect()
+    n_entries, n_queries = entries.count(), queries.count()
+    sample = hash_sample(entries, F.col("entry"), SAMPLE_ROWS, n_entries).orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE_ROWS).select("embedding").collect()
     if not sample:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     shared = spark.sparkContext.broadcast(fit(np.array([r.embedding for r in sample])))  # codebooks only: a fixed size
 
-    n_entries, n_queries = entries.count(), queries.count()
     index_blocks, query_blocks = -(-n_entries // INDEX_ROWS), max(1, -(-n_queries // QUERY_ROWS))
     deal = lambda df, key, n: df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
