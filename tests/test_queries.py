@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,6 +21,8 @@ def duck(sf):
 
 
 def plain(v):
+    if v is pd.NA or v is pd.NaT:
+        return None
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
