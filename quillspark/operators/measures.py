@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce as fold
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -126,7 +124,7 @@ def parse_depth(tokens: DataFrame) -> DataFrame:
             depth, up = depth + depth[up], up[up]
         return int(depth[(up == up[up])].max()) + 1
 
-    def run(batches):  # noqa: ANN001, ANN202
+    def run(batches):
         for b in batches:
             yield b[SENT].assign(depth=pd.array([height(i, h) for i, h in zip(b["ix"], b["heads"], strict=True)], "Int64"))
 
@@ -140,10 +138,6 @@ def main_pos_counts(tokens: DataFrame, keys: list[str]) -> DataFrame:
     return tokens.groupBy(*keys).agg(*n, *u)
 
 
-def repeated(parts: list[DataFrame]) -> DataFrame:
-    return fold(DataFrame.unionByName, parts)
-
-
 def elements(docs: DataFrame, level: str) -> DataFrame:
     """Keys of all elements of a level, those without words too."""
     return {"doc": lambda: docs.select("doc_id"), "block": lambda: blocks(docs).select(*BLOCK), "sent": lambda: sentences(docs).select(*SENT)}[level]()

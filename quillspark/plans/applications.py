@@ -17,8 +17,8 @@ from .sqltext import ANNOTATED, SENTENCES, TOKENS
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
+def query(sql: str | None = None):
+    def add(f):
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -263,7 +263,7 @@ HYPERNYMS = [(1, 8), (2, 8), (5, 1), (6, 2), (8, 9), (4, 3), (7, 3)]
 WN = "sw(synset, word, pos) AS (VALUES " + ", ".join(f"({s}, '{w}', '{p}')" for s, w, p in SYNSETS) + "), hy(synset, parent) AS (VALUES " + ", ".join(map(str, HYPERNYMS)) + "), up AS (SELECT DISTINCT synset AS s, synset AS a, 0 AS d FROM sw UNION ALL SELECT up.s, hy.parent, d + 1 FROM up JOIN hy ON hy.synset = up.a), cl AS (SELECT s AS synset, a AS ancestor, min(d) AS distance FROM up GROUP BY ALL), dp AS (SELECT synset, min(distance) AS depth FROM cl WHERE ancestor NOT IN (SELECT synset FROM hy) GROUP BY synset)"
 
 
-def synsets(spark):  # noqa: ANN201
+def synsets(spark):
     return spark.createDataFrame(SYNSETS, "synset int, word string, pos string"), spark.createDataFrame(HYPERNYMS, "synset int, parent int")
 
 

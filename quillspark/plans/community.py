@@ -16,8 +16,8 @@ QUERIES, SQL = {}, {}
 BACK = 5
 
 
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
+def query(sql: str | None = None):
+    def add(f):
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql

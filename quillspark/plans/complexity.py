@@ -17,8 +17,8 @@ PUNCT = r"regexp_full_match(text, '[^\p{L}\p{N}]')"
 COUNTS = f"c AS (SELECT doc_id, block_ix, sent_ix, count(*) AS wd, count(*) FILTER ({PUNCT}) AS punct, count(*) FILTER (text = ',') AS commas, count(DISTINCT text) AS unqwd FROM t GROUP BY ALL)"
 
 
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
+def query(sql: str | None = None):
+    def add(f):
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -135,7 +135,7 @@ def _list_sql(lex: str, kind: str, by: str, names: list[str]) -> str:
     return f"WITH {TOKENS}, {as_sql(lex)}, c AS (SELECT s.doc_id, s.block_ix, s.sent_ix, {n} FROM s LEFT JOIN (SELECT * FROM t JOIN {lex} ON word = t.{by}) x ON s.doc_id = x.doc_id AND s.block_ix = x.block_ix AND s.sent_ix = x.sent_ix GROUP BY ALL) {summary('doc_id', 'c', names)}"
 
 
-def _list_counts(spark, sf, lex: str, kind: str, names: list[str], by: str = "lemma"):  # noqa: ANN202
+def _list_counts(spark, sf, lex: str, kind: str, names: list[str], by: str = "lemma"):
     docs = docs_of(spark, sf)
     counts = measures.class_counts(segment.tokens(docs), lexicon(spark, lex), kind, SENT, by)
     return reducers.summary(measures.dense(counts, measures.elements(docs, "sent"), names, kind), ["doc_id"], names)
@@ -204,7 +204,7 @@ def indices_of_all_levels(spark, sf):
 HEADS = "h AS (SELECT doc_id, block_ix, sent_ix, tok_ix, text, (tok_ix // 2)::INT AS head_ix, CASE WHEN tok_ix = 0 THEN 'root' WHEN tok_ix % 3 = 0 THEN 'nsubj' WHEN tok_ix % 3 = 1 THEN 'obj' ELSE 'amod' END AS dep FROM t)"
 
 
-def with_heads(spark, sf):  # noqa: ANN201
+def with_heads(spark, sf):
     i = F.col("tok_ix")
     return segment.tokens(docs_of(spark, sf)).withColumn("head_ix", F.floor(i / 2).cast("int")).withColumn("dep", F.when(i == 0, "root").when(i % 3 == 0, "nsubj").when(i % 3 == 1, "obj").otherwise("amod"))
 

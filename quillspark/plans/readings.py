@@ -17,8 +17,8 @@ from .sqltext import ANNOTATED, TOKENS
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
+def query(sql: str | None = None):
+    def add(f):
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -27,7 +27,7 @@ def query(sql: str | None = None):  # noqa: ANN201
     return add
 
 
-def concepts(spark, sf):  # noqa: ANN201
+def concepts(spark, sf):
     t = annotated_of(spark, sf)
     content = F.col("pos").isin("NOUN", "VERB", "ADJ", "ADV", "PRON") & ~F.col("is_stop")
     step = (F.col("block_ix") * 1000 + F.col("sent_ix")).cast("int")
@@ -53,7 +53,7 @@ def comprehension_history(spark, sf):
     return rounded(comprehension.history(comprehension.activation(concepts(spark, sf), last_only=False)), "nodes", "active", "activation")
 
 
-def streamed(spark, sf, name: str, build) -> object:  # noqa: ANN001
+def streamed(spark, sf, name: str, build) -> object:
     """The events table, dealt into files, through a stream: what a stream that never ends would give out on these rows."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, sf, "events").repartition(4).write.parquet(f"{folder}/in")

@@ -15,8 +15,8 @@ QUERIES, SQL = {}, {}
 DIMS = 5
 
 
-def query(sql: str | None = None):  # noqa: ANN201
-    def add(f):  # noqa: ANN001, ANN202
+def query(sql: str | None = None):
+    def add(f):
         QUERIES[f.__name__] = f
         if sql:
             SQL[f.__name__] = sql
@@ -131,7 +131,7 @@ def _overlap(kind: str) -> None:
     pos = ", ".join(f"'{p}'" for p in cohesion.OVERLAPS[kind])
     sql = f"WITH {ANNOTATED}, e AS (SELECT doc_id, block_ix, sent_ix, coalesce(list(DISTINCT lemma) FILTER (pos IN ({pos})), []) AS l FROM a GROUP BY ALL), k AS (SELECT doc_id, l, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix, sent_ix) AS k FROM e) SELECT x.doc_id, x.k::INT AS a, y.k::INT AS b, round(len(list_intersect(x.l, y.l)) / (0.00001 + len(list_distinct(list_concat(x.l, y.l)))), 6) AS overlap FROM k x JOIN k y ON x.doc_id = y.doc_id AND y.k - x.k BETWEEN 1 AND 2"
 
-    def run(spark, sf):  # noqa: ANN202
+    def run(spark, sf):
         return cohesion.lexical_overlap(annotated_of(spark, sf), kind, 2).withColumn("overlap", F.round("overlap", 6))
 
     run.__name__ = f"{kind}_overlap"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def events(spark, folder: str, schema: str = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string") -> DataFrame:  # noqa: ANN001
+def events(spark, folder: str, schema: str = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string") -> DataFrame:
     """A stream of the Parquet files of a folder; ts as TIMESTAMP, which watermarks need."""
     return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
