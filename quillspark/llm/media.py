@@ -85,8 +85,8 @@ def mux(payload: bytes) -> bytes:
     """A transport stream that holds payload losslessly."""
     out: list[bytes] = []
     counter = tables = 0
-    heads = [[bytes([SYNC, start | DATA_PID >> 8, DATA_PID & 0xFF]) for start in (0, 0x40)]][0]
-    plain = [heads[0] + bytes([0x10 | c]) for c in range(16)]
+    later, first = (bytes([SYNC, start | DATA_PID >> 8, DATA_PID & 0xFF]) for start in (0, 0x40))
+    plain = [later + bytes([0x10 | c]) for c in range(16)]
     for unit, at in enumerate(range(0, len(payload), UNIT_BYTES)):
         data, ticks = payload[at : at + UNIT_BYTES], unit * UNIT_TICKS
         access = unit % UNITS_TO_ACCESS == 0
@@ -98,14 +98,14 @@ def mux(payload: bytes) -> bytes:
         field = (b"\x50" + _clock(ticks)) if access else b""
         room = PACKET - 4 - (len(field) + 1 if field else 0)
         here, i = body[:room], min(room, len(body))
-        out.append(_filled(heads[1], counter, field, here))
+        out.append(_filled(first, counter, field, here))
         counter = (counter + 1) & 15
         while len(body) - i >= PACKET - 4:
             out += [plain[counter], body[i : i + PACKET - 4]]
             counter = (counter + 1) & 15
             i += PACKET - 4
         if i < len(body):
-            out.append(_filled(heads[0], counter, b"", body[i:]))
+            out.append(_filled(later, counter, b"", body[i:]))
             counter = (counter + 1) & 15
     return b"".join(out)
 
@@ -205,8 +205,6 @@ def demux(stream: bytes) -> Stream:
                 bad += 1
             else:
                 kinds |= {p: (found[0], kind) for p, kind in found[1]}
-        if pid in maps and pid not in kinds:
-            continue
     return Stream(b"".join(parts), len(stream) // PACKET, tuple(sorted((program, p, kind) for p, (program, kind) in kinds.items())), tuple(units), jumps, bad)
 
 
