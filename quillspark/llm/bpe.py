@@ -36,7 +36,7 @@ MASK = (1 << 64) - 1
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNEVEN, LONE_SPACE = re.compile(r"^ | $| \s|\s ").search, re.compile(r"(?<=\S) (?=\S)").split
 #: Remembered pre-tokens in each Python worker, and the longest that is remembered.
-MEMO_ENTRIES, MEMO_LENGTH = 500_000, 64
+MEMO_ENTRIES, MEMO_LENGTH = 300_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes after which a Python operator hands its rows on; bounds the memory of one output batch.
 FLUSH_BYTES = 4 << 20
+#: Rows of a batch that are Python objects at a time.
+SLICE_ROWS = 256
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:
@@ -49,7 +51,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[..., Ite
             columns = list(zip(*rows, strict=True)) or [[] for _ in arrow]
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        for b in batches:
+        for b in (part.slice(at, SLICE_ROWS) for part in batches for at in range(0, part.num_rows, SLICE_ROWS)):
             for values in zip(*(c.to_pylist() if not _large(c) else _values(c) for c in b.columns), strict=True):
                 for out in function(*values):
                     rows.append(out)

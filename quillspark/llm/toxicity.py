@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
-from .common import TokenTable, hash_sample, map_batches
+from .common import SLICE_ROWS, TokenTable, hash_sample, map_batches
 
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 12_000_000
 MIN_DOCS, MIN_SHARE, MAX_FEATURES, GRAMS = 3, 0.002, 40_000, (4, 5)
@@ -221,7 +221,7 @@ def filtered(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         table = m.table()
-        for b in batches:
+        for b in (part.slice(i, SLICE_ROWS) for part in batches for i in range(0, part.num_rows, SLICE_ROWS)):
             yield b.filter(pa.array([m.score(t, table) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
