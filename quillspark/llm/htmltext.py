@@ -6,8 +6,10 @@ deleted as template, wherever they stand outside running text. What remains of t
 name or role are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, is the text.
 
 The article is the part below the page's article or main element (or the element of that role) if there is one,
-else the body. A paragraph or heading inside such an article is the author's, even if other pages repeat it; there only whole
-containers, lists and tables can be template.
+else the body. It is looked for outside elements with the name of a part first, then below them; an element that holds an article or main
+element never goes by its name, unless it is named as reader comments (which many sites mark up as articles). A name is a whole
+class, id or role: sidebar, not has-sidebar or overflow-hidden. A paragraph or heading inside such an article is the author's, even if other
+pages repeat it; there only whole containers, lists and tables can be template, and what has a part's word within a name (share-line).
 
 Two passes read each page: the first yields the hosts' subtree hashes, of which one row for each (host, hash) remains
 after a combined aggregation; the second deletes. Between them a host has at most a bounded number of
@@ -48,7 +50,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 RUNNING = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr thead tbody tfoot caption blockquote pre figcaption br address".split())
 #: Start tags before which an open p ends, as HTML has it.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
-#: Words in an element's class, id or role that tell its part on the page.
+#: Headings go neither by name nor for a word within one.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names (a whole class, id or role) that tell an element's part on the page; as a word within a longer name they are a hint only.
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored sponsors promo promos promotion promoted outbrain taboola "
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc "
@@ -57,6 +61,9 @@ PARTS = frozenset(
     "comment comments commentlist disqus respond replies discussion "
     "share sharing social related recommended recommendations trending contentinfo complementary search hidden".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond replies discussion".split())
+#: Node.part: none, by name or a form, reader comments by name, by element or hidden.
+NAMED, COMMENTED, CLOSED = 1, 2, 3
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I).search for tag in RAW}
 NAMES = re.compile(r"\b(class|id|role|itemprop|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
@@ -66,32 +73,41 @@ HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 class Node:
-    """kids: nodes and text in page order. part: it is no article text by its name or role. main: 2 article, 1 main or content."""
+    """kids: nodes and text in page order. part: it is no article text by its name or role. hint: a name has a part's word.
+    main: 2 article, 1 main or content. holds: such an element is below it."""
 
-    __slots__ = ("tag", "part", "main", "kids", "digest")
+    __slots__ = ("tag", "part", "main", "hint", "holds", "kids", "digest")
 
-    def __init__(self, tag: str, part: bool = False, main: int = 0) -> None:
-        self.tag, self.part, self.main, self.kids, self.digest = tag, part, main, [], 0
+    def __init__(self, tag: str, part: int = 0, main: int = 0, hint: bool = False) -> None:
+        self.tag, self.part, self.main, self.hint, self.holds, self.kids, self.digest = tag, part, main, hint, False, [], 0
+
+    @property
+    def dropped(self) -> bool:
+        return self.part > (NAMED if self.holds else 0)
 
 
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
-def _role(tag: str, attributes: str) -> tuple[bool, int]:
-    part, main = tag in DROPPED, {"article": 2, "main": 1}.get(tag, 0)
-    if attributes and not part and tag not in ("body", "html"):
+def _role(tag: str, attributes: str) -> tuple[int, int, bool]:
+    part, main, hint = NAMED if tag == "form" else CLOSED if tag in DROPPED else 0, {"article": 2, "main": 1}.get(tag, 0), False
+    if attributes and part < CLOSED and tag not in ("body", "html"):
         for name, a, b, c in NAMES.findall(attributes):
             value, name = a or b or c, name.lower()
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                part = True
+                part = CLOSED
             elif name == "itemprop":
                 main = max(main, 2 if value.lower() == "articlebody" else 0)
             elif name == "role" and value.lower() in ("article", "main"):
                 main = max(main, 2 if value.lower() == "article" else 1)
-            elif name in ("class", "id", "role") and not main:
-                part = part or not PARTS.isdisjoint(SPLIT.split(CAMEL.sub(" ", value).lower()))
-    return part, main
+            elif name in ("class", "id", "role") and tag not in HEADINGS:
+                if not PARTS.isdisjoint(names := value.lower().split()):
+                    part = max(part, NAMED if COMMENTS.isdisjoint(names) else COMMENTED)
+                hint = hint or not PARTS.isdisjoint(SPLIT.split(CAMEL.sub(" ", value).lower()))
+    if main and part < CLOSED:
+        part, hint = 0, False
+    return part, main, hint
 
 
 def parse(html: str) -> Node:
@@ -130,6 +146,9 @@ def parse(html: str) -> Node:
                     break
         node = Node(tag, *_role(tag, m[3]))
         stack[-1].kids.append(node)
+        if node.main:
+            for above in stack:
+                above.holds = True
         if tag in VOID or (m[3].endswith("/") and tag not in ("p", "div", "a", "article", "main", "section", "span", "b", "i", *RAW)):
             continue
         if tag in RAW:
@@ -145,12 +164,12 @@ def parse(html: str) -> Node:
 
 
 def main_of(root: Node) -> tuple[list[Node], bool]:
-    """The outermost article elements, else main elements, else the page; and whether such an element was found."""
-    for least in (2, 1):
+    """The outermost article elements, else main elements, outside named parts, else below them, else the page; and whether such an element was found."""
+    for below, least in ((0, 2), (0, 1), (NAMED, 2), (NAMED, 1)):
         found, open_ = [], [root]
         while open_:
             node = open_.pop()
-            if node.part:
+            if node.part > below:
                 continue
             if node.main >= least:
                 found.append(node)
@@ -158,6 +177,8 @@ def main_of(root: Node) -> tuple[list[Node], bool]:
                 open_ += [k for k in reversed(node.kids) if not isinstance(k, str)]
         if found:
             return found, True
+        if not root.holds:
+            break
     return [root], False
 
 
@@ -179,9 +200,9 @@ def candidates(nodes: list[Node], is_article: bool) -> Iterator[Node]:
     while open_:
         node = open_.pop()
         for k in node.kids:
-            if isinstance(k, str) or k.part or k.tag in VOID:
+            if isinstance(k, str) or k.dropped or k.tag in VOID:
                 continue
-            if not (is_article and k.tag in RUNNING) and k.tag not in INLINE and k.tag not in ("html", "body"):
+            if (k.hint and not k.holds) or (not (is_article and k.tag in RUNNING) and k.tag not in INLINE and k.tag not in ("html", "body")):
                 yield k
             open_.append(k)
 
@@ -204,7 +225,7 @@ def extract(nodes: list[Node], gone: set[int]) -> str:
                 end()
             elif isinstance(x, str):
                 line.append(x)
-            elif not x.part and not (gone and id(x) in gone):
+            elif not x.dropped and not (gone and id(x) in gone):
                 if x.tag not in INLINE:
                     end()
                     open_.append(None)

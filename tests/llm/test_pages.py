@@ -111,3 +111,31 @@ def test_templates_of_a_host_go(spark, broadcast, monkeypatch):
     assert all("app" not in got[i] and f"text {i} here" in got[i] for i in range(40))
     assert all(got[100 + i] == f"Read our app today alone {i}" for i in range(6))
     assert all(got[200 + i] == f"said again n {i}" for i in range(20))
+
+
+NAMED = [
+    ("<div class='layout has-sidebar'><article><p>a</p></article></div>", "a"),
+    ("<body><div class='overflow-hidden'><p>b</p></div>", "b"),
+    ("<div class='content-with-sidebar'><p>c</p></div>", "c"),
+    ("<body><div class='search-page'><article>d</article></div>", "d"),
+    ("<article><h1 class='post-header'>title</h1><h2 class='header'>under</h2><p>e</p></article>", "title under e"),
+    ("<div class='search'><div class='sidebar'>s</div><article>f</article></div><p>outside</p>", "f"),
+    ("<form id='page'><main><p>g</p></main></form>", "g"),
+    ("<main><p>h</p><div class='widget'><article>i</article></div></main>", "h i"),
+    ("<div class='sidebar'><article>teaser</article></div><article>j</article>", "j"),
+    ("<p>k</p><div class='comments'><article>reader</article></div>", "k"),
+    ("<article><p>l</p><div class='Comments'><article>reader</article></div><div class='x share'>s</div></article>", "l"),
+    ("<div class='sidebar' role='main'>m</div>", "m"),
+]
+
+
+@pytest.mark.parametrize(("html", "text"), NAMED)
+def test_names_of_parts(html, text):
+    assert htmltext.main_text(html) == text
+
+
+def test_words_within_names_are_hints(spark):
+    rows = [(i, "https://h.example/", f"<article><p>n {i}</p><p class='share-line'>Share it</p><p>Said again</p></article>") for i in range(8)]
+    rows += [(100, "https://alone.example/", rows[0][2])]
+    got = {r.page_id: r.text for r in htmltext.main_texts(pages(spark, rows)).collect()}
+    assert got == {i: f"n {i} Said again" for i in range(8)} | {100: "n 0 Share it Said again"}
