@@ -11,11 +11,11 @@ element never goes by its name, unless it is named as reader comments (which man
 class, id or role: sidebar, not has-sidebar or overflow-hidden. A paragraph or heading inside such an article is the author's, even if other
 pages repeat it; there only whole containers, lists and tables can be template, and what has a part's word within a name (share-line).
 
-Two passes read each page: the first yields the hosts' subtree hashes, of which one row for each (host, hash) remains
-after a combined aggregation; the second deletes. Between them a host has at most a bounded number of
-templates: each occurs on MIN_SHARE of its pages at least, so there are no more than the mean number of subtrees
-of a page over MIN_SHARE. Pages meet their host's templates without a shuffle while all
-templates are few (they are counted first), else in a join by host and salt, so a host with a third of all pages is no hot task.
+A subtree is template from MIN_PAGES pages of its host on, however many pages the host has: a section's menu on a large host goes as it would
+on a host of its own. Two passes read each page: the first yields the hosts' subtree hashes, of which one row for each (host, hash) remains
+after a combined aggregation; the second deletes. While all templates are few (they are counted first), every task of the second pass gets
+them once; else each page's own hashes are joined with them, so no row or task holds all templates of a host, and pages with their own by a
+hash of the page, so a host with a third of all pages is no hot task.
 
 Defined cases: null or empty html and pages without text give an empty text; broken markup is read as far as it goes: end tags
 without start are ignored, elements left open end with their parent, a < that starts no tag is text; a null url or one
@@ -28,6 +28,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 from .common import map_batches
 
-MIN_PAGES, MIN_SHARE = 5, 0.1
-#: Templates are broadcast up to so many hashes in all; beyond, pages are joined with them in so many parts of each host.
-BROADCAST_HASHES, SALTS = 500_000, 64
+MIN_PAGES = 5
+#: Templates are broadcast up to so many hashes in all.
+BROADCAST_HASHES = 500_000
 #: Elements that never hold article text, whatever they contain.
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe object embed svg math canvas audio video button select option datalist textarea input label fieldset dialog menu head title map applet".split())
 #: Elements whose content is no markup.
@@ -246,45 +247,54 @@ def subtrees(html: str | None) -> list[int]:
 
 
 def main_text(html: str | None, template: object = ()) -> str:
-    """The page's main text, given the hashes of its host's template subtrees."""
+    """The page's main text, given the hashes of its host's template subtrees (a sorted array, or any list)."""
     root = parse(html or "")
     nodes, is_article = main_of(root)
     gone: set[int] = set()
-    if len(template):
-        known = set(template)
+    if len(template) and (found := list(candidates(nodes, is_article))):
         digests(root)
-        gone = {id(k) for k in candidates(nodes, is_article) if k.digest in known}
+        known = template if isinstance(template, np.ndarray) else np.array(sorted(template), np.int64)
+        own = np.array([k.digest for k in found], np.int64)
+        same = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+        gone = {id(found[i]) for i in np.flatnonzero(same)}
     return extract(nodes, gone)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, templates (array of hashes): subtrees that recur on min_pages pages of their host and on min_share of them."""
-    rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string"))
+def hashes(pages: DataFrame) -> DataFrame:
+    """host, page (a hash of its html), digest: the candidate subtrees of each row of pages (host, page, html), once each."""
 
-    def row(host: str, html: str | None) -> Iterator[tuple]:
+    def row(host: str, page: str | None, html: str | None) -> Iterator[tuple]:
         for d in subtrees(html):
-            yield host, d
+            yield host, page, d
 
-    seen = map_batches(rows, "host string, digest bigint", lambda: row).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    often = seen.filter(F.col("n") >= min_pages).join(total, "host").filter(F.col("n") >= F.col("pages") * min_share)
-    return often.groupBy("host").agg(F.array_sort(F.collect_list("digest")).alias("templates"))
+    return map_batches(pages.select("host", "page", "html"), "host string, page string, digest bigint", lambda: row)
 
 
-def main_texts(pages: DataFrame, **options: float) -> DataFrame:
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, digest: subtrees that recur on min_pages pages of their host."""
+    rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.lit(None).cast("string").alias("page"), F.col("html").cast("string"))
+    return hashes(rows).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "digest")
+
+
+def main_texts(pages: DataFrame, **options: int) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     known = stored(templates(pages, **options), "templates")
-    size = known.agg(F.coalesce(F.sum(F.size("templates") + 8), F.lit(0))).first()[0]
-    if size <= BROADCAST_HASHES:
-        joined = rows.join(F.broadcast(known), "host", "left")  # at most 8 bytes times BROADCAST_HASHES
-    else:  # a host's templates go to SALTS tasks, and so do its pages
-        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    joined = joined.select("page_id", "url", "html", "templates")
+    schema, size = "page_id bigint, url string, text string, n_chars bigint", lambda r: 64 + len(r[2])
+    if known.count() <= BROADCAST_HASHES:
+        by_host = known.groupBy("host").agg(F.array_sort(F.collect_list("digest")).alias("templates")).collect()
+        shared = pages.sparkSession.sparkContext.broadcast({h: np.array(d, np.int64) for h, d in by_host})  # at most 8 bytes times BROADCAST_HASHES, and the hosts
+
+        def look_up(page_id: int, url: str | None, html: str | None, host: str) -> Iterator[tuple]:
+            text = main_text(html, shared.value.get(host, ()))
+            yield page_id, url, text, len(text)
+
+        return map_batches(rows, schema, lambda: look_up, size)
+    rows = rows.withColumn("page", F.md5(F.col("html").cast("binary")))
+    own = hashes(rows).join(known, ["host", "digest"]).groupBy("host", "page").agg(F.array_sort(F.collect_set("digest")).alias("templates"))
 
     def row(page_id: int, url: str | None, html: str | None, known: object) -> Iterator[tuple]:
-        text = main_text(html, () if known is None else known.tolist())
+        text = main_text(html, () if known is None else known)
         yield page_id, url, text, len(text)
 
-    return map_batches(joined, "page_id bigint, url string, text string, n_chars bigint", lambda: row, lambda r: 64 + len(r[2]))
+    return map_batches(rows.join(own, ["host", "page"], "left").select("page_id", "url", "html", "templates"), schema, lambda: row, size)

@@ -139,3 +139,12 @@ def test_words_within_names_are_hints(spark):
     rows += [(100, "https://alone.example/", rows[0][2])]
     got = {r.page_id: r.text for r in htmltext.main_texts(pages(spark, rows)).collect()}
     assert got == {i: f"n {i} Said again" for i in range(8)} | {100: "n 0 Share it Said again"}
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_templates_of_sections_of_a_large_host_go(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(htmltext, "BROADCAST_HASHES", broadcast)
+    rows = [(i, f"https://big.example/{i}", f"<div><b>Menu of section {i % 30}</b></div><div>{'Notice of the few' if i % 600 == 1 else 'My own'} {'' if i % 600 == 1 else i}</div><p>text {i}</p>") for i in range(3000)]
+    rows += [(9000 + i, "https://small.example/", f"<div>Seldom</div><p>text {i}</p>") for i in range(4)]
+    got = {r.page_id: r.text for r in htmltext.main_texts(pages(spark, rows)).collect()}
+    assert got == {i: f"text {i}" if i % 600 == 1 else f"My own {i} text {i}" for i in range(3000)} | {9000 + i: f"Seldom text {i}" for i in range(4)}
