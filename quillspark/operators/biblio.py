@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from .components import connected_components
 
 AUTHOR_ARTICLE_LIMIT = 0.064
+#: Rows of a block of vectors of which all pairs are compared at a time.
+BLOCK_ROWS = 2000
 
 
 def coauthors(article_authors: DataFrame) -> DataFrame:
@@ -40,6 +43,52 @@ def near_edges(pairs: DataFrame) -> DataFrame:
     return pairs.join(F.broadcast(stats), F.col("distance") < F.col("limit")).drop("limit")  # one row
 
 
+def in_blocks(vectors: DataFrame, schema: str, function: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame]) -> DataFrame:
+    """All pairs of vectors (id, vec and more), each once, by groups of two blocks of about BLOCK_ROWS rows (or one block with itself).
+
+    function gets both blocks, their matrix of distances (rounded to 9 places) and the mask of the pairs that count; a missing or zero vector is at distance 1 of all.
+    """
+    blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
+    rows = vectors.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def unit(g: pd.DataFrame) -> np.ndarray:
+        dims = max((len(v) for v in g["vec"] if v is not None), default=1)
+        m = np.stack([np.zeros(dims) if v is None else np.asarray(v, float) for v in g["vec"]])
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        left, right = g[g["k"] == key[0]], g[g["k"] == key[1]]
+        if not len(left) or not len(right):
+            return function(g[:0], g[:0], np.zeros((0, 0)), np.zeros((0, 0), bool))
+        x, y = unit(left), unit(right)
+        d = np.round(np.maximum(0.0, 1 - (x @ y.T if x.shape[1] == y.shape[1] else np.zeros((len(x), len(y))))), 9)
+        mask = np.ones(d.shape, bool) if key[0] != key[1] else left["id"].to_numpy()[:, None] < right["id"].to_numpy()[None, :]
+        return function(left, right, d, mask)
+
+    return rows.withColumns({"i": F.least("k", "o"), "j": F.greatest("k", "o")}).drop("o").groupBy("i", "j").applyInPandas(run, schema)
+
+
+def near_pairs(vectors: DataFrame, limit: float | None = None) -> DataFrame:
+    """a, b, distance of all pairs of vectors(id, vec), a < b, below limit, or else below mean - deviation (population) of all pairs."""
+    if limit is None:
+
+        def sums(left: pd.DataFrame, right: pd.DataFrame, d: np.ndarray, mask: np.ndarray) -> pd.DataFrame:
+            v = d[mask]
+            m = v.mean() if len(v) else 0.0
+            return pd.DataFrame({"n": [len(v)], "s": [m * len(v)], "q": [float(((v - m) ** 2).sum()) + m * m * len(v)]})
+
+        n, s, q = in_blocks(vectors, "n bigint, s double, q double", sums).agg(F.sum("n"), F.sum("s"), F.sum("q")).first()
+        limit = s / n - max(0.0, q / n - (s / n) ** 2) ** 0.5 if n else 0.0
+
+    def near(left: pd.DataFrame, right: pd.DataFrame, d: np.ndarray, mask: np.ndarray) -> pd.DataFrame:
+        at = np.nonzero(mask & (d < limit))
+        a, b = left["id"].to_numpy()[at[0]], right["id"].to_numpy()[at[1]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": d[at]})
+
+    return in_blocks(vectors, "a bigint, b bigint, distance double", near)
+
+
 def article_ranking(edges: DataFrame, top: int) -> DataFrame:
     """article, score: sum of 1 - distance over its edges."""
     both = edges.select(F.col("a").alias("article"), "distance").union(edges.select(F.col("b").alias("article"), "distance"))
@@ -60,6 +109,28 @@ def author_article_edges(article_authors: DataFrame, edges: DataFrame, limit: fl
     return out.union(own.withColumn("distance", F.lit(0.0)))
 
 
+def author_article_means(article_authors: DataFrame, vectors: DataFrame, limit: float = AUTHOR_ARTICLE_LIMIT) -> DataFrame:
+    """author_article_edges over all pairs of vectors(id, vec); sums by author and article leave a group of blocks, not pairs."""
+    own = article_authors.select("author", "article").distinct()
+    by = own.groupBy("article").agg(F.collect_list("author").alias("authors"))
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame, d: np.ndarray, mask: np.ndarray) -> pd.DataFrame:
+        out = [pd.DataFrame({"author": [], "article": [], "s": []})]
+        for g, other, m in ((left, right, np.where(mask, d, 0.0)), (right, left, np.where(mask, d, 0.0).T)):
+            held: dict[int, list[int]] = {}
+            for at, authors in enumerate(g["authors"]):
+                for x in () if authors is None else authors:
+                    held.setdefault(x, []).append(at)
+            out += [pd.DataFrame({"author": x, "article": other["id"].to_numpy(), "s": m[at].sum(0)}) for x, at in held.items()]
+        return pd.concat(out).astype({"author": "int64", "article": "int64", "s": "float64"})
+
+    met = in_blocks(vectors.join(by, vectors["id"] == by["article"], "left").drop("article"), "author bigint, article bigint, s double", sums)
+    n = own.join(vectors.select(F.col("id").alias("article"), F.lit(1).alias("known")), "article", "left").groupBy("author").agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("k"))
+    out = met.groupBy("author", "article").agg(F.sum("s").alias("s")).join(n, "author").select("author", "article", ((F.col("s") + F.col("n") - F.col("k")) / F.col("n")).alias("distance"))
+    out = out.join(own, ["author", "article"], "left_anti").filter(F.col("distance") < limit)
+    return out.union(own.withColumn("distance", F.lit(0.0)))
+
+
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     """Row and column pairs of least total cost, as many as the shorter side has (shortest augmenting paths)."""
     if not cost.size:

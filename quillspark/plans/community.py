@@ -156,7 +156,7 @@ def coauthor_degrees(spark, sf):
     return biblio.weighted_degree(biblio.coauthors(article_authors(spark, sf)))
 
 
-# Similarity of vectors whose ids follow one another within ten places stands in for that of articles.
+# Vectors stand in for articles. Queries named pairwise, and those without SQL, compare all pairs; the others only pairs whose ids are within ten places, as their SQL does.
 NEAR = "em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0, 1 - list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v)) / sqrt(list_inner_product(y.v, y.v))), 9) AS distance FROM em x JOIN em y ON y.vec_id - x.vec_id BETWEEN 1 AND 10)"
 
 
@@ -168,6 +168,27 @@ def article_distances(spark, sf) -> DataFrame:
     return a.join(e.select(F.col("vec_id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", F.round(biblio.distance(cosine(F.col("va"), F.col("vb"))), 9).alias("distance"))
 
 
+def article_vectors(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+@query()
+def article_edges_pairwise(spark, sf):
+    """Of all pairs of articles; tests hold it against numpy over all pairs."""
+    return rounded(biblio.near_pairs(article_vectors(spark, sf)), "distance")
+
+
+@query()
+def article_ranking_pairwise(spark, sf):
+    return rounded(biblio.article_ranking(biblio.near_pairs(article_vectors(spark, sf)), 50), "score")
+
+
+@query()
+def single_link_clusters_pairwise(spark, sf):
+    near = biblio.near_pairs(article_vectors(spark, sf))
+    return components.connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 @query(f"WITH {NEAR}, m AS (SELECT avg(distance) - stddev_pop(distance) AS l FROM ds) SELECT a, b, round(distance, 6) AS distance FROM ds, m WHERE distance < l")
 def article_edges(spark, sf):
     return rounded(biblio.near_edges(article_distances(spark, sf)), "distance")
@@ -187,7 +208,7 @@ def single_link_clusters(spark, sf):
 @query()
 def component_centralities(spark, sf):
     """Weighted closeness and betweenness within clusters; tests hold them against plain versions."""
-    near = biblio.near_edges(article_distances(spark, sf))
+    near = biblio.near_pairs(article_vectors(spark, sf))
     found = components.connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return rounded(biblio.component_centralities(near, found), "closeness", "betweenness")
 
@@ -206,10 +227,17 @@ def author_article_edges(spark, sf):
     return rounded(biblio.author_article_edges(embedding_authors(spark, sf), article_distances(spark, sf), 0.99), "distance")
 
 
+@query()
+def author_article_edges_pairwise(spark, sf):
+    """Mean distances over all articles of each author; tests hold it against numpy over all pairs."""
+    return rounded(biblio.author_article_means(embedding_authors(spark, sf), article_vectors(spark, sf), 0.99), "distance")
+
+
 @query()
 def author_similarity(spark, sf):
-    """Best matchings of the articles of authors with neighbouring numbers; tests hold it against all matchings."""
-    d, by = article_distances(spark, sf), embedding_authors(spark, sf)
-    pairs = d.join(by.select(F.col("article").alias("a"), F.col("author").alias("x")), "a").join(by.select(F.col("article").alias("b"), F.col("author").alias("y")), "b").filter("x + 1 = y")
+    """Best matchings of the articles of all pairs of authors; tests hold it against all matchings."""
+    d, by = biblio.near_pairs(article_vectors(spark, sf), 0.8), embedding_authors(spark, sf)
+    both = d.union(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    pairs = both.join(by.select(F.col("article").alias("a"), F.col("author").alias("x")), "a").join(by.select(F.col("article").alias("b"), F.col("author").alias("y")), "b").filter("x < y")
     rows = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("a").alias("article_a"), F.col("b").alias("article_b"), "distance")
     return rounded(biblio.author_similarity(rows, 0.8), "similarity")
