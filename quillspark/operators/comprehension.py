@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 DAMPING, TOLERANCE = 0.85, 1e-4
 
 
-def concept_edges(tokens: DataFrame) -> DataFrame:
-    """doc_id, step, a, b: pairs of content words next to each other in their sentence, other words passed over; a < b.
+def concept_edges(tokens: DataFrame, sentence: tuple[str, ...] = ("step",)) -> DataFrame:
+    """doc_id, sentence columns, a, b: pairs of content words next to each other in their sentence, other words passed over; a < b.
 
-    tokens: doc_id, step, tok_ix, lemma, content (boolean). Where an annotator supplies dependencies, those with the words between collapsed take its place.
+    tokens: doc_id, the columns that tell sentences apart, tok_ix, lemma, content (boolean). Where an annotator supplies dependencies, those with the words between collapsed take its place.
     """
-    w = Window.partitionBy("doc_id", "step").orderBy("tok_ix")
+    w = Window.partitionBy("doc_id", *sentence).orderBy("tok_ix")
     rows = tokens.filter("content").withColumn("next", F.lead("lemma").over(w)).filter("next is not null and next <> lemma")
-    return rows.select("doc_id", "step", F.least("lemma", "next").alias("a"), F.greatest("lemma", "next").alias("b")).distinct()
+    return rows.select("doc_id", *sentence, F.least("lemma", "next").alias("a"), F.greatest("lemma", "next").alias("b")).distinct()
 
 
 def spread(nodes: list[str], edges: dict[tuple[str, str], float], start: dict[str, float]) -> dict[str, float]:

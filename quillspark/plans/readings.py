@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import apps, comprehension, measures, rhythm, segment, wordnet
@@ -27,11 +28,20 @@ def query(sql: str | None = None):
     return add
 
 
-def concepts(spark, sf):
-    t = annotated_of(spark, sf)
+def sentence_concepts(t: DataFrame) -> DataFrame:
+    """doc_id, block_ix, sent_ix, a, b of annotated tokens."""
     content = F.col("pos").isin("NOUN", "VERB", "ADJ", "ADV", "PRON") & ~F.col("is_stop")
-    step = (F.col("block_ix") * 1000 + F.col("sent_ix")).cast("int")
-    return comprehension.concept_edges(t.select("doc_id", step.alias("step"), "tok_ix", "lemma", content.alias("content")))
+    return comprehension.concept_edges(t.select(*segment.SENT, "tok_ix", "lemma", content.alias("content")), ("block_ix", "sent_ix"))
+
+
+def numbered(edges: DataFrame) -> DataFrame:
+    """doc_id, step, a, b: steps count the document's sentences that have edges, from 0, however long its blocks are."""
+    w = Window.partitionBy("doc_id").orderBy("block_ix", "sent_ix")
+    return edges.select("doc_id", (F.dense_rank().over(w) - 1).alias("step"), "a", "b")
+
+
+def concepts(spark, sf):
+    return numbered(sentence_concepts(annotated_of(spark, sf)))
 
 
 CONCEPTS = f"{ANNOTATED}, n AS (SELECT doc_id, block_ix * 1000 + sent_ix AS step, lemma, lead(lemma) OVER (PARTITION BY doc_id, block_ix, sent_ix ORDER BY tok_ix) AS next FROM a WHERE pos IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PRON') AND NOT is_stop), ce AS (SELECT DISTINCT doc_id, step, least(lemma, next) AS a, greatest(lemma, next) AS b FROM n WHERE next IS NOT NULL AND next <> lemma)"
@@ -39,7 +49,14 @@ CONCEPTS = f"{ANNOTATED}, n AS (SELECT doc_id, block_ix * 1000 + sent_ix AS step
 
 @query(f"WITH {CONCEPTS} SELECT * FROM ce")
 def concept_edges(spark, sf):
-    return concepts(spark, sf)
+    """By the SQL's step, a label that sentences from 1,000 on share with the next block's; concept_edges_by_sentence tells them apart."""
+    step = (F.col("block_ix") * 1000 + F.col("sent_ix")).cast("int")
+    return sentence_concepts(annotated_of(spark, sf)).select("doc_id", step.alias("step"), "a", "b").distinct()
+
+
+@query(f"WITH {ANNOTATED}, n AS (SELECT doc_id, block_ix, sent_ix, lemma, lead(lemma) OVER (PARTITION BY doc_id, block_ix, sent_ix ORDER BY tok_ix) AS next FROM a WHERE pos IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PRON') AND NOT is_stop) SELECT DISTINCT doc_id, block_ix, sent_ix, least(lemma, next) AS a, greatest(lemma, next) AS b FROM n WHERE next IS NOT NULL AND next <> lemma")
+def concept_edges_by_sentence(spark, sf):
+    return sentence_concepts(annotated_of(spark, sf))
 
 
 @query()
