@@ -343,6 +343,15 @@ def spelling_suggestions(spark, sf):
     return grammar_ro.suggestions(grammar_ro.misspelled(segment.tokens(docs_of(spark, sf)), d).filter(F.col("lemma").rlike("^[a-z]{1,8}$")), d, 1)
 
 
+@query()
+def spelling_suggestions_all(spark, sf):
+    """For all misspelled words, within the operator's own two edits; tests hold it against all pairs."""
+    from ..sources.lexicons import lexicon
+
+    d = lexicon(spark, "lex_pos")
+    return grammar_ro.suggestions(grammar_ro.misspelled(segment.tokens(docs_of(spark, sf)), d), d)
+
+
 @query(f"WITH {TOKENS} SELECT doc_id, block_ix, sent_ix, tok_ix, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, block_ix, sent_ix ORDER BY tok_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start FROM t")
 def token_offsets(spark, sf):
     return grammar_ro.with_offsets(segment.tokens(docs_of(spark, sf))).select(*segment.SENT, "tok_ix", "start")
