@@ -1,21 +1,25 @@
 """Main text of web pages by removal of site templates.
 
 A page is read into a tree of elements. The hash of an element's subtree stands for its markup and text; Spark
-counts on how many pages of a host each subtree occurs, and subtrees that recur on many pages of their host are
-deleted as template, wherever they stand outside running text. What remains of the article, less the elements that by their
-name or role are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments, is the text.
+counts on how many different pages of a host each subtree occurs, and subtrees that recur on MIN_PAGES pages are
+deleted as template wherever they stand on the page, however many pages the host has: a section's menu on a large host goes as it would
+on a host of its own. Pages of equal text are one page, so copies of an article don't make it a template. What remains of the
+article, less what HTML itself defines to be none (nav, footer, aside, form, script and the like, landmark roles, hidden elements), is the text.
+
+Elements named as parts of a page (a whole class or id such as sidebar, not has-sidebar) have content of their own on every page, so their subtrees
+needn't recur, but their place does: the hash of tag and name, the slot, is counted as well. A name counts only if SLOT_PAGES different pages
+of the host have the slot; on hosts of fewer than MIN_PAGES different pages, where nothing can be counted, it counts by itself. Reader comments go by name.
 
 The article is the part below the page's article or main element (or the element of that role) if there is one,
 else the body. It is looked for outside elements with the name of a part first, then below them; an element that holds an article or main
-element never goes by its name, unless it is named as reader comments (which many sites mark up as articles). A name is a whole
-class, id or role: sidebar, not has-sidebar or overflow-hidden. A paragraph or heading inside such an article is the author's, even if other
-pages repeat it; there only whole containers, lists and tables can be template, and what has a part's word within a name (share-line).
+element never goes by its name, unless it is named as reader comments (which many sites mark up as articles). A paragraph or heading inside such
+an article is the author's, even if other pages repeat it; there only whole containers, lists and tables can be template, and what has
+a part's word within a name (share-line). Without such an element, paragraphs are counted like everything else.
 
-A subtree is template from MIN_PAGES pages of its host on, however many pages the host has: a section's menu on a large host goes as it would
-on a host of its own. Two passes read each page: the first yields the hosts' subtree hashes, of which one row for each (host, hash) remains
-after a combined aggregation; the second deletes. While all templates are few (they are counted first), every task of the second pass gets
+Two passes read each page: the first yields the hosts' hashes, counted by combined aggregations over (host, hash, page text), so a host with
+a third of all pages is no hot task; the second deletes. While all templates are few (they are counted first), every task of the second pass gets
 them once; else each page's own hashes are joined with them, so no row or task holds all templates of a host, and pages with their own by a
-hash of the page, so a host with a third of all pages is no hot task.
+hash of the page.
 
 Defined cases: null or empty html and pages without text give an empty text; broken markup is read as far as it goes: end tags
 without start are ignored, elements left open end with their parent, a < that starts no tag is text; a null url or one
@@ -36,7 +40,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 from .common import map_batches
 
-MIN_PAGES = 5
+#: Different pages of a host from which on a subtree is template, and from which on a named slot is the site's.
+MIN_PAGES, SLOT_PAGES = 5, 2
 #: Templates are broadcast up to so many hashes in all.
 BROADCAST_HASHES = 500_000
 #: Elements that never hold article text, whatever they contain.
@@ -53,7 +58,9 @@ RUNNING = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr thead tbody
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: Headings go neither by name nor for a word within one.
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Names (a whole class, id or role) that tell an element's part on the page; as a word within a longer name they are a hint only.
+#: Roles that HTML defines for what is no article text.
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar alert alertdialog dialog form".split())
+#: Names (a whole class or id) that tell an element's part on the page, if its slot recurs; as a word within a longer name they are a hint only.
 PARTS = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot adbox banner sponsor sponsored sponsors promo promos promotion promoted outbrain taboola "
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs pagination pager toc "
@@ -75,12 +82,12 @@ HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 class Node:
     """kids: nodes and text in page order. part: it is no article text by its name or role. hint: a name has a part's word.
-    main: 2 article, 1 main or content. holds: such an element is below it."""
+    slot: hash of tag and name if its part rests on a name alone, else 0. main: 2 article, 1 main or content. holds: such an element is below it."""
 
-    __slots__ = ("tag", "part", "main", "hint", "holds", "kids", "digest")
+    __slots__ = ("tag", "part", "main", "hint", "slot", "holds", "kids", "digest")
 
-    def __init__(self, tag: str, part: int = 0, main: int = 0, hint: bool = False) -> None:
-        self.tag, self.part, self.main, self.hint, self.holds, self.kids, self.digest = tag, part, main, hint, False, [], 0
+    def __init__(self, tag: str, part: int = 0, main: int = 0, hint: bool = False, slot: int = 0) -> None:
+        self.tag, self.part, self.main, self.hint, self.slot, self.holds, self.kids, self.digest = tag, part, main, hint, slot, False, [], 0
 
     @property
     def dropped(self) -> bool:
@@ -91,24 +98,38 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
-def _role(tag: str, attributes: str) -> tuple[int, int, bool]:
-    part, main, hint = NAMED if tag == "form" else CLOSED if tag in DROPPED else 0, {"article": 2, "main": 1}.get(tag, 0), False
+def _hash(text: str, slot: bool) -> int:
+    """A signed 64-bit hash, odd for slots and even for subtrees; PAGES is neither's."""
+    return ((xxhash.xxh64_intdigest(text) | 2) & ~1 | slot) - (1 << 63)
+
+
+#: Stands for the page itself among a host's hashes: on how many different pages of the host it occurs.
+PAGES = 0
+
+
+def _role(tag: str, attributes: str) -> tuple[int, int, bool, int]:
+    part, main, hint, slot = NAMED if tag == "form" else CLOSED if tag in DROPPED else 0, {"article": 2, "main": 1}.get(tag, 0), False, 0
     if attributes and part < CLOSED and tag not in ("body", "html"):
+        defined = part
         for name, a, b, c in NAMES.findall(attributes):
-            value, name = a or b or c, name.lower()
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                part = CLOSED
+            value, name = (a or b or c).lower(), name.lower()
+            if name == "hidden" or (name == "aria-hidden" and value == "true"):
+                part = defined = CLOSED
             elif name == "itemprop":
-                main = max(main, 2 if value.lower() == "articlebody" else 0)
-            elif name == "role" and value.lower() in ("article", "main"):
-                main = max(main, 2 if value.lower() == "article" else 1)
-            elif name in ("class", "id", "role") and tag not in HEADINGS:
-                if not PARTS.isdisjoint(names := value.lower().split()):
+                main = max(main, 2 if value == "articlebody" else 0)
+            elif name == "role":
+                main = max(main, {"article": 2, "main": 1}.get(value, 0))
+                if value in ROLES and tag not in HEADINGS:
+                    part = defined = max(defined, NAMED)
+            elif name in ("class", "id") and tag not in HEADINGS:
+                if not PARTS.isdisjoint(names := value.split()):
                     part = max(part, NAMED if COMMENTS.isdisjoint(names) else COMMENTED)
-                hint = hint or not PARTS.isdisjoint(SPLIT.split(CAMEL.sub(" ", value).lower()))
+                    slot = _hash(f"{tag} {name} {' '.join(sorted(PARTS.intersection(names)))}", True)
+                hint = hint or not PARTS.isdisjoint(SPLIT.split(CAMEL.sub(" ", a or b or c).lower()))
+        slot = slot if part == NAMED and not defined else 0
     if main and part < CLOSED:
-        part, hint = 0, False
-    return part, main, hint
+        part, hint, slot = 0, False, 0
+    return part, main, hint, slot
 
 
 def parse(html: str) -> Node:
@@ -183,29 +204,34 @@ def main_of(root: Node) -> tuple[list[Node], bool]:
     return [root], False
 
 
-def digests(root: Node) -> None:
-    """Sets the subtree hash of every element: tags and text in order, white space aside. No recursion, however deep the page."""
-    order, open_ = [], [root]
+def elements(root: Node) -> Iterator[Node]:
+    """All elements, parents first. No recursion, however deep the page."""
+    open_ = [root]
     while open_:
         node = open_.pop()
-        order.append(node)
+        yield node
         open_ += [k for k in node.kids if not isinstance(k, str)]
-    for node in reversed(order):
+
+
+def digests(root: Node) -> None:
+    """Sets the subtree hash of every element: tags and text in order, white space aside."""
+    for node in reversed(list(elements(root))):
         parts = [node.tag, *(" ".join(k.split()) if isinstance(k, str) else f"<{k.digest:x}>" for k in node.kids)]
-        node.digest = xxhash.xxh64_intdigest("\0".join(p for p in parts if p)) - (1 << 63)
+        node.digest = _hash("\0".join(p for p in parts if p), False)
 
 
-def candidates(nodes: list[Node], is_article: bool) -> Iterator[Node]:
-    """Elements that would be deleted if they turned out to be template."""
-    open_ = list(nodes)
+def candidates(root: Node) -> Iterator[Node]:
+    """Elements of the whole page that are deleted if they turn out to be template; inside an article those that aren't running text."""
+    open_ = [(root, False)]
     while open_:
-        node = open_.pop()
+        node, inside = open_.pop()
         for k in node.kids:
-            if isinstance(k, str) or k.dropped or k.tag in VOID:
+            if isinstance(k, str) or k.tag in VOID or k.tag in RAW:
                 continue
-            if (k.hint and not k.holds) or (not (is_article and k.tag in RUNNING) and k.tag not in INLINE and k.tag not in ("html", "body")):
+            if not (k.main or k.holds or k.tag in ("html", "body", "head")) and (k.hint or not (k.tag in INLINE or (inside and k.tag in RUNNING))):
                 yield k
-            open_.append(k)
+            if k.part < CLOSED:
+                open_.append((k, inside or k.main > 0))
 
 
 def extract(nodes: list[Node], gone: set[int]) -> str:
@@ -235,66 +261,77 @@ def extract(nodes: list[Node], gone: set[int]) -> str:
     return " ".join(blocks)
 
 
-def subtrees(html: str | None) -> list[int]:
-    """Distinct hashes of the page's candidate subtrees."""
+def _seen(html: str | None) -> tuple[Node, list[Node]]:
+    """A page's tree with digests, and its candidates."""
     root = parse(html or "")
-    nodes, is_article = main_of(root)
-    found = list(candidates(nodes, is_article))
-    if not found:
-        return []
     digests(root)
-    return sorted({k.digest for k in found})
+    return root, list(candidates(root))
+
+
+def subtrees(html: str | None) -> tuple[int, list[int]]:
+    """A hash of the page's text as it is without templates, and the distinct hashes of its candidate subtrees and named slots, PAGES among them."""
+    root, found = _seen(html)
+    text = extract(main_of(root)[0], set())
+    return _hash(text, False), sorted({PAGES, *(k.digest for k in found), *(k.slot for k in elements(root) if k.slot)})
+
+
+def cleaned(html: str | None, template: object = ()) -> tuple[str, int]:
+    """The page's main text, given the hashes that recur on its host (a sorted array, or any list), and how many elements went as template."""
+    known = template if isinstance(template, np.ndarray) else np.array(sorted(template), np.int64)
+    if not len(known):
+        return extract(main_of(parse(html or ""))[0], set()), 0
+    recurs = lambda own: known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+    root, found = _seen(html)
+    named = [k for k in elements(root) if k.slot]
+    if recurs(np.array([PAGES]))[0]:
+        for k, site in zip(named, recurs(np.array([k.slot for k in named], np.int64)), strict=True):
+            if not site:
+                k.part = 0
+    gone = {id(k) for k, same in zip(found, recurs(np.array([k.digest for k in found], np.int64)), strict=True) if same}
+    return extract(main_of(root)[0], gone), len(gone)
 
 
 def main_text(html: str | None, template: object = ()) -> str:
-    """The page's main text, given the hashes of its host's template subtrees (a sorted array, or any list)."""
-    root = parse(html or "")
-    nodes, is_article = main_of(root)
-    gone: set[int] = set()
-    if len(template) and (found := list(candidates(nodes, is_article))):
-        digests(root)
-        known = template if isinstance(template, np.ndarray) else np.array(sorted(template), np.int64)
-        own = np.array([k.digest for k in found], np.int64)
-        same = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-        gone = {id(found[i]) for i in np.flatnonzero(same)}
-    return extract(nodes, gone)
+    return cleaned(html, template)[0]
 
 
 def hashes(pages: DataFrame) -> DataFrame:
-    """host, page (a hash of its html), digest: the candidate subtrees of each row of pages (host, page, html), once each."""
+    """host, page (a hash of its html), text (of its text), digest: the hashes of each row of pages (host, page, html), once each."""
 
     def row(host: str, page: str | None, html: str | None) -> Iterator[tuple]:
-        for d in subtrees(html):
-            yield host, page, d
+        text, found = subtrees(html)
+        for d in found:
+            yield host, page, text, d
 
-    return map_batches(pages.select("host", "page", "html"), "host string, page string, digest bigint", lambda: row)
+    return map_batches(pages.select("host", "page", "html"), "host string, page string, text bigint, digest bigint", lambda: row)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, digest: subtrees that recur on min_pages pages of their host."""
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, slot_pages: int = SLOT_PAGES) -> DataFrame:
+    """host, digest: subtrees that recur on min_pages different pages of their host, slots that do on slot_pages, and PAGES of hosts with min_pages."""
     rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.lit(None).cast("string").alias("page"), F.col("html").cast("string"))
-    return hashes(rows).groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "digest")
+    counted = hashes(rows).groupBy("host", "digest").agg(F.countDistinct("text").alias("n"))
+    return counted.filter(F.col("n") >= F.when(F.pmod("digest", F.lit(2)) == 1, slot_pages).otherwise(min_pages)).select("host", "digest")
 
 
 def main_texts(pages: DataFrame, **options: int) -> DataFrame:
-    """page_id, url, text, n_chars of each row of pages."""
+    """page_id, url, text, n_chars, n_templates (elements deleted as template) of each row of pages."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
     known = stored(templates(pages, **options), "templates")
-    schema, size = "page_id bigint, url string, text string, n_chars bigint", lambda r: 64 + len(r[2])
+    schema, size = "page_id bigint, url string, text string, n_chars bigint, n_templates int", lambda r: 64 + len(r[2])
     if known.count() <= BROADCAST_HASHES:
         by_host = known.groupBy("host").agg(F.array_sort(F.collect_list("digest")).alias("templates")).collect()
         shared = pages.sparkSession.sparkContext.broadcast({h: np.array(d, np.int64) for h, d in by_host})  # at most 8 bytes times BROADCAST_HASHES, and the hosts
 
         def look_up(page_id: int, url: str | None, html: str | None, host: str) -> Iterator[tuple]:
-            text = main_text(html, shared.value.get(host, ()))
-            yield page_id, url, text, len(text)
+            text, n = cleaned(html, shared.value.get(host, ()))
+            yield page_id, url, text, len(text), n
 
         return map_batches(rows, schema, lambda: look_up, size)
     rows = rows.withColumn("page", F.md5(F.col("html").cast("binary")))
     own = hashes(rows).join(known, ["host", "digest"]).groupBy("host", "page").agg(F.array_sort(F.collect_set("digest")).alias("templates"))
 
     def row(page_id: int, url: str | None, html: str | None, known: object) -> Iterator[tuple]:
-        text = main_text(html, () if known is None else known)
-        yield page_id, url, text, len(text)
+        text, n = cleaned(html, () if known is None else known)
+        yield page_id, url, text, len(text), n
 
     return map_batches(rows.join(own, ["host", "page"], "left").select("page_id", "url", "html", "templates"), schema, lambda: row, size)

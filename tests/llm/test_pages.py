@@ -148,3 +148,37 @@ def test_templates_of_sections_of_a_large_host_go(spark, broadcast, monkeypatch)
     rows += [(9000 + i, "https://small.example/", f"<div>Seldom</div><p>text {i}</p>") for i in range(4)]
     got = {r.page_id: r.text for r in htmltext.main_texts(pages(spark, rows)).collect()}
     assert got == {i: f"text {i}" if i % 600 == 1 else f"My own {i} text {i}" for i in range(3000)} | {9000 + i: f"Seldom text {i}" for i in range(4)}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    same, bare = "<article><h1>T</h1><div class='body'><p>Hello world same.</p></div></article>", "<div><p>Hello bare same.</p></div>"
+    rows = [(i, "https://copies.example/", f"<script>track({i})</script>{same}") for i in range(6)] + [(10 + i, "https://bare.example/", f"<nav>{i}</nav>{bare}") for i in range(6)]
+    got = {r.page_id: r.text for r in htmltext.main_texts(pages(spark, rows)).collect()}
+    assert got == {i: "T Hello world same." for i in range(6)} | {10 + i: "Hello bare same." for i in range(6)}
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_counting_alone_cleans_pages_without_article(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(htmltext, "BROADCAST_HASHES", broadcast)
+    html = lambda i: f"<div><span>Home</span> <span>About us</span></div><table><tr><td>Prices of today</td></tr></table><div><h1>Title {i}</h1><p>Body {i}.</p></div><p>All rights ours.</p>"
+    rows = [(i, "https://plain.example/", html(i)) for i in range(7)]
+    got = {r.page_id: (r.text, r.n_templates) for r in htmltext.main_texts(pages(spark, rows)).collect()}
+    assert {i: t for i, (t, _) in got.items()} == {i: f"Title {i} Body {i}." for i in range(7)}
+    assert all(n >= 3 for _, n in got.values())
+    off = {r.page_id: r.text for r in htmltext.main_texts(pages(spark, rows), min_pages=8).collect()}
+    assert all("Home" in t and "Prices" in t and "rights" in t for t in off.values())
+
+
+def test_names_count_where_their_slot_recurs(spark):
+    rows = [(i, "https://many.example/", f"<div class='sidebar'>aside {i}</div><p>text {i}</p>") for i in range(6)]
+    rows += [(6, "https://many.example/", "<div class='notice'>the author's own</div><p>text 6</p>"), (7, "https://few.example/", "<div class='notice'>gone</div><p>text 7</p>")]
+    rows += [(8, "https://many.example/", "<div role='navigation'>n</div><div class='comments'>c</div><p>text 8</p>")]
+    got = {r.page_id: r.text for r in htmltext.main_texts(pages(spark, rows)).collect()}
+    assert got == {i: f"text {i}" for i in range(6)} | {6: "the author's own text 6", 7: "text 7", 8: "text 8"}
+
+
+def test_templates_are_found_in_the_pages_table(spark, sf):
+    docs = table(spark, sf, "pages")
+    found = htmltext.main_texts(docs, min_pages=2).filter("n_templates > 0").count()
+    assert found > 0
+    assert htmltext.main_texts(docs, min_pages=10**9, slot_pages=10**9).filter("n_templates > 0").count() == 0
