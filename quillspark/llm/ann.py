@@ -1,21 +1,22 @@
 """Nearest neighbours by additive quantisation: beam-search encoding, lookup-table scoring, exact reranking.
 
 A vector is stored as the sum of one codeword from each of CODEBOOKS codebooks of full dimension, each learned on
-the residuals that the codebooks before it leave; a beam search keeps the BEAM best partial sums. Codes and the norm of the sum are the index.
+the residuals that the codebooks before it leave; a beam search keeps the BEAM best partial sums. Codes and the squared norm of the sum are the index.
 A query's inner products with all codewords make a lookup table, so that a candidate's score is a sum of
-table entries (for Euclidean distance the stored norm joins it). The best SHORTLIST are then scored exactly, in double precision.
+table entries; for Euclidean distance the stored norm joins it. The best SHORTLIST of a block are then scored exactly, in double precision.
 
 Codebooks are fitted on the driver on at most SAMPLE_ROWS vectors in hash order of their ids; every vector is indexed.
 Equal vectors are one index entry with the smallest ids that can be asked for, so that a
 vector that a third of all rows repeat neither crowds out a shortlist nor makes a hot group.
 
-Queries against candidates is done in blocks: the index is dealt into blocks of rows, the queries into blocks of
-QUERY_ROWS, and each pair of blocks is one bounded task that leaves its shortlist for each query; shortlists are merged by rank.
+Queries meet candidates in blocks: the index is dealt into blocks of at most about INDEX_ROWS rows (codes and vectors), the queries into blocks of about
+QUERY_ROWS; each pair of blocks is one bounded task, which scores, reranks and leaves only the exact best of each query. Blocks of the index are
+at least as many as shuffle partitions, so that small tables are worked on in parallel too.
 
-Defined cases: null and empty vectors, those with null or non-finite components and zero vectors take no part, and so do those of
-another length than the most frequent (the greatest of equally frequent) one, as no inner product is defined; a query id
-that occurs in several rows asks once for each of its distinct vectors, and never finds its own id; ties go to the smaller id; fewer candidates than
-asked for are all returned; without vectors the result is empty; other columns are ignored.
+Defined cases: null and empty vectors, those with null or non-finite components and zero vectors take no part; vectors meet those of their own length
+only, as no inner product is defined between lengths; lengths other than the most frequent (the greatest of equally frequent) one have no codebooks and are
+compared exactly, in the same blocks; a query id that occurs in several rows asks once for each of its distinct vectors, and never finds its own id; ties go to
+the smaller id; fewer candidates than asked for are all returned; without vectors the result is empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from .common import hash_sample
 
 SAMPLE_ROWS, CODEBOOKS, CODEWORDS, BEAM, ROUNDS = 4096, 24, 256, 4, 8
 SHORTLIST, TOP = 400, 20
-QUERY_ROWS, INDEX_ROWS = 512, 131_072
+QUERY_ROWS, INDEX_ROWS = 8192, 65_536
+#: Rows below which a block of the index isn't split for the sake of parallel work.
+LEAST_ROWS = 2048
 EVERY = 20
 
 
@@ -90,68 +93,93 @@ def fit(x: np.ndarray, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, r
 
 
 def valid(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (array<double>) of the vectors that take part."""
+    """vec_id, embedding, dims of the vectors that take part; embedding stays single precision if it is."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
     v = F.col("embedding")
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and size(embedding) > 0")
-    fine = rows.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    lengths = fine.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return fine.filter(F.size(v) == (lengths.n if lengths else 0))
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), F.size("embedding").alias("dims")).filter("vec_id is not null and dims > 0")
+    return rows.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, shortlist: int = SHORTLIST) -> DataFrame:
-    """query_id, rank, vec_id, score: the top nearest by inner product of each row whose id is divisible by every."""
+def exact(x: np.ndarray, q: np.ndarray, euclidean: bool = False) -> np.ndarray:
+    """The measure of each row of x, added up from the first component to the last: inner product, or the squared distance as a negative number."""
+    return -((x - q) ** 2).cumsum(axis=1)[:, -1] if euclidean else (x * q).cumsum(axis=1)[:, -1]
+
+
+def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP, shortlist: int = SHORTLIST, euclidean: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the top nearest by inner product of each row whose id is divisible by every.
+
+    With euclidean, nearest by distance instead, score being the squared distance as a negative number. A shortlist as long as a block (INDEX_ROWS) makes the search exact.
+    """
     spark = vectors.sparkSession
     rows = valid(vectors).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.hash("embedding"))
     rows = stored(rows, "ann-vectors")
     one = ["h1", "h2", "embedding"]
-    entries = stored(rows.groupBy(*one).agg(F.min("vec_id").alias("entry")), "ann-entries")
-    queries = stored(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct(), "ann-queries")
-    n_entries, n_queries = entries.count(), queries.count()
-    sample = hash_sample(entries, F.col("entry"), SAMPLE_ROWS, n_entries).orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE_ROWS).select("embedding").collect()
-    if not sample:
+    entries = stored(rows.groupBy("dims", *one).agg(F.min("vec_id").alias("entry"), F.count(F.lit(1)).alias("n")), "ann-entries")
+    queries = stored(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "dims", "embedding").distinct(), "ann-queries")
+    lengths = entries.groupBy("dims").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("rows"), F.desc("dims")).first()
+    if not lengths:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    dims, n_entries, n_queries = lengths.dims, entries.count(), queries.count()
+    usual = entries.filter(F.col("dims") == dims)
+    sample = hash_sample(usual, F.col("entry"), SAMPLE_ROWS, lengths.n).orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE_ROWS).select("embedding").collect()
+    if not sample:  # so few that none falls below the threshold
+        sample = usual.orderBy("entry").limit(SAMPLE_ROWS).select("embedding").collect()
     shared = spark.sparkContext.broadcast(fit(np.array([r.embedding for r in sample])))  # codebooks only: a fixed size
 
-    index_blocks, query_blocks = -(-n_entries // INDEX_ROWS), max(1, -(-n_queries // QUERY_ROWS))
-    deal = lambda df, key, n: df.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            codes, norms = shared.value.encode(np.stack(b["embedding"].to_list()) if len(b) else np.zeros((0, shared.value.books.shape[2])))
-            yield pd.DataFrame({"entry": b["entry"], "codes": [c.tobytes() for c in codes], "norm": norms})
-
-    index = stored(entries.select("entry", "embedding").mapInPandas(encoded, "entry bigint, codes binary, norm float"), "ann-index")
-
-    def scored(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "entry": [], "approx": []}
+            fits = (b["dims"] == dims).to_numpy()
+            codes, norms = shared.value.encode(np.stack(b["embedding"][fits].to_list()) if fits.any() else np.zeros((0, dims)))
+            b["codes"], b["norm"] = None, np.float32(0)
+            b.loc[fits, "codes"] = pd.Series([c.tobytes() for c in codes], b.index[fits], dtype=object)
+            b.loc[fits, "norm"] = norms
+            yield b
+
+    kind = entries.schema["embedding"].dataType.simpleString()
+    index = stored(entries.select("dims", "entry", "embedding").mapInPandas(encoded, f"dims int, entry bigint, embedding {kind}, codes binary, norm float"), "ann-index")
+
+    def scored(key: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = {"query_id": [], "entry": [], "score": []}
         if len(q) and len(c):
             c = c.sort_values("entry")
-            ids, codes = c["entry"].to_numpy(), np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1).T.astype(np.int64)
+            ids, x = c["entry"].to_numpy(), np.stack(c["embedding"].to_list()).astype(np.float64)
+            coded = key[0] == dims and len(x) > shortlist
+            codes = np.frombuffer(b"".join(c["codes"]), np.uint8).reshape(len(c), -1).T.astype(np.int64) if coded else None
+            norm = c["norm"].to_numpy()
             for at in range(0, len(q), 256):
                 part = q.iloc[at : at + 256]
-                for query, lut in zip(part["query_id"].to_numpy(), shared.value.tables(np.stack(part["embedding"].to_list())), strict=True):
-                    s = lut[0][codes[0]]
-                    for m in range(1, len(codes)):
-                        s += lut[m][codes[m]]
-                    best = np.arange(len(s)) if len(s) <= shortlist else np.argpartition(-s, shortlist - 1)[:shortlist]
-                    out["query_id"].append(np.full(len(best), query))
-                    out["entry"].append(ids[best])
-                    out["approx"].append(s[best])
-        return pd.DataFrame({k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}).astype({"query_id": "int64", "entry": "int64", "approx": "float32"})
-
-    q = deal(queries, "query_id", query_blocks).withColumnRenamed("block", "qb").withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))))
-    c = deal(index, "entry", index_blocks).withColumnRenamed("block", "ib").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    found = q.groupBy("qb", "ib").cogroup(c.select("qb", "ib", "entry", "codes").groupBy("qb", "ib")).applyInPandas(scored, "query_id bigint, entry bigint, approx float")
-    short = found.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), "entry"))).filter(F.col("r") <= shortlist).select("query_id", "entry")
-
-    # each entry stands for its smallest ids: one more than asked for, as a query may be among them
-    members = rows.select("vec_id", *one).withColumn("k", F.row_number().over(Window.partitionBy(*one).orderBy("vec_id"))).filter(F.col("k") <= top + 1)
-    ids = members.join(entries, one).select("entry", "vec_id")
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    exact = short.join(entries.select("entry", F.col("embedding").alias("b")), "entry").join(queries.select("query_id", F.col("embedding").alias("a")), "query_id").select("query_id", "entry", dot.alias("score"))
+                v = np.stack(part["embedding"].to_list()).astype(np.float64)
+                luts = shared.value.tables(v) if coded else [None] * len(v)
+                for query, y, lut in zip(part["query_id"].to_numpy(), v, luts, strict=True):
+                    best = np.arange(len(x))
+                    if coded:
+                        s = lut[0][codes[0]]
+                        for m in range(1, len(codes)):
+                            s += lut[m][codes[m]]
+                        best = np.argpartition(norm - 2 * s if euclidean else -s, shortlist - 1)[:shortlist]
+                    score = exact(x[best], y, euclidean)
+                    order = np.lexsort((ids[best], -score))[: top + 1]
+                    out["query_id"].append(np.full(len(order), query))
+                    out["entry"].append(ids[best][order])
+                    out["score"].append(score[order])
+        return pd.DataFrame({k: np.concatenate(v) if v else np.zeros(0) for k, v in out.items()}).astype({"query_id": "int64", "entry": "int64", "score": "float64"})
+
+    index_blocks = max(-(-n_entries // INDEX_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_entries // LEAST_ROWS)))
+    query_blocks = max(1, -(-n_queries // QUERY_ROWS))
+    deal = lambda df, key, name, n: df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = ["dims", "qb", "ib"]
+    q = deal(queries, "query_id", "qb", query_blocks).withColumn("ib", all_of(index_blocks))
+    c = deal(index, "entry", "ib", index_blocks).withColumn("qb", all_of(query_blocks))
+    found = q.groupBy(*cell).cogroup(c.groupBy(*cell)).applyInPandas(scored, "query_id bigint, entry bigint, score double")
+
     # entries beyond the top by score can't hold an answer: each has at least one id, and one of them may be the query's own
     by_entry = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
-    kept = exact.withColumn("r", F.row_number().over(by_entry)).filter(F.col("r") <= top + 1).drop("r")
-    pairs = kept.join(ids, "entry").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    kept = found.groupBy("query_id", "entry").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(by_entry)).filter(F.col("r") <= top + 1).drop("r")
+    # an entry of several rows stands for its smallest ids: one more than asked for, as a query may be among them
+    several = rows.join(entries.filter("n > 1").select(*one, "entry"), one).select("entry", "vec_id")
+    several = several.withColumn("k", F.row_number().over(Window.partitionBy("entry").orderBy("vec_id"))).filter(F.col("k") <= top + 1).drop("k")
+    pairs = kept.join(several, "entry", "left").withColumn("vec_id", F.coalesce("vec_id", "entry")).filter("vec_id <> query_id")
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -182,3 +182,31 @@ def test_quantizer_sums_and_norms():
     greedy, _ = q.encode(x, beam=1)
     loss = lambda c: ((x - sum(q.books[m][c[:, m]] for m in range(6))) ** 2).sum()
     assert loss(codes) <= loss(greedy)
+
+
+@pytest.mark.parametrize("euclidean", [False, True])
+def test_short_shortlists_still_find_the_nearest(spark, sf, euclidean):
+    rows = table(spark, f"{sf.rsplit('/', 1)[0]}/sf0.1", "embeddings").select("vec_id", "embedding").toPandas()
+    rng = np.random.default_rng(5)
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_list()).astype(float) * rng.uniform(0.5, 2, (len(rows), 1))
+    vectors = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id bigint, embedding array<double>")
+    got = ann.nearest(vectors, shortlist=60, euclidean=euclidean).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        y = x[ids == q][0]
+        score = -((x - y) ** 2).sum(1) if euclidean else x @ y
+        score[ids == q] = -np.inf
+        hits += len(set(ids[np.argsort(-score)[:20]]) & set(g["vec_id"]))
+        assert np.allclose(g["score"], [score[ids == v][0] for v in g["vec_id"]], atol=1e-9)
+    assert hits / len(got) >= 0.9 and len(got) == 20 * sum(ids % 20 == 0)
+
+
+def test_lengths_meet_their_own_and_ids_may_repeat(spark):
+    rows = [(20 * i, [1.0, float(i)]) for i in range(4)] + [(100 + i, [1.0, 2.0, float(i)]) for i in range(30)] + [(20, [1.0, 5.0, 5.0]), (20, [0.0, 1.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    by = {q: [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 20, 60, 100)}
+    assert by[60] == [(40, 7.0), (20, 4.0), (0, 1.0)] and by[0] == [(20, 1.0), (40, 1.0), (60, 1.0)]
+    assert by[20][:2] == [(129, 156.0), (128, 151.0)] and 20 not in [v for v, _ in by[20]]
+    assert by[100][0] == (129, 5.0) or by[100][0][0] == 20
+    invalid = spark.createDataFrame([(20, None), (40, []), (60, [0.0, 0.0]), (80, [float("nan")])], "vec_id bigint, embedding array<double>")
+    assert ann.nearest(invalid).count() == 0
