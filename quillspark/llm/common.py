@@ -31,6 +31,16 @@ def hash_sample(df: DataFrame, key: Column, wanted: int, total: int) -> DataFram
     return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def sample_shares(df: DataFrame, group: str, key: str, wanted: int) -> DataFrame:
+    """Rows of about 1.5 times wanted distinct keys (a hash) of each group, or all of a small group, by thresholds of the key.
+
+    Distinct keys are counted by sketches that combine before the shuffle. The driver gets one row for each group, so groups must be few, as classes of a model are.
+    """
+    counts = df.groupBy(group).agg(F.approx_count_distinct(key).alias("n")).collect()
+    share = df.sparkSession.createDataFrame([(r[group], int(min(1.0, (1.5 * wanted + 50) / max(0.9 * r.n, 1)) * (1 << 30))) for r in counts], f"{group} string, __below bigint")
+    return df.join(F.broadcast(share), group).filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < F.col("__below")).drop("__below")  # one row for each group
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[..., Iterable[tuple]]], size: Callable[[tuple], int] | None = None) -> DataFrame:
     """df through a Python function that gets one row's values and yields output rows as tuples.
 

@@ -8,7 +8,8 @@ wrong bits are corrected. A text whose two best losses are closer than MARGIN is
 
 Up to 7 languages have the exhaustive code (every split of the languages once, 2^(k-1)-1 bits), more have 63
 hash-random bits. The fit runs on the driver over at most SAMPLE_ROWS documents of each language in hash order of
-their ids, SAMPLE_TOTAL documents and SAMPLE_CHARS characters in all; every document is scored, whole.
+their ids and texts, SAMPLE_TOTAL documents and SAMPLE_CHARS characters in all; hash thresholds by language bound what any task holds of a language
+before it is sorted. Every document is scored, whole.
 
 Defined cases: null texts and texts without a letter are `und`, with score 0, not ambiguous; so is everything if
 no document has a language to learn; with one learned language, every text with a letter has that language, score 1; equal texts
@@ -17,24 +18,25 @@ get equal results; an empty table gives an empty result. Other columns are ignor
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TokenTable, map_batches
+from .common import TokenTable, map_batches, sample_shares
 
 SAMPLE_ROWS, SAMPLE_TOTAL, SAMPLE_CHARS = 400, 2000, 8_000_000
 BUCKETS, GRAMS = 1 << 13, (2, 3)
 STEPS, RATE, DECAY = 80, 0.05, 1e-6
 MARGIN = 0.05
 EXHAUSTIVE, RANDOM_BITS = 7, 63
-WORDS = re.compile(r"[^\W\d_]+").findall
+#: Letters, with the marks that follow them; digits, fractions, Roman numeral signs and the like are none.
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 UNKNOWN = "und"
 
 
@@ -150,18 +152,19 @@ def fit(texts: list[str], langs: list[str], steps: int = STEPS) -> Model:
 
 
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on text and lang of docs; rows to hold out are to be filtered before."""
+    """Fits on text and lang of docs; rows to hold out are to be filtered before. Equal rows count once."""
     order = F.xxhash64("doc_id", F.col("text"))
-    ids = docs.filter("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.length("text").alias("n"), order.alias("h"))
+    hashed = docs.filter("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), order.alias("h"))
+    ids = sample_shares(hashed, "lang", "h", sample_rows).select("doc_id", "lang", F.length("text").alias("n"), "h").distinct()
     ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= sample_rows)
     chosen, left = [], SAMPLE_CHARS
     for r in ranked.orderBy("r", "lang").limit(SAMPLE_TOTAL).collect():
         if r.n <= left:
             left -= r.n
-            chosen.append((r.doc_id, r.h))
-    picked = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, h bigint")
-    hashed = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), order.alias("h")).filter("lang is not null and text is not null")
-    rows = hashed.join(F.broadcast(picked.distinct()), ["doc_id", "h"]).orderBy("h", "doc_id").collect()  # at most SAMPLE_TOTAL ids
+            chosen.append((r.doc_id, r.lang, r.h))
+    picked = docs.sparkSession.createDataFrame(chosen, "doc_id bigint, lang string, h bigint")
+    rows = hashed.join(F.broadcast(picked), ["doc_id", "lang", "h"]).groupBy("doc_id", "lang", "h").agg(F.min("text").alias("text"))  # at most SAMPLE_TOTAL ids
+    rows = rows.orderBy("h", "doc_id", "lang").collect()
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 

@@ -280,3 +280,42 @@ def test_held_out_languages(spark, sf):
 def test_folds_are_those_of_crc32(spark):
     rows = spark.range(200).select("id", fold_of(F.col("id"), 5).alias("fold")).collect()
     assert all(r.fold == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
+
+
+def test_texts_without_letters_have_no_language(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = langid.train(docs)
+    rows = spark.createDataFrame(list(enumerate(["½ ² ③ Ⅷ", "12 ٣ _ -- 😀", "①②", "ª", "é", "日本"])), "doc_id bigint, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(rows, model).collect()}
+    assert [got[i] == "und" for i in range(6)] == [True, True, True, False, False, False]
+
+
+def test_languages_are_learned_from_bounded_samples(spark):
+    rows = [(i % 50, f"wort haus {i % 50}", "de", "x") for i in range(3000)] + [(5000 + i, f"word house {i}", "en", "y") for i in range(40)] + [(9000, None, "en", "z"), (9001, "t", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, h string")
+    model = langid.train(docs, sample_rows=30)
+    assert model.languages == ["de", "en"]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs.filter("lang is not null").dropDuplicates(["doc_id"]), model).collect()}
+    assert got[3] == "de" and got[5003] == "en" and got[9000] == "und"
+    assert langid.train(docs.filter("lang = 'de'")).languages == ["de"]
+
+
+def test_media_and_language_queries_as_registered(spark, sf):
+    from quillspark.llm import queries
+
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").collect()}
+    rows = queries.op2_media_columns(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        n, payload = media.padded(texts[r.doc_id])
+        stream = media.mux(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.media_bytes, r.media_sha256) == (zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest())
+    for r in queries.op3_language_id(spark, sf).collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1
+    truth = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    got = {r.doc_id: r for r in queries.op1_toxicity(spark, sf).collect()}
+    assert sorted(got) == sorted(texts)
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for i, r in got.items())
+    held = [i for i, y in truth.items() if i in got and got[i].held_out and y is not None]
+    assert sum(got[i].predicted == truth[i] for i in held) >= 0.9 * len(held)
