@@ -182,14 +182,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
         return Model({}, 0.0, float(bool(counts.get(1))))
     order = F.xxhash64("doc_id")
     chosen = spark.createDataFrame([tuple(r) for c in (0, 1) for r in hash_sample(known.filter(F.col("toxic") == c), F.col("doc_id"), sample_rows, counts[c]).orderBy(order, "doc_id").limit(sample_rows).collect()], "doc_id bigint, toxic int")
-    rows = stored(docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # at most twice sample_rows ids
-    sizes = rows.select("doc_id", F.length("text").alias("n"), order.alias("h")).orderBy("h", "doc_id").limit(4 * sample_rows).collect()
+    # equal rows count once, and of the texts of one id the least hash, so that a row repeated very often stays one
+    rows = docs.select("doc_id", F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")  # at most twice sample_rows ids
+    rows = stored(rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxicity-sample")
+    sizes = rows.select("doc_id", F.length("text").alias("n"), order.alias("h")).orderBy("h", "doc_id").collect()
     left, ids = sample_chars, []
     for r in sizes:
         if (r.n or 0) <= left:
             left -= r.n or 0
             ids.append(r.doc_id)
-    took = [(r.text or "", r.toxic) for r in rows.filter(F.col("doc_id").isin(ids)).orderBy(order, "doc_id", "text").collect()]
+    took = [(r.text or "", r.toxic) for r in rows.filter(F.col("doc_id").isin(ids)).orderBy(order, "doc_id").collect()]
     n = Counter(y for _, y in took)
     if not n[0] or not n[1]:
         return Model({}, 0.0, counts[1] / (counts[0] + counts[1]))
