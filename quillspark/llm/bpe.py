@@ -218,12 +218,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
     return map_batches(docs.select(*keep, F.col("text").cast("string")), f"{kept}, ids array<int>", _each(shared, use), lambda row: 64 + 4 * len(row[-1]))
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """encoded (whose last column is ids), and decoded binary, the bytes of the ids."""
-    shared = encoded.sparkSession.sparkContext.broadcast(Codec(ranks, pattern))
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """encoded (whose last column is ids), and decoded binary, the bytes of the ids. Needs the tokens alone, no hash."""
+    shared = encoded.sparkSession.sparkContext.broadcast({r: k for k, r in ranks.items()})  # the vocabulary
     kept = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes)
 
-    def use(codec: Codec) -> Callable:
-        return lambda *row: [(*row, codec.decode(row[-1].tolist()))]
+    def make() -> Callable:
+        token = shared.value.__getitem__
+        return lambda *row: [(*row, b"".join(map(token, row[-1].tolist())))]
 
-    return map_batches(encoded, f"{kept}, decoded binary", _each(shared, use), lambda row: 64 + 4 * len(row[-2]) + len(row[-1]))
+    return map_batches(encoded, f"{kept}, decoded binary", make, lambda row: 64 + 4 * len(row[-2]) + len(row[-1]))
