@@ -1,28 +1,26 @@
 """Mixing sources to target weights by hash-random order, distributed prefix sums and exact budgets.
 
-Every document gets a random key (the MD5 of seed and id). Documents are range-sorted by (source, key), each
-partition sums its sizes per source, these few sums are added up over the partitions before it, and a running
-sum inside each partition gives every document the place [before, before + size) in its source. A source with
+Every document gets a random key (the MD5 of seed and id). Documents are range-sorted by (source, key) and written with the number of
+their range; each range sums its sizes per source, these few sums are added up over the ranges before it, and a running
+sum inside each (source, range) gives every document the place [before, before + size) in its source. A source with
 S words and a budget of B words is read B // S whole times and then up to word B % S of its random order.
 
-Nothing here depends on how many rows one source has: the range sort splits a source over many partitions.
-The driver sees one row for each source and one for each (partition, source) only.
+Nothing here depends on how many rows one source has: the range sort splits a source over many ranges. All is DataFrame code;
+the driver sees one row for each source, to share the targets among them.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, last
-in order; equal ids get equal keys and are put in order by size; equal rows are interchangeable; an empty table gives
+in order; equal ids get equal keys and are put in order by size and a hash of the row; equal rows are interchangeable; an empty table gives
 an empty result; other columns are ignored; sources without words have target 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import checkpoint, stored
+from ..sources.tables import stored
 from .common import WORD
 
 WEIGHTS = (1, 2, 3)
@@ -55,60 +53,51 @@ def targets(sizes: Sequence[tuple[str | None, int]], weights: Sequence[float] =
     return out
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Tells rows of one id (or without id) apart, unless they are equal."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"])
+
+
 def mix(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS, partitions: int | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes, repeats counted."""
+    """doc_id, source, size, source_size, target, taken, row (hash of the whole row): how many words of each document the mix takes, repeats counted."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), text_size(F.col("text")).alias("size")), "mix-sizes")
-    totals = {r.source: int(r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    source = F.col("source").cast("string")
+    named = F.coalesce(F.concat(F.lit("="), source), F.lit(""))  # a null source is the empty name
+    sized = stored(docs.select("doc_id", named.alias("source"), text_size(F.col("text")).alias("size"), row_hash(docs).alias("row")), "mix-sizes")
+    totals = {r.source[1:] if r.source else None: int(r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     goal = targets(list(totals.items()), weights, most)
+    plan = spark.createDataFrame([("" if s is None else f"={s}", k, float(goal[s]), int(round(goal[s]))) for s, k in totals.items()], "source string, source_size bigint, target double, budget bigint")
+
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
-    ordered = checkpoint(sized.select("doc_id", "source", "size", key).repartitionByRange(n, "source", "key", "size").sortWithinPartitions("source", "key", "size").withColumn("part", F.spark_partition_id()))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ordered.groupBy("source", "part").agg(F.sum("size").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    starts = {(r.part, r.source): int(r.start) for r in sums.select("part", "source", "start").collect()}
-    plan = {s: (totals[s], float(goal[s]), int(round(goal[s]))) for s in totals}
-    schema = "doc_id bigint, source string, size bigint, source_size bigint, target double, taken bigint"
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: dict[str | None, int] = {}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            sources, size, part = b.column("source").to_pylist(), b.column("size").to_numpy(), b.column("part")[0].as_py()
-            taken, whole, target = (np.zeros(b.num_rows, t) for t in ("int64", "int64", "float64"))
-            i = 0
-            while i < len(sources):
-                s, j = sources[i], i + 1
-                while j < len(sources) and sources[j] == s:
-                    j += 1
-                first = at.get(s, starts[part, s])
-                ends = first + np.cumsum(size[i:j])
-                at[s] = int(ends[-1])
-                whole[i:j], target[i:j], budget = plan[s]
-                epochs, rest = divmod(budget, plan[s][0]) if plan[s][0] else (0, 0)
-                taken[i:j] = size[i:j] * epochs + np.clip(rest - (ends - size[i:j]), 0, size[i:j])
-                i = j
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sources, pa.string()), b.column("size"), pa.array(whole), pa.array(target), pa.array(taken)], names=["doc_id", "source", "size", "source_size", "target", "taken"])
-
-    return ordered.mapInArrow(place, schema)
+    ranges = sized.select("doc_id", "source", "size", "row", key).repartitionByRange(n, "source", "key", "size", "row")
+    ranges = stored(ranges.withColumn("part", F.spark_partition_id()), "mix-ranges")  # written, so that a range stays the same whoever reads it
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("source", "part").agg(F.sum("size").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(plan, "source").drop("n")
+    inside = Window.partitionBy("source", "part").orderBy("key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranges.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["source", "part"])
+    last = F.expr("budget % source_size") - F.col("start") - F.col("inside")
+    taken = F.expr("size * (budget div source_size)") + F.greatest(F.lit(0), F.least("size", last))
+    name = F.when(F.col("source") != "", F.substr("source", F.lit(2)))
+    return placed.select("doc_id", name.alias("source"), "size", "source_size", "target", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("bigint").alias("taken"), "row")
 
 
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: docs with the rows of each document repeated as often as the mix reads it, columns unchanged.
 
-    The last reading of the document in which a source's budget ends is cut behind its last word taken.
-    Repeated ids are told apart by their place among the rows of that id.
+    The last reading of the document in which a source's budget ends is cut behind its last word taken. Rows meet their plan by id and
+    row hash; equal rows, of which the mix takes at most three different lengths, are numbered and share the lengths by number.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__key")
-    place = lambda df, size: df.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("source", size)))
-    plan = place(mix(docs, **options).select(key, "source", "size", "taken"), F.col("size")).filter("taken > 0")
-    # one row for each id, so that the texts are shuffled once, by id, for their places and for the join
-    plan = plan.groupBy("__key").agg(F.collect_list(F.struct("__place", "taken", "size")).alias("__plan"))
-    rows = place(docs.select("*", key), text_size(F.col("text"))).join(plan, "__key")
-    own = F.filter("__plan", lambda x: x["__place"] == F.col("__place"))
-    joined = rows.withColumn("__own", F.explode(own)).withColumn("__size", F.col("__own.size"))
-    readings = F.transform(F.sequence(F.lit(1), F.ceil(F.col("__own.taken") / F.col("__size")).cast("int")), lambda k: F.least(F.col("__size"), F.col("__own.taken") - (k - 1) * F.col("__size")))
+    key = ["__id", "__row"]
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")
+    plan = mix(docs, **options).select(ident, F.col("row").alias("__row"), "taken").groupBy(*key, "taken").agg(F.count(F.lit(1)).alias("n"))
+    # one small row for each id and row hash, so that the texts are shuffled once, for their numbers and for the join
+    plan = plan.groupBy(*key).agg(F.collect_list(F.struct("taken", "n")).alias("__plan"))
+    rows = docs.select("*", ident, row_hash(docs).alias("__row")).withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    start = F.struct(F.col("__place").cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("taken"))
+    share = F.aggregate(F.array_sort("__plan"), start, lambda s, x: F.struct((s["left"] - x["n"]).alias("left"), F.when((s["left"] > 0) & (s["left"] <= x["n"]), x["taken"]).otherwise(s["taken"]).alias("taken")))
+    joined = rows.join(plan, key).withColumn("__taken", share["taken"]).filter("__taken > 0").withColumn("__size", text_size(F.col("text")))
+    readings = F.transform(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int")), lambda k: F.least(F.col("__size"), F.col("__taken") - (k - 1) * F.col("__size")))
     cut = F.when(F.col("__take") == F.col("__size"), F.col("text")).otherwise(F.expr(r"array_join(slice(regexp_extract_all(text, r'" + WORD + r"', 0), 1, cast(__take as int)), ' ')"))
     out = joined.withColumn("__take", F.explode(readings)).withColumn("text", cut)
     if "n_chars" in docs.columns:

@@ -319,3 +319,21 @@ def test_media_and_language_queries_as_registered(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == int(r.score >= 0.5) for i, r in got.items())
     held = [i for i, y in truth.items() if i in got and got[i].held_out and y is not None]
     assert sum(got[i].predicted == truth[i] for i in held) >= 0.9 * len(held)
+
+
+def test_mix_of_rows_without_and_with_equal_ids(spark):
+    rng = random.Random(9)
+    rows = [(None, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(1, 9))), rng.choice("ab")) for _ in range(200)]
+    rows += [(7, "one two three", "a")] * 50 + [(7, "four five", "b")] * 3 + [(8, None, "a"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = mixing.mix(docs).collect()
+    assert len(plan) == len(rows)
+    words = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        words[r.source] += len(r.text.split())
+    taken = Counter()
+    for r in plan:
+        taken[r.source] += r.taken
+    assert words == +taken
+    assert all(abs(taken[r.source] - r.target) <= 1 for r in plan)
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
