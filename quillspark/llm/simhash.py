@@ -8,15 +8,15 @@ dealt out.
 
 Which tiles meet: two fingerprints within radius r agree in at least one of r + 1 disjoint bit blocks, so each node
 is dealt to r + 1 groups, one for each block and the value of its bits there, and only nodes of one group are
-compared. This loses no pair. A group of more than TILE_ROWS nodes is split into tiles by population count and hash,
-each pair of its tiles is a cell of its own, and a node goes to every cell its tile is part of.
+compared. This loses no pair. A group of more than TILE_ROWS nodes is split into tiles in order of population count (and by hash, where one
+count has more nodes than a tile), each pair of its tiles within the radius is a cell of its own, and a node goes to every cell its tile is part of.
 
 Inside a cell, linked nodes are joined at once and only a forest of links (fewer than its nodes) leaves it, however
 many pairs are linked. The forests' union has the same components as all links; these are found by
 distributed star contraction. Nothing is collected on the driver.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and are linked like any other; fewer words than a shingle
-make one shingle of all of them; rows with equal ids count as one document for the component and keep a row each; a null id
+make one shingle of all of them; rows with equal ids keep a row each and aren't linked by their id, only by their fingerprints; a null id
 stands in no component of its own (component_id is the smallest id of rows with its fingerprint's links, or null); an
 empty table gives an empty result; other columns are ignored.
 """
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -110,19 +110,36 @@ def forest(fps: np.ndarray, side: np.ndarray | None, radius: int) -> Iterator[tu
                     js = js[root[js] != root[i]]
 
 
+def heavy_tiles(dealt: DataFrame, tile_rows: int) -> DataFrame:
+    """b, v, counts (ones, tile, parts) and tiles (tile, low, high, parts) of the groups of dealt(b, v, ones) with more than tile_rows nodes.
+
+    Nodes are put in order of population count; each tile_rows of them begin a tile, which then spans the counts low to high. A count with more
+    nodes than that is split by hash into parts. Both lists are bounded: 65 counts, and as many tiles.
+    """
+    group = Window.partitionBy("b", "v")
+    n = dealt.groupBy("b", "v", "ones").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.sum("n").over(group)).filter(F.col("all") > tile_rows)
+    before = F.coalesce(F.sum("n").over(group.orderBy("ones").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select("b", "v", "ones", F.floor(before / tile_rows).alias("tile"), F.ceil(F.col("n") / tile_rows).cast("int").alias("parts"))
+    spans = n.groupBy("b", "v", "tile").agg(F.min("ones").alias("low"), F.max("ones").alias("high"), F.max("parts").alias("parts"), F.collect_list(F.struct("ones", "tile", "parts")).alias("counts"))
+    return spans.groupBy("b", "v").agg(F.flatten(F.collect_list("counts")).alias("counts"), F.collect_list(F.struct("tile", "low", "high", "parts")).alias("tiles"))
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """u, v: a forest over the ids of nodes(fp, rep) with the same components as all links."""
     blocks = radius + 1
     edges = [64 * i // blocks for i in range(blocks + 1)]
     value = lambda i: F.shiftrightunsigned(F.shiftleft("fp", 64 - edges[i + 1]), 64 - edges[i + 1] + edges[i])
-    dealt = nodes.withColumn("k", F.explode(F.array(*[F.struct(F.lit(i).alias("b"), value(i).alias("v")) for i in range(blocks)]))).select("fp", "rep", "k.b", "k.v")
-    heavy = dealt.groupBy("b", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile_rows).select("b", "v", F.ceil(F.col("n") / tile_rows).cast("int").alias("parts"))
-    tiled = dealt.join(heavy, ["b", "v"], "left").withColumn("ones", F.bit_count("fp")).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    # the cells of a tile: itself with every tile of a population count within the radius, the lesser tile first
-    others = F.flatten(F.transform(F.sequence(F.col("ones") - radius, F.col("ones") + radius), lambda o: F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(o.alias("ones"), p.cast("int").alias("part")))))
-    own = F.struct(F.col("ones").alias("ones"), F.col("part").alias("part"))
-    cells = F.when(F.col("parts").isNull(), F.array(F.struct(F.lit("").alias("cell"), F.lit(None).cast("int").alias("side")))).otherwise(
-        F.transform(others, lambda t: F.struct(F.concat_ws(",", F.least(t, own)["ones"], F.least(t, own)["part"], F.greatest(t, own)["ones"], F.greatest(t, own)["part"]).alias("cell"), F.when(t == own, None).otherwise((t < own).cast("int")).alias("side")))
+    dealt = nodes.withColumn("k", F.explode(F.array(*[F.struct(F.lit(i).alias("b"), value(i).alias("v")) for i in range(blocks)]))).select("fp", "rep", F.bit_count("fp").alias("ones"), "k.b", "k.v")
+    tiles = heavy_tiles(dealt, tile_rows)
+    tiled = dealt.join(tiles, ["b", "v"], "left")
+    mine = F.filter("counts", lambda x: x["ones"] == F.col("ones"))[0]
+    own = F.struct(mine["tile"].alias("tile"), F.pmod(F.xxhash64("fp"), mine["parts"]).cast("int").alias("part"))
+    span = F.filter("tiles", lambda x: x["tile"] == mine["tile"])[0]
+    # the cells of a tile: itself with every tile that has a population count within the radius of one of its own, the lesser tile first
+    near = F.filter("tiles", lambda x: (x["low"] - span["high"] <= radius) & (span["low"] - x["high"] <= radius))
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda p: F.struct(x["tile"].alias("tile"), p.alias("part")))))
+    cells = F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit("").alias("cell"), F.lit(None).cast("int").alias("side")))).otherwise(
+        F.transform(others, lambda t: F.struct(F.concat_ws(",", F.least(t, own)["tile"], F.least(t, own)["part"], F.greatest(t, own)["tile"], F.greatest(t, own)["part"]).alias("cell"), F.when(t == own, None).otherwise((t < own).cast("int")).alias("side")))
     )
     rows = tiled.withColumn("c", F.explode(cells)).select("b", "v", "c.cell", "c.side", "fp", "rep").repartition("b", "v", "cell").sortWithinPartitions("b", "v", "cell")
 
