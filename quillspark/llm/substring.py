@@ -8,7 +8,8 @@ windows are left to index, and no shared window is missed.
 The index is log-structured. Documents come in batches of ascending ids; the anchors of a batch, with their
 first and last document, are written as one sorted immutable run, hashed into buckets. Each new batch is merge-joined with
 the runs before it, bucket by bucket, without shuffling history again; anchors found there, or twice in the
-batch, are hits. Once there are FAN_IN runs they are merged into one. Hits are verified: the windows under a hit, in
+batch, are hits. Once there are FAN_IN runs they are merged into one, which the batches after it are joined with. An index can be saved, opened
+in another session and gone on with. Hits are verified: the windows under a hit, in
 the documents that have it, are compared by 128-bit hashes of their fifty words, and the first document of each
 window is found exactly, among all of them.
 
@@ -38,45 +39,85 @@ from .common import map_batches
 from .windows import BASES, SEEDS, anchors, rolling, word_hashes, words_of
 
 WINDOW, GRAM = 50, 25
-BATCHES, FAN_IN = 3, 3
+BATCHES, FAN_IN = 3, 2
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 
 class FingerprintIndex:
     """Sorted immutable runs of (anchor, first, last): the ids of the first and last document that have an anchor.
 
-    Runs are bucketed tables below the shared folder. Batches must come in ascending order of ids.
+    Runs are bucketed tables below folder (by default one of its own in the shared folder). Batches must come in ascending order of ids.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN) -> None:
-        self.spark, self.fan_in, self.runs = spark, fan_in, []
+    COLUMNS = "anchor bigint, first bigint, last bigint"
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fan_in: int = FAN_IN, folder: str | None = None) -> None:
+        self.spark, self.fan_in = spark, fan_in
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = folder or f"{shared_dir(spark)}/fingerprint-index-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
-    def _write(self, run: DataFrame) -> DataFrame:
-        name = f"fingerprint_run_{uuid.uuid4().hex}"
-        run.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
-        return self.spark.table(name)
+    @property
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.table(n) for n in self.names]
 
-    def add(self, batch: DataFrame) -> DataFrame:
+    def _write(self, run: DataFrame) -> str:
+        name = f"fingerprint_run_{uuid.uuid4().hex}"
+        run.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", f"{self.folder}/{name}").saveAsTable(name)
+        return name
+
+    def _drop(self, names: list[str]) -> None:
+        """Takes runs out of the catalogue and deletes their files."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for n in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")
+            path.getFileSystem(conf).delete(path, True)
+
+    def add(self, batch: DataFrame, compact: bool = True) -> DataFrame:
         """Adds the anchors of a batch (doc_id, anchor); gives those that an earlier document has too, or two of the batch: anchor, first."""
-        run = self._write(batch.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-        hits = [run.filter("first < last").select("anchor", "first")]
-        hits += [run.join(old.select("anchor", F.col("first").alias("old")), "anchor").select("anchor", F.col("old").alias("first")) for old in self.runs]
-        self.runs.append(run)
-        out = hits[0]
-        for h in hits[1:]:
-            out = out.union(h)
+        before = self.runs
+        name = self._write(batch.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+        run = self.spark.table(name)
+        out = run.filter("first < last").select("anchor", "first")
+        for old in before:
+            out = out.union(run.join(old.select("anchor", F.col("first").alias("old")), "anchor").select("anchor", F.col("old").alias("first")))
+        self.names.append(name)
         out = stored(out, "fingerprint-hits")
-        if len(self.runs) >= self.fan_in:
+        if compact and len(self.names) >= self.fan_in:
             self.compact()
         return out
 
     def compact(self) -> None:
-        """Merges all runs into one. Their buckets agree, so each is merged where it lies."""
-        merged = self.runs[0]
-        for r in self.runs[1:]:
-            merged = merged.union(r)
-        self.runs = [self._write(merged.groupBy("anchor").agg(F.min("first").alias("first"), F.max("last").alias("last")))]
+        """Merges all runs into one, by full outer merge joins of the sorted buckets where they lie; the old runs go.
+
+        Not by an aggregation over their union: Spark 4.1 plans none of the shuffles that it needs over bucketed scans, and leaves equal anchors apart.
+        """
+        merged, *rest = self.runs
+        for r in rest:
+            r = r.toDF("anchor", "__first", "__last")
+            merged = merged.join(r, "anchor", "full_outer").select("anchor", F.least("first", "__first").alias("first"), F.greatest("last", "__last").alias("last"))
+        old, self.names = self.names, [self._write(merged)]
+        self._drop(old)
+
+    def save(self) -> str:
+        """Writes down which runs the index has; open() takes the folder that this returns."""
+        self.spark.createDataFrame([(n, self.buckets) for n in self.names], "run string, buckets int").coalesce(1).write.mode("overwrite").json(f"{self.folder}/runs")
+        return self.folder
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, fan_in: int = FAN_IN) -> FingerprintIndex:
+        """A saved index, also of a session that is gone."""
+        found = spark.read.json(f"{folder}/runs", schema="run string, buckets int").orderBy("run").collect()  # one row for each run
+        index = cls(spark, found[0].buckets if found else None, fan_in, folder)
+        for r in found:
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {r.run} ({cls.COLUMNS}) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {r.buckets} BUCKETS LOCATION '{folder}/{r.run}'")
+            index.names.append(r.run)
+        return index
+
+    def discard(self) -> None:
+        self._drop(self.names)
+        self.names = []
 
 
 def profiles(docs: DataFrame) -> DataFrame:
@@ -133,13 +174,14 @@ def repeated_passages(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     cuts = known.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or [] if batches > 1 else []
     bounds = [None, *sorted(set(cuts)), None]
     hits = None
-    for low, high in zip(bounds, bounds[1:], strict=False):
+    for at, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
         batch = single
         batch = batch if low is None else batch.filter(F.col("doc_id") > low)
         batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
-        found = index.add(batch)
+        found = index.add(batch, compact=at + 2 < len(bounds))
         hits = found if hits is None else hits.union(found)
 
+    index.discard()  # hits are written; nothing below reads the runs
     hits = stored(hits.groupBy("anchor").agg(F.min("first").alias("first")), "substring-hits")
     of_row = single.join(hits, "anchor").groupBy("doc_id", "row").agg(F.collect_list("anchor").alias("hits"), F.collect_list(F.col("first") < F.col("doc_id")).alias("earlier"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("string"))

@@ -210,3 +210,19 @@ def test_lengths_meet_their_own_and_ids_may_repeat(spark):
     assert by[100][0] == (129, 5.0) or by[100][0][0] == 20
     invalid = spark.createDataFrame([(20, None), (40, []), (60, [0.0, 0.0]), (80, [float("nan")])], "vec_id bigint, embedding array<double>")
     assert ann.nearest(invalid).count() == 0
+
+
+def test_an_index_goes_on_in_another_session(spark):
+    batch = lambda rows: spark.createDataFrame(rows, "doc_id bigint, anchor bigint")
+    index = substring.FingerprintIndex(spark, buckets=4, fan_in=3)
+    index.add(batch([(1, 10), (2, 11)]))
+    index.add(batch([(3, 12)]))
+    folder = index.save()
+    for n in index.names:  # as if the catalogue were another one
+        spark.sql(f"DROP TABLE {n}")
+    again = substring.FingerprintIndex.open(spark, folder, fan_in=3)
+    assert {tuple(r) for r in again.add(batch([(4, 10), (5, 12), (6, 13)])).collect()} == {(10, 1), (12, 3)}
+    assert len(again.names) == 1 and again.runs[0].count() == 4  # merged; the merged run is what the next batch meets
+    assert {tuple(r) for r in again.add(batch([(7, 13), (8, 11)])).collect()} == {(13, 6), (11, 2)}
+    again.discard()
+    assert not again.runs
