@@ -6,12 +6,14 @@ packetised elementary packets (access units) with presentation timestamps. Acces
 random-access group carry the random-access flag and a program clock in the adaptation field; the last packet of a
 unit is filled by stuffing in the adaptation field, so that nothing but the payload's bytes comes back.
 
-Reading finds the tables, checks their CRC, follows the PIDs they name, checks the continuity counters of every
-PID, reassembles the elementary packets and takes note of timestamps and random-access points. A counter that
-jumps or a table that fails its CRC is counted in the features, and the elementary stream is still what arrived.
-
-Defined cases: null text is an empty text; an empty text stores 64 zero bytes; equal payloads give equal streams;
-other columns are ignored; an empty table gives an empty result.
+Reading finds the tables (sections may span packets), checks their CRC, follows the PIDs they name, checks the continuity counters of every
+PID (a packet sent twice and a discontinuity that the stream announces are no jump), reassembles each PID's elementary packets up to the length
+that they tell, and takes note of timestamps, clocks and random-access points. What goes wrong is counted in the features, and an elementary
+stream is still what arrived: counters that jump, tables that fail their CRC, elementary packets shorter than they tell, and faults: bytes passed over to the
+next sync byte, packets marked as damaged, a last packet that is cut off. demux() raises at a lost sync unless told otherwise; read() never does.
+
+Defined cases: null text is an empty text; an empty text stores 64 zero bytes; equal payloads give equal streams; null media hold nothing
+(null payload, null feature, no units); other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -119,21 +121,42 @@ def _filled(head: bytes, counter: int, field: bytes, data: bytes) -> bytes:
     return head + bytes([0x30 | counter, room - 1]) + field.ljust(room - 1, b"\xff") + data
 
 
+class Unit(NamedTuple):
+    """An access unit: its offset in the stream of its PID, timestamp (-1: none), random-access flag and clock of its first packet (-1: none)."""
+
+    at: int
+    pts: int
+    access: bool
+    clock: int = -1
+
+
 class Stream(NamedTuple):
-    """What a transport stream holds. units: offset in the payload, timestamp (-1: none) and random-access flag of each unit."""
+    """What a transport stream holds: for each elementary PID its bytes and units; programs as (number, PID, type); and counts."""
 
-    payload: bytes
+    payloads: dict[int, bytes]
     packets: int
     programs: tuple[tuple[int, int, int], ...]
-    units: tuple[tuple[int, int, bool], ...]
+    units_of: dict[int, tuple[Unit, ...]]
     jumps: int
     bad_tables: int
+    short: int
+    faults: int
+
+    @property
+    def payload(self) -> bytes:
+        """The stream of the first program's first PID."""
+        return self.payloads.get(self.programs[0][1], b"") if self.programs else b""
+
+    @property
+    def units(self) -> tuple[Unit, ...]:
+        return self.units_of.get(self.programs[0][1], ()) if self.programs else ()
 
     @property
     def feature(self) -> str:
-        stamps = [u[1] for u in self.units if u[1] >= 0]
-        access = ".".join(str(u[1]) for u in self.units if u[2])
-        return f"packets={self.packets};programs={'.'.join(f'{p}-{pid}-{kind}' for p, pid, kind in self.programs)};units={len(self.units)};first={stamps[0] if stamps else -1};last={stamps[-1] if stamps else -1};access={access};jumps={self.jumps};bad_tables={self.bad_tables}"
+        units, stamps = self.units, [u.pts for u in self.units if u.pts >= 0]
+        access = ".".join(str(u.pts) for u in units if u.access)
+        clock = max((u.clock for u in units), default=-1)
+        return f"packets={self.packets};programs={'.'.join(f'{p}-{pid}-{kind}' for p, pid, kind in self.programs)};units={len(units)};first={stamps[0] if stamps else -1};last={stamps[-1] if stamps else -1};access={access};clock={clock};jumps={self.jumps};bad_tables={self.bad_tables};short={self.short};faults={self.faults}"
 
 
 @lru_cache(maxsize=256)
@@ -162,54 +185,142 @@ def _checked(section: bytes, table: int) -> bytes | None:
     return section[8 : end - 4]
 
 
-def demux(stream: bytes) -> Stream:
-    """Reads a transport stream; PIDs that no program map names are passed over."""
-    if len(stream) % PACKET:
+class _Elementary:
+    """The elementary stream of one PID while it is read."""
+
+    def __init__(self) -> None:
+        self.parts: list[bytes] = []
+        self.units: list[Unit] = []
+        self.size, self.left, self.short = 0, -1, 0  # left: bytes that the open unit still has (-1: until the next one begins)
+
+    def begin(self, s: bytes, i: int, end: int, clock: int, access: bool) -> None:
+        self.end()
+        if end - i < 9 or s[i : i + 3] != b"\x00\x00\x01" or end - i < 9 + s[i + 8]:
+            self.short += 1
+            self.left = 0
+            return
+        told, head = int.from_bytes(s[i + 4 : i + 6], "big"), 9 + s[i + 8]
+        self.units.append(Unit(self.size, _read_stamp(s, i) if s[i + 8] >= 5 else -1, access, clock))
+        self.left = told - head + 6 if told else -1
+        self.go_on(s, i + head, end)
+
+    def go_on(self, s: bytes, i: int, end: int) -> None:
+        n = end - i if self.left < 0 else min(end - i, self.left)
+        if n > 0:
+            self.parts.append(s[i : i + n])
+            self.size += n
+            if self.left > 0:
+                self.left -= n
+
+    def end(self) -> None:
+        self.short += self.left > 0
+        self.left = 0
+
+
+class _Sections:
+    """The sections of one table PID, which may span packets, or share one."""
+
+    def __init__(self) -> None:
+        self.held: bytes | None = None
+
+    def push(self, data: bytes, start: bool) -> Iterator[bytes]:
+        if start:
+            pointer = data[0] if data else 0
+            if self.held is not None:
+                self.held += data[1 : 1 + pointer]
+                yield from self.whole()
+            self.held = data[1 + pointer :]
+        elif self.held is not None:
+            self.held += data
+        yield from self.whole()
+
+    def whole(self) -> Iterator[bytes]:
+        while self.held and self.held[0] != 0xFF and len(self.held) >= 3 and len(self.held) >= (n := 3 + ((self.held[1] & 0x0F) << 8 | self.held[2])):
+            yield self.held[:n]
+            self.held = self.held[n:]
+        if self.held is not None and (not self.held or self.held[0] == 0xFF):
+            self.held = None  # the rest is stuffing
+
+
+def demux(stream: bytes, strict: bool = True) -> Stream:
+    """Reads a transport stream; PIDs that no program map names are passed over. strict: a lost sync or cut packet raises instead of counting as a fault."""
+    if strict and len(stream) % PACKET:
         raise ValueError("the stream isn't a whole number of packets")
     maps: dict[int, int] = {}
     kinds: dict[int, tuple[int, int]] = {}
-    last: dict[int, int] = {}
-    parts: list[bytes] = []
-    units: list[tuple[int, int, bool]] = []
-    jumps = bad = size = 0
-    for at in range(0, len(stream), PACKET):
+    last: dict[int, tuple[int, bytes]] = {}
+    open_: dict[int, _Elementary] = {}
+    tables: dict[int, _Sections] = {}
+    jumps = bad = faults = packets = at = 0
+    size = len(stream)
+    while at + PACKET <= size:
         if stream[at] != SYNC:
-            raise ValueError(f"no sync byte at {at}")
-        b1, b3 = stream[at + 1], stream[at + 3]
-        pid = (b1 & 0x1F) << 8 | stream[at + 2]
-        i, access = at + 4, False
+            if strict:
+                raise ValueError(f"no sync byte at {at}")
+            faults += 1
+            at = stream.find(SYNC, at + 1)
+            while 0 <= at < size - PACKET and stream[at + PACKET] != SYNC:
+                at = stream.find(SYNC, at + 1)
+            if at < 0:
+                at = size
+            continue
+        begin, stop = at, at + PACKET
+        at = stop
+        packets += 1
+        b1, b3 = stream[begin + 1], stream[begin + 3]
+        pid = (b1 & 0x1F) << 8 | stream[begin + 2]
+        if b1 & 0x80:
+            faults += 1
+            continue
+        i, access, told, clock = begin + 4, False, False, -1
         if b3 & 0x20:
             n = stream[i]
-            access = bool(n and stream[i + 1] & 0x40)
+            if n > PACKET - 5:
+                faults += 1
+                continue
+            if n:
+                flags = stream[i + 1]
+                access, told = bool(flags & 0x40), bool(flags & 0x80)
+                if flags & 0x10 and n >= 7:
+                    clock = int.from_bytes(stream[i + 2 : i + 8], "big") >> 15
             i += 1 + n
-        if not b3 & 0x10:
+        if not b3 & 0x10 or i >= stop:
             continue
-        counter = b3 & 15
-        if pid in last and counter != (last[pid] + 1 & 15):
+        counter, known = b3 & 15, last.get(pid)
+        if known is not None and not told and counter != (known[0] + 1 & 15):
+            if counter == known[0] and stream[i:stop] == known[1]:
+                continue  # sent twice, as the format allows
             jumps += 1
-        last[pid] = counter
+        last[pid] = counter, stream[i:stop]
         if pid in kinds:
+            if (e := open_.get(pid)) is None:
+                e = open_[pid] = _Elementary()
             if b1 & 0x40:
-                units.append((size, _read_stamp(stream, i), access))
-                i += 9 + stream[i + 8]
-            parts.append(stream[i : at + PACKET])
-            size += at + PACKET - i
+                e.begin(stream, i, stop, clock, access)
+            else:
+                e.go_on(stream, i, stop)
         elif pid == PAT_PID or pid in maps:
-            section = stream[i + 1 + stream[i] : at + PACKET] if b1 & 0x40 else b""
-            if pid == PAT_PID:
-                if (programs := _pat(section)) is None:
+            if (t := tables.get(pid)) is None:
+                t = tables[pid] = _Sections()
+            for section in t.push(stream[i:stop], bool(b1 & 0x40)):
+                if pid == PAT_PID:
+                    if (programs := _pat(section)) is None:
+                        bad += 1
+                    else:
+                        maps |= {p: program for program, p in programs}
+                elif (found := _pmt(section)) is None:
                     bad += 1
                 else:
-                    maps |= {p: program for program, p in programs}
-            elif (found := _pmt(section)) is None:
-                bad += 1
-            else:
-                kinds |= {p: (found[0], kind) for p, kind in found[1]}
-    return Stream(b"".join(parts), len(stream) // PACKET, tuple(sorted((program, p, kind) for p, (program, kind) in kinds.items())), tuple(units), jumps, bad)
+                    kinds |= {p: (found[0], kind) for p, kind in found[1]}
+    faults += at < size
+    for e in open_.values():
+        e.end()
+    programs = tuple(sorted((program, p, kind) for p, (program, kind) in kinds.items()))
+    return Stream({p: b"".join(e.parts) for p, e in open_.items()}, packets, programs, {p: tuple(e.units) for p, e in open_.items()}, jumps, bad, sum(e.short for e in open_.values()), faults)
 
 
 def _read_stamp(s: bytes, i: int) -> int:
-    if s[i : i + 3] != b"\x00\x00\x01" or not s[i + 7] & 0x80:
+    if not s[i + 7] & 0x80:
         return -1
     return (s[i + 9] >> 1 & 7) << 30 | s[i + 10] << 22 | s[i + 11] >> 1 << 15 | s[i + 12] << 7 | s[i + 13] >> 1
 
@@ -231,12 +342,16 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def read(stored: DataFrame) -> DataFrame:
-    """The columns of stored, of which media is replaced by what it holds: payload, feature and units (offset, timestamp, random access)."""
+    """The columns of stored, of which media is replaced by what it holds: payload, feature and units (offset, timestamp, random access, clock)."""
     others = [c for c in stored.columns if c != "media"]
     kept = ", ".join(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in others)
 
     def row(*values: object) -> Iterator[tuple]:
-        s = demux(values[-1])
-        yield (*values[:-1], s.payload, s.feature, [{"at": a, "pts": t, "access": x} for a, t, x in s.units])
-
-    return map_batches(stored.select(*others, "media"), f"{kept}, payload binary, feature string, units array<struct<at: bigint, pts: bigint, access: boolean>>", lambda: row, lambda r: len(r[-3]) + 64)
+        if values[-1] is None:
+            yield (*values[:-1], None, None, [])
+            return
+        s = demux(values[-1], strict=False)
+        yield (*values[:-1], s.payload, s.feature, [u._asdict() for u in s.units])
+
+    schema = f"{kept}, payload binary, feature string, units array<struct<at: bigint, pts: bigint, access: boolean, clock: bigint>>"
+    return map_batches(stored.select(*others, "media"), schema, lambda: row, lambda r: len(r[-3] or b"") + 64)

@@ -39,6 +39,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_bytes",
         "media_sha256",
         "feature",
+        "units",
     )
 
 

@@ -337,3 +337,42 @@ def test_mix_of_rows_without_and_with_equal_ids(spark):
     assert words == +taken
     assert all(abs(taken[r.source] - r.target) <= 1 for r in plan)
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_streams_that_others_write():
+    """Sections over two packets, two elementary PIDs, packets sent twice, announced discontinuities, unit lengths."""
+    pmt_pid, a, b = 0x30, 0x41, 0x42
+    info = b"".join(bytes([media.PRIVATE_TYPE]) + (0xE000 | p).to_bytes(2, "big") + (0xF000 | 100).to_bytes(2, "big") + bytes([0x0A, 98]) + bytes(98) for p in (a, b))
+    pmt = media._section(media.PMT_TABLE, 7, (0xE000 | a).to_bytes(2, "big") + b"\xf0\x00" + info)
+    pat = media._section(media.PAT_TABLE, 1, (7).to_bytes(2, "big") + (0xE000 | pmt_pid).to_bytes(2, "big"))
+    assert len(pmt) > 184
+
+    def packet(pid, counter, data, start=False, flags=None):
+        field = b"" if flags is None else bytes([flags])
+        room = 184 - len(data)
+        if room or field:
+            return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, 0x30 | counter, room - 1]) + (field.ljust(room - 1, b"\xff") if field else b"\0"[: room - 1].ljust(room - 1, b"\xff")) + data
+        return bytes([0x47, (0x40 if start else 0) | pid >> 8, pid & 255, 0x10 | counter]) + data
+
+    unit = lambda ticks, data, told: b"\0\0\1\xbd" + told.to_bytes(2, "big") + b"\x80\x80\x05" + media._stamp(ticks) + data
+    head = media._table_packet(0, 0, pat) + packet(pmt_pid, 0, b"\0" + pmt[:183], True) + packet(pmt_pid, 1, pmt[183:].ljust(184, b"\xff"))
+    one, two = packet(a, 3, unit(90, b"A" * 100, 108) + b"Z" * 20, True), packet(b, 9, unit(180, b"B" * 100, 0), True)
+    more = packet(a, 4, unit(91, b"C" * 50, 500), True)
+    s = media.demux(head + one + two + one + packet(b, 2, b"D" * 60, flags=0x80) + more)
+    assert s.payloads == {a: b"A" * 100 + b"C" * 50, b: b"B" * 100 + b"D" * 60}
+    assert s.programs == ((7, a, 6), (7, b, 6)) and s.payload == s.payloads[a]
+    assert (s.jumps, s.bad_tables, s.short, s.faults) == (0, 0, 1, 0)
+    assert [u.pts for u in s.units_of[a]] == [90, 91]
+
+
+def test_broken_streams_are_counted_in_spark(spark):
+    stream = media.mux(bytes(range(256)) * 100)
+    cases = [stream, stream[:-1], stream[:1000] + stream[1100:], b"", b"\0" * 500, None, b"G", stream[:188 * 3] + b"\x47" * 188 + stream[188 * 3 :]]
+    rows = spark.createDataFrame([(i, c, "clash") for i, c in enumerate(cases)], "doc_id bigint, media binary, feature_ string")
+    got = {r.doc_id: r for r in media.read(rows).collect()}
+    assert len(got) == len(cases)
+    assert bytes(got[0].payload) == bytes(range(256)) * 100 and got[0].feature.endswith("jumps=0;bad_tables=0;short=0;faults=0")
+    assert "faults=1" in got[1].feature and bytes(got[1].payload) == bytes(got[0].payload)[: len(got[1].payload)]
+    assert "faults=0" not in got[2].feature and len(got[2].payload) < 25_600
+    assert bytes(got[3].payload) == b"" and got[5].payload is None and got[5].feature is None and got[5].units == []
+    assert got[0].units[0].clock == 0 and got[0].units[0].access
