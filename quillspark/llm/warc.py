@@ -1,7 +1,7 @@
 """WARC archives compressed record by record with a Zstandard dictionary that the archive itself carries.
 
 An archive (the .warc.zst layout) starts with a skippable frame, magic number 0x184D2A5D, that holds a dictionary;
-each record that follows is a Zstandard frame of its own, compressed with that dictionary, so that any record can be
+each record that follows, a warcinfo record first, is a Zstandard frame of its own, compressed with that dictionary, so that any record can be
 read from its offset. The dictionary is built from a bounded, hash-chosen sample of the records to be archived.
 
 Archives are rows (archive, warc) of a table written by Spark into the shared folder: each is closed once it
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import stored
-from .common import hash_sample, map_batches
+from .common import SLICE_ROWS, hash_sample, map_batches
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 4 << 20
@@ -77,6 +77,13 @@ def write_record(page_id: int | None, url: str | None, payload: bytes, digest: s
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info_record(archive: str) -> bytes:
+    """The record that tells what an archive is."""
+    block = f"software: quillspark\r\nformat: WARC File Format 1.1\r\nfilename: {archive}.warc.zst\r\n".encode()
+    head = [VERSION, b"WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{archive}>".encode(), b"WARC-Date: " + DATE, b"Content-Type: application/warc-fields", b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def read_record(data: bytes) -> Record:
     head, _, rest = data.partition(b"\r\n\r\n")
     version, *lines = head.split(b"\r\n")
@@ -87,7 +94,9 @@ def read_record(data: bytes) -> Record:
     block = rest[:length]
     if len(block) != length or rest[length:] != b"\r\n\r\n":
         raise ValueError("the record's block doesn't have the length its header tells")
-    kind, digest = field[b"WARC-Type"].decode(), field[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
+    if (kind := field[b"WARC-Type"].decode()) == "warcinfo":
+        return Record(kind, None, None, "", length, "", block)
+    digest = field[b"WARC-Payload-Digest"].removeprefix(b"sha256:").decode()
     payload = block.partition(b"\r\n\r\n")[2]
     of = lambda k: int(v) if (v := field.get(k, b"").decode()[1:-1].removeprefix(ID)) else None
     if kind == "response":
@@ -103,7 +112,7 @@ def dictionary_frame(dictionary: bytes) -> bytes:
 
 
 def read_archive(data: bytes) -> Iterator[Record]:
-    """The records of an archive, by nothing but its own bytes."""
+    """The records of an archive but warcinfo, by nothing but its own bytes."""
     at, options = 0, {}
     if int.from_bytes(data[:4], "little") == DICTIONARY_MAGIC:
         at = 8 + int.from_bytes(data[4:8], "little")
@@ -115,7 +124,8 @@ def read_archive(data: bytes) -> Iterator[Record]:
         if not frame.eof:
             raise ValueError("the archive ends inside a frame")
         at = len(data) - len(frame.unused_data)
-        yield read_record(out)
+        if (record := read_record(out)).kind != "warcinfo":
+            yield record
 
 
 def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -149,20 +159,21 @@ def write(pages: DataFrame, level: int = LEVEL) -> DataFrame:
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        made, held, parts = 0, 0, [lead]
+        made, held, parts = 0, 0, []
         pressed = zstandard.ZstdCompressor(level=level, write_content_size=True, **({"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}))
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId():06d}-{made:06d}"]), pa.array([b"".join(parts)], pa.binary())], names=["archive", "warc"])
+            name = f"{TaskContext.get().partitionId():06d}-{made:06d}"
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join([lead, pressed.compress(info_record(name)), *parts])], pa.binary())], names=["archive", "warc"])
 
-        for b in batches:
+        for b in (batch.slice(at, SLICE_ROWS) for batch in batches for at in range(0, batch.num_rows, SLICE_ROWS)):
             for page_id, url, payload, digest, refers_to, revisit in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 record = write_record(page_id, url, payload, digest, refers_to, revisit)
                 parts.append(pressed.compress(record))
                 held += len(record)
                 if held >= ARCHIVE_BYTES:
                     yield row()
-                    made, held, parts = made + 1, 0, [lead]
+                    made, held, parts = made + 1, 0, []
         if held:
             yield row()
 

@@ -181,3 +181,16 @@ def test_templates_are_found_in_the_pages_table(spark, sf):
     docs = table(spark, f"{sf.rsplit('/', 1)[0]}/sf0.1", "pages")
     assert htmltext.main_texts(docs).filter("n_templates > 0").count() > 100
     assert htmltext.main_texts(docs, min_pages=10**9, slot_pages=10**9).filter("n_templates > 0").count() == 0
+
+
+def test_archives_begin_with_what_they_are(spark):
+    archives = warc.write(pages(spark)).collect()
+    for r in archives:
+        data = bytes(r.warc)
+        at, options = 0, {}
+        if int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC:
+            at = 8 + int.from_bytes(data[4:8], "little")
+            options = {"dict_data": zstandard.ZstdCompressionDict(data[8:at])}
+        first = warc.read_record(zstandard.ZstdDecompressor(**options).decompressobj().decompress(data[at:]))
+        assert first.kind == "warcinfo" and f"filename: {r.archive}.warc.zst".encode() in first.payload
+    assert sum(1 for r in archives for _ in warc.read_archive(bytes(r.warc))) == len(ROWS)
