@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segment import sentence_texts
 from .vectors import cosine
 
 # --- keywords and summaries ---
@@ -231,7 +232,7 @@ def corpus_statistics(docs: DataFrame) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     return docs.agg(
         F.count(F.lit(1)).alias("documents"),
-        F.sum(F.regexp_count(t, F.lit(r"[^.!?\n]*[^.!?\n\s][^.!?\n]*[.!?]*"))).alias("sentences"),
+        F.sum(F.size(sentence_texts(t))).alias("sentences"),
         F.sum(F.regexp_count(t, F.lit(r"[\p{L}\p{N}]+"))).alias("words"),
         F.sum(F.length(t)).alias("chars"),
         F.sum(F.length(F.replace(t, F.lit(" "), F.lit("")))).alias("chars_no_space"),

@@ -10,9 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A sentence as other SQL engines with linear matching may state it. Spark's matcher would go back over runs of blanks again and again, so sentence_texts
+#: takes pieces up to the end marks and drops blank ones, which gives the same.
 SENTENCE = r"[^.!?\n]*[^.!?\n\s][^.!?\n]*[.!?]*"
+PIECE, NOT_BLANK = r"[^.!?\n]+[.!?]*", r"[^.!?\n\s]"
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
-MISSING_SPACE = r"([a-z]+)\.([A-Z][a-z]+)"
+#: Begins at the start of a run of letters and never goes back, so that long runs cost no more than their length.
+MISSING_SPACE = r"(?<![a-z])([a-z]++)\.([A-Z][a-z]+)"
 BLOCK, SENT = ["doc_id", "block_ix"], ["doc_id", "block_ix", "sent_ix"]
 
 
@@ -35,10 +39,15 @@ def sections(docs: DataFrame, least: int = 0) -> DataFrame:
     return out
 
 
+def sentence_texts(text: Column) -> Column:
+    """The sentences of a text as an array."""
+    return F.filter(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda x: x.rlike(NOT_BLANK))
+
+
 def sentences(docs: DataFrame, outer: bool = False) -> DataFrame:
     """doc_id, block_ix, sent_ix, text; with outer also a row with nulls for each block without a sentence."""
     explode = F.posexplode_outer if outer else F.posexplode
-    return blocks(docs).select(*BLOCK, explode(F.regexp_extract_all(repaired(F.col("text")), F.lit(SENTENCE), F.lit(0))).alias("sent_ix", "text"))
+    return blocks(docs).select(*BLOCK, explode(sentence_texts(repaired(F.col("text")))).alias("sent_ix", "text"))
 
 
 def words(text: Column) -> Column:

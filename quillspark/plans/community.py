@@ -6,14 +6,13 @@ suppliers stand in for articles and authors.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import biblio, components, threads
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
-BACK = 5
 
 
 def query(sql: str | None = None):
@@ -32,18 +31,16 @@ def posts(spark, sf) -> DataFrame:
 
 
 POSTS = r"""p0 AS (SELECT conv_id, turn + 1 AS id, turn AS parent_id, role AS "user", trim(coalesce(text, '')) AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ix FROM conversations), p AS (SELECT a.conv_id, a.ix, a.id, CASE WHEN a.ix > 0 THEN b.ix END AS parent_ix, a."user", CASE WHEN right(a.x, 1) IN ('.', '!', '?') THEN a.x ELSE a.x || '.' END AS text FROM p0 a LEFT JOIN p0 b ON a.conv_id = b.conv_id AND a.parent_id = b.id AND b.id > 0)"""
-EDGES = r"""w AS (SELECT conv_id, ix, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS l FROM p), e AS (SELECT x.conv_id, x.ix AS a, y.ix AS b, round(len(list_intersect(x.l, y.l)) / (0.00001 + len(list_distinct(list_concat(x.l, y.l)))), 6) AS weight FROM w x JOIN w y ON x.conv_id = y.conv_id AND x.ix - y.ix BETWEEN 1 AND 5)"""
+EDGES = r"""w AS (SELECT conv_id, ix, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS l FROM p), e AS (SELECT x.conv_id, x.ix AS a, y.ix AS b, round(len(list_intersect(x.l, y.l)) / (0.00001 + len(list_distinct(list_concat(x.l, y.l)))), 6) AS weight FROM w x JOIN w y ON x.conv_id = y.conv_id AND x.ix > y.ix)"""
 IMPORTANCE = "imp AS (SELECT conv_id, ix, round(length(text) / 100, 6) AS importance FROM p)"
 
 
 def edges(p: DataFrame) -> DataFrame:
-    """Overlap of each post with up to five before it: conv_id, a (later), b, weight."""
-    w = Window.partitionBy("conv_id").orderBy("ix")
+    """Overlap of each post with all before it in its conversation: conv_id, a (later), b, weight."""
     words = p.select("conv_id", "ix", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("l"))
-    near = words.withColumn("near", F.array(*[F.struct(F.lag("ix", d).over(w).alias("b"), F.lag("l", d).over(w).alias("o")) for d in range(1, BACK + 1)]))
-    out = near.select("conv_id", F.col("ix").alias("a"), "l", F.explode("near").alias("n")).filter("n.b is not null")
-    value = F.size(F.array_intersect("l", "n.o")) / (1e-5 + F.size(F.array_union("l", "n.o")))
-    return out.select("conv_id", "a", F.col("n.b").alias("b"), F.round(value, 6).alias("weight"))
+    pairs = words.withColumnRenamed("ix", "a").join(words.select("conv_id", F.col("ix").alias("b"), F.col("l").alias("o")), "conv_id").filter("a > b")
+    value = F.size(F.array_intersect("l", "o")) / (1e-5 + F.size(F.array_union("l", "o")))
+    return pairs.select("conv_id", "a", "b", F.round(value, 6).alias("weight"))
 
 
 def importance(p: DataFrame) -> DataFrame:
@@ -156,52 +153,27 @@ def coauthor_degrees(spark, sf):
     return biblio.weighted_degree(biblio.coauthors(article_authors(spark, sf)))
 
 
-# Vectors stand in for articles. Queries named pairwise, and those without SQL, compare all pairs; the others only pairs whose ids are within ten places, as their SQL does.
-NEAR = "em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0, 1 - list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v)) / sqrt(list_inner_product(y.v, y.v))), 9) AS distance FROM em x JOIN em y ON y.vec_id - x.vec_id BETWEEN 1 AND 10)"
-
-
-def article_distances(spark, sf) -> DataFrame:
-    from ..operators.vectors import cosine
-
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    a = e.select(F.col("vec_id").alias("a"), F.col("v").alias("va")).withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.col("a") + 10)))
-    return a.join(e.select(F.col("vec_id").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", F.round(biblio.distance(cosine(F.col("va"), F.col("vb"))), 9).alias("distance"))
+# Vectors stand in for articles; all pairs are compared.
+NEAR = "em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0, 1 - list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v)) / sqrt(list_inner_product(y.v, y.v))), 9) AS distance FROM em x JOIN em y ON y.vec_id > x.vec_id)"
 
 
 def article_vectors(spark, sf) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-@query()
-def article_edges_pairwise(spark, sf):
-    """Of all pairs of articles; tests hold it against numpy over all pairs."""
-    return rounded(biblio.near_pairs(article_vectors(spark, sf)), "distance")
-
-
-@query()
-def article_ranking_pairwise(spark, sf):
-    return rounded(biblio.article_ranking(biblio.near_pairs(article_vectors(spark, sf)), 50), "score")
-
-
-@query()
-def single_link_clusters_pairwise(spark, sf):
-    near = biblio.near_pairs(article_vectors(spark, sf))
-    return components.connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-
 @query(f"WITH {NEAR}, m AS (SELECT avg(distance) - stddev_pop(distance) AS l FROM ds) SELECT a, b, round(distance, 6) AS distance FROM ds, m WHERE distance < l")
 def article_edges(spark, sf):
-    return rounded(biblio.near_edges(article_distances(spark, sf)), "distance")
+    return rounded(biblio.near_pairs(article_vectors(spark, sf)), "distance")
 
 
 @query(f"WITH {NEAR}, m AS (SELECT avg(distance) - stddev_pop(distance) AS l FROM ds), e AS (SELECT a, b, distance FROM ds, m WHERE distance < l), u AS (SELECT a AS article, distance FROM e UNION ALL SELECT b, distance FROM e) SELECT article, round(sum(1 - distance), 6) AS score FROM u GROUP BY article ORDER BY round(sum(1 - distance), 9) DESC, article LIMIT 50")
 def article_ranking(spark, sf):
-    return rounded(biblio.article_ranking(biblio.near_edges(article_distances(spark, sf)), 50), "score")
+    return rounded(biblio.article_ranking(biblio.near_pairs(article_vectors(spark, sf)), 50), "score")
 
 
 @query(f"WITH RECURSIVE {NEAR}, m AS (SELECT avg(distance) - stddev_pop(distance) AS l FROM ds), e AS (SELECT a, b FROM ds, m WHERE distance < l), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.other) SELECT node, min(other) AS component FROM r GROUP BY node")
 def single_link_clusters(spark, sf):
-    near = biblio.near_edges(article_distances(spark, sf))
+    near = biblio.near_pairs(article_vectors(spark, sf))
     return components.connected_components(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
@@ -222,15 +194,10 @@ def embedding_authors(spark, sf) -> DataFrame:
     return e.select(F.col("vec_id").alias("article"), F.col("label").cast("bigint").alias("author")).union(e.select("vec_id", 100 + F.col("vec_id") % 10)).distinct()
 
 
-@query(f"WITH {NEAR}, {BY}, bo AS (SELECT a, b, distance FROM ds UNION ALL SELECT b, a, distance FROM ds), n AS (SELECT author, count(*) AS n FROM au GROUP BY ALL), x AS (SELECT au.author, bo.b AS article, (sum(distance) + max(n) - count(*)) / max(n) AS distance FROM au JOIN bo ON au.article = bo.a JOIN n ON n.author = au.author GROUP BY ALL) SELECT author, article, round(distance, 6) AS distance FROM x WHERE distance < 0.99 AND (author, article) NOT IN (SELECT author, article FROM au) UNION ALL SELECT author, article, 0 FROM au")
+@query(f"WITH {NEAR}, {BY}, bo AS (SELECT a, b, distance FROM ds UNION ALL SELECT b, a, distance FROM ds), n AS (SELECT author, count(*) AS n FROM au GROUP BY ALL), x AS (SELECT au.author, bo.b AS article, (sum(distance) + max(n) - count(*)) / max(n) AS distance FROM au JOIN bo ON au.article = bo.a JOIN n ON n.author = au.author GROUP BY ALL) SELECT author, article, round(distance + 1e-11, 6) AS distance FROM x WHERE distance < 0.99 AND (author, article) NOT IN (SELECT author, article FROM au) UNION ALL SELECT author, article, 0 FROM au")
 def author_article_edges(spark, sf):
-    return rounded(biblio.author_article_edges(embedding_authors(spark, sf), article_distances(spark, sf), 0.99), "distance")
-
-
-@query()
-def author_article_edges_pairwise(spark, sf):
-    """Mean distances over all articles of each author; tests hold it against numpy over all pairs."""
-    return rounded(biblio.author_article_means(embedding_authors(spark, sf), article_vectors(spark, sf), 0.99), "distance")
+    out = biblio.author_article_means(embedding_authors(spark, sf), article_vectors(spark, sf), 0.99)
+    return rounded(out.withColumn("distance", F.col("distance") + 1e-11), "distance")  # means of few numbers of nine places end in a five now and then
 
 
 @query()
@@ -241,3 +208,7 @@ def author_similarity(spark, sf):
     pairs = both.join(by.select(F.col("article").alias("a"), F.col("author").alias("x")), "a").join(by.select(F.col("article").alias("b"), F.col("author").alias("y")), "b").filter("x < y")
     rows = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("a").alias("article_a"), F.col("b").alias("article_b"), "distance")
     return rounded(biblio.author_similarity(rows, 0.8), "similarity")
+
+
+#: Other names of the queries of all pairs.
+article_edges_pairwise, author_article_edges_pairwise = article_edges, author_article_edges

@@ -28,7 +28,8 @@ def query(sql: str | None = None):
 
 
 def docs_of(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    """Documents dealt by id once: texts are smaller than their tokens, and all that is grouped within a document later needs no shuffle."""
+    return table(spark, sf, "documents").select("doc_id", "text").repartition("doc_id")
 
 
 def annotated_of(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import applications, community, complexity, readings, similarity
+from . import applications, community, complexity, indices, readings, similarity
 
-PARTS = (complexity, similarity, community, applications, readings)
+PARTS = (complexity, indices, similarity, community, applications, readings)
 QUERIES = {k: v for p in PARTS for k, v in p.QUERIES.items()}
 ORACLE_SQL = {k: v for p in PARTS for k, v in p.SQL.items()}

@@ -23,6 +23,11 @@ CONNECTORS = [("coordinating", "and"), ("coordinating", "or"), ("coordinating",
 RATINGS = [("kuperman", "the", 2.5), ("kuperman", "tion", 9.25), ("kuperman", "ing", 7.0), ("kuperman", "is", 3.0), ("shock", "the", 2.0), ("shock", "of", 2.75), ("bird", "and", 3.5), ("bird", "ea", 6.25)]
 VALENCE = [("positive", "ble"), ("positive", "ly"), ("negative", "not"), ("negative", "no"), ("negative", "nicht"), ("strong", "is"), ("strong", "are"), ("active", "ing"), ("active", "er"), ("passive", "was")]
 ENTITIES = [("GPE", "Thea"), ("ORG", "Of"), ("PERSON", "An"), ("PERSON", "Le"), ("DATE", "Es")]
+#: Lists by the names of the indices that count them, and ratings by theirs.
+CONNECTOR_LISTS = {"coordinating": "coord", "conditions": "cond", "contrasts": "contrast", "addition": "addition", "ordering": "order", "purpose": "reasonandpurpose"}
+LISTS = [(f"Pron_{k}", w) for k, w in PRONOUNS] + [(f"Connector_{CONNECTOR_LISTS[k]}", w) for k, w in CONNECTORS] + [(f"Valence_{k}", w) for k, w in VALENCE]
+EXPOSURE = [("AoE_inv_avg", "the", 0.25), ("AoE_inv_avg", "is", 0.5), ("AoE_inv_lin_reg_slope", "tion", 1.75), ("AoE_ind_above_thresh", "the", 3.0), ("AoE_ind_poly_fit_above", "of", 4.5), ("AoE_infl_point_poly", "and", 5.25), ("AoA_bristol", "of", 2.25), ("AoA_cortese", "in", 2.5)]
+MEASURED = [(f"AoA_{m}", w, v) for m, w, v in RATINGS] + EXPOSURE
 
 TABLES = {
     "lex_pos": ("word string, pos string", POS),
@@ -32,6 +37,8 @@ TABLES = {
     "lex_conn": ("kind string, word string", CONNECTORS),
     "lex_rating": ("measure string, word string, value double", RATINGS),
     "lex_valence": ("list string, word string", VALENCE),
+    "lex_list": ("list string, word string", LISTS),
+    "lex_measured": ("measure string, word string, value double", MEASURED),
     "lex_entity": ("ent_type string, word string", ENTITIES),
 }
 
