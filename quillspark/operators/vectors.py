@@ -64,3 +64,18 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, least: float | None = Non
     scored = scored if least is None else scored.filter(F.col("sim") > least)
     w = Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "id", "sim")
+
+
+def attached(tokens: DataFrame, table: DataFrame) -> DataFrame:
+    """tokens with vec of table(word, vec): that of the form, else of the lemma, else null; by_lemma tells the second case."""
+    out = tokens.join(table.select(F.col("word").alias("text"), F.col("vec").alias("__form")), "text", "left")
+    out = out.join(table.select(F.col("word").alias("lemma"), F.col("vec").alias("__lemma")), "lemma", "left")
+    return out.withColumns({"vec": F.coalesce("__form", "__lemma"), "by_lemma": F.col("__form").isNull() & F.col("__lemma").isNotNull()}).drop("__form", "__lemma")
+
+
+def mean_similarity(same: Column, pairs: list[tuple[Column, Column]]) -> Column:
+    """Mean cosine over models, each a pair of vectors; equal elements are 1 alike, whatever their vectors."""
+    total = F.lit(0.0)
+    for a, b in pairs:
+        total = total + cosine(a, b)
+    return F.when(same, 1.0).otherwise(total / len(pairs))

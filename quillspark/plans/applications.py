@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import apps, cohesion, grammar_ro, measures, segment, wordnet
+from ..operators import apps, grammar_ro, measures, segment, wordnet
 from ..sources.lexicons import as_sql
 from ..sources.tables import table
 from .community import rounded
@@ -40,17 +40,6 @@ def keywords(spark, sf):
     return rounded(apps.keywords(content, pooled(t, ["doc_id"], 5)), "score")
 
 
-@query()
-def rank_summary(spark, sf):
-    """The three most important sentences of each document; tests hold PageRank and ranking against plain versions."""
-    nodes = sentence_nodes(spark, sf)
-    edges = cohesion.filtered_edges(cohesion.semantic_edges(nodes, 3), ["doc_id"]).select("doc_id", F.col("a").alias("u"), F.col("b").alias("v"), F.col("value").alias("weight"))
-    rank = cohesion.importance(nodes.select("doc_id", F.col("place").cast("bigint").alias("node")), edges)
-    w = Window.partitionBy("doc_id").orderBy("block_ix", "sent_ix")
-    sentences = segment.sentences(docs_of(spark, sf)).withColumn("place", F.row_number().over(w))
-    return apps.rank_summary(sentences, rank)
-
-
 @query()
 def submodular_summary(spark, sf):
     """Greedy submodular choice of sentences; tests hold it against a plain version."""

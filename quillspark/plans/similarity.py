@@ -165,14 +165,6 @@ def containment_edges(spark, sf):
     return cohesion.containment_edges(block_vectors(spark, sf).withColumnRenamed("block_ix", "place"), element_vectors(spark, sf, ["doc_id"]), ["doc_id"]).withColumn("value", F.round("value", 6))
 
 
-@query()
-def sentence_importance(spark, sf):
-    """PageRank of sentences in the filtered graph of each document; tests hold it against a plain version."""
-    nodes = sentence_nodes(spark, sf)
-    edges = cohesion.filtered_edges(cohesion.semantic_edges(nodes, 3), ["doc_id"]).select("doc_id", F.col("a").alias("u"), F.col("b").alias("v"), F.col("value").alias("weight"))
-    return cohesion.importance(nodes.select("doc_id", F.col("place").cast("bigint").alias("node")), edges)
-
-
 @query("WITH g0 AS (SELECT item_id AS id, unnest(list_concat(list_concat(list_transform(range(1, length(text) + 1), lambda i: substring(text, i, 1)), list_transform(range(1, length(text)), lambda i: substring(text, i, 2))), list_transform(range(1, length(text) - 1), lambda i: substring(text, i, 3)))) AS gram FROM benchmark), g AS (SELECT id, gram, count(*) AS n FROM g0 GROUP BY ALL), own AS (SELECT id, sum(n)::DOUBLE AS own FROM g GROUP BY id), p AS (SELECT item_id AS a, item_id + 1 AS b FROM benchmark WHERE item_id + 1 IN (SELECT item_id FROM benchmark)), k AS (SELECT a, b, sum(least(x.n, y.n)) AS i, count(*) AS c, sum(x.n * y.n) AS s FROM p JOIN g x ON x.id = a JOIN g y ON y.id = b AND y.gram = x.gram GROUP BY ALL) SELECT p.a, p.b, coalesce(i, 0)::BIGINT AS intersection, coalesce(c, 0)::BIGINT AS presence, coalesce(s, 0)::BIGINT AS spectrum, round(coalesce(i, 0) / sqrt(oa.own * ob.own), 6) AS normalized FROM p LEFT JOIN k ON p.a = k.a AND p.b = k.b JOIN own oa ON oa.id = p.a JOIN own ob ON ob.id = p.b")
 def string_kernels(spark, sf):
     strings = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
