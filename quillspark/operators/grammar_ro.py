@@ -31,7 +31,7 @@ def cacophonies(tokens: DataFrame, pairs: list[tuple[str, str]] = CACOPHONIES) -
 def near_repetitions(tokens: DataFrame, window: int = 8) -> DataFrame:
     """Positions of a lemma that the last window - 1 tokens of the sentence have already; stop words and punctuation don't count.
 
-    The last place of the same lemma is enough to know, so one window function over (sentence, lemma) does it.
+    The last place of the same lemma is enough to know, so one window function over (sentence, lemma) does it; where documents are dealt by id it shuffles nothing.
     """
     w = Window.partitionBy(*SENT, "lemma").orderBy("tok_ix")
     rows = tokens.filter(~F.col("is_stop") & F.col("text").rlike(r"\p{L}"))
@@ -44,6 +44,13 @@ def without_comma(tokens: DataFrame, word: str = "totuși") -> DataFrame:
     return tokens.withColumn("before", F.lag("text").over(w)).filter((F.col("lemma") == word) & F.col("before").isNotNull() & (F.col("before") != ",")).select(*SENT, "tok_ix", "before")
 
 
+def sentences_without_comma(sentences: DataFrame, word: str = "totuși") -> DataFrame:
+    """The same, found in the array of each sentence's words; at the start of a sentence none is needed."""
+    before = lambda i: F.get("words", i - 1)
+    at = F.transform("words", lambda x, i: F.struct(i.alias("tok_ix"), before(i).alias("before"), (F.lower(x) == word).alias("hit")))
+    return sentences.select(*SENT, F.inline(F.filter(at, lambda x: x["hit"] & x["before"].isNotNull() & (x["before"] != ",")))).select(*SENT, "tok_ix", "before")
+
+
 def listed(tokens: DataFrame, words: list[str], first: bool = False) -> DataFrame:
     """Positions of listed words, only at the start of a sentence if first."""
     out = tokens.filter(F.col("lemma").isin(*words))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -66,6 +68,37 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, least: float | None = Non
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "id", "sim")
 
 
+def random_planes(count: int, dims: int, seed: int = 0) -> list[list[float]]:
+    """Normal directions of hyperplanes through the origin, the same for a seed."""
+    import numpy as np
+
+    return np.round(np.random.default_rng(seed).normal(size=(count, dims)), 6).tolist()
+
+
+def most_similar(queries: DataFrame, rows: DataFrame, k: int, planes: list[list[float]], least: float | None = None) -> DataFrame:
+    """query, rank, id, sim: the k rows nearest by cosine among the buckets nearest to each query's own, above least if given; ties to the smaller id.
+
+    Buckets are taken in order of how many bits they are away: the query's own first, further ones only for queries that have fewer than k hits
+    so far, down to the last bucket, so that nobody gets fewer hits than there are. queries(query, qvec) are a stated set against rows(id, vec).
+    """
+    bits = len(planes)
+    own = queries.withColumn("__own", sign_hash(F.col("qvec"), planes))
+    dealt = rows.withColumn("__b", sign_hash(F.col("vec"), planes))
+    found, open_ = None, own
+    for away in range(bits + 1):
+        masks = [m for m in range(1 << bits) if bin(m).count("1") == away]
+        near = open_.withColumn("__b", F.explode(F.array(*[F.col("__own").bitwiseXOR(F.lit(m)) for m in masks])))
+        hits = near.join(dealt, "__b").filter("query <> id").select("query", "id", cosine(F.col("qvec"), F.col("vec")).alias("sim"))
+        hits = stored(hits if least is None else hits.filter(F.col("sim") > least), "most-similar")
+        found = hits if found is None else found.union(hits)
+        enough = found.groupBy("query").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select("query")
+        open_ = stored(open_.join(enough, "query", "left_anti"), "most-similar-open")
+        if open_.isEmpty():
+            break
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query", "rank", "id", "sim")
+
+
 def attached(tokens: DataFrame, table: DataFrame) -> DataFrame:
     """tokens with vec of table(word, vec): that of the form, else of the lemma, else null; by_lemma tells the second case."""
     out = tokens.join(table.select(F.col("word").alias("text"), F.col("vec").alias("__form")), "text", "left")

@@ -241,8 +241,9 @@ def topics(spark, sf):
     t = apps.training_tokens(annotated_of(spark, sf)).groupBy("doc_id").agg(F.collect_list("lemma").alias("words"))
     model = CountVectorizer(inputCol="words", outputCol="features", minDF=8, maxDF=0.1).fit(t)
     lda = LDA(k=5, maxIter=3, seed=0).fit(model.transform(t))
-    names = F.array(*[F.lit(w) for w in model.vocabulary[:5000]])
-    return lda.describeTopics(10).select("topic", F.transform("termIndices", lambda i: F.try_element_at(names, i + 1)).alias("terms"))
+    words = spark.createDataFrame(list(enumerate(model.vocabulary)), "i int, term string")  # the whole vocabulary, which the driver has as the model's
+    found = lda.describeTopics(10).select("topic", F.posexplode("termIndices").alias("rank", "i")).join(words, "i")
+    return found.groupBy("topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
 
 
 # --- lexical relations: a small hierarchy of invented senses over frequent forms ---
@@ -309,7 +310,7 @@ def near_repetitions(spark, sf):
 
 @query(f"WITH {TOKENS}, n AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, block_ix, sent_ix ORDER BY tok_ix) AS before FROM t) SELECT doc_id, block_ix, sent_ix, tok_ix, before FROM n WHERE lemma = 'that' AND before IS NOT NULL AND before <> ','")
 def missing_commas(spark, sf):
-    return grammar_ro.without_comma(segment.tokens(docs_of(spark, sf)), "that")
+    return grammar_ro.sentences_without_comma(segment.sentence_words(docs_of(spark, sf)), "that")
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, block_ix, sent_ix, tok_ix, lemma FROM t WHERE lemma IN ('and', 'und', 'et') AND tok_ix = 0")

@@ -112,9 +112,17 @@ def weekly_activity(spark, sf):
     return threads.weekly(activity(spark, sf)).groupBy("user", "week").agg(F.count(F.lit(1)).alias("posts"), F.min("t").alias("first"), F.max("t").alias("last"))
 
 
-@query()
+MERGED = (
+    f"WITH RECURSIVE {EV}, x AS (SELECT *, \"user\" % 10 AS community, row_number() OVER (PARTITION BY \"user\" % 10 ORDER BY t, id) AS k FROM ev), "
+    "r AS (SELECT community, k, \"user\", t FROM x WHERE k = 1 UNION ALL SELECT r.community, min(x.k), arg_min(x.\"user\", x.k), arg_min(x.t, x.k) FROM r JOIN x ON x.community = r.community AND x.k > r.k AND (x.\"user\" <> r.\"user\" OR x.t > r.t + 1800) GROUP BY r.community, r.k), "
+    "e AS (SELECT *, coalesce(lead(k) OVER (PARTITION BY community ORDER BY k), 1000000000) AS stop FROM r) "
+    "SELECT e.community, arg_min(x.id, x.k) AS id, e.\"user\", e.t, count(*)::INT AS n, array_to_string(list(x.text ORDER BY x.k), ' ') AS text FROM e JOIN x ON x.community = e.community AND x.k >= e.k AND x.k < e.stop GROUP BY e.community, e.k, e.\"user\", e.t"
+)
+
+
+@query(MERGED)
 def merged_posts(spark, sf):
-    """Runs of one user's posts within 30 minutes of the first, in each user's stream; tests hold it against a plain fold."""
+    """Runs of one user's posts within 30 minutes of the first, in the stream of each of ten communities."""
     a = activity(spark, sf).withColumn("community", F.col("user") % 10)
     return threads.merged_posts(a, "community", 1800)
 

@@ -44,14 +44,13 @@ def concepts(spark, sf):
     return numbered(sentence_concepts(annotated_of(spark, sf)))
 
 
-CONCEPTS = f"{ANNOTATED}, n AS (SELECT doc_id, block_ix * 1000 + sent_ix AS step, lemma, lead(lemma) OVER (PARTITION BY doc_id, block_ix, sent_ix ORDER BY tok_ix) AS next FROM a WHERE pos IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PRON') AND NOT is_stop), ce AS (SELECT DISTINCT doc_id, step, least(lemma, next) AS a, greatest(lemma, next) AS b FROM n WHERE next IS NOT NULL AND next <> lemma)"
+CONCEPTS = f"{ANNOTATED}, n AS (SELECT doc_id, block_ix, sent_ix, lemma, lead(lemma) OVER (PARTITION BY doc_id, block_ix, sent_ix ORDER BY tok_ix) AS next FROM a WHERE pos IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PRON') AND NOT is_stop), cd AS (SELECT DISTINCT doc_id, block_ix, sent_ix, least(lemma, next) AS a, greatest(lemma, next) AS b FROM n WHERE next IS NOT NULL AND next <> lemma), ce AS (SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY block_ix, sent_ix) - 1)::INT AS step, a, b FROM cd)"
 
 
 @query(f"WITH {CONCEPTS} SELECT * FROM ce")
 def concept_edges(spark, sf):
-    """By the SQL's step, a label that sentences from 1,000 on share with the next block's; concept_edges_by_sentence tells them apart."""
-    step = (F.col("block_ix") * 1000 + F.col("sent_ix")).cast("int")
-    return sentence_concepts(annotated_of(spark, sf)).select("doc_id", step.alias("step"), "a", "b").distinct()
+    """Edges by step: the document's sentences that have edges, counted from 0."""
+    return concepts(spark, sf)
 
 
 @query(f"WITH {ANNOTATED}, n AS (SELECT doc_id, block_ix, sent_ix, lemma, lead(lemma) OVER (PARTITION BY doc_id, block_ix, sent_ix ORDER BY tok_ix) AS next FROM a WHERE pos IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PRON') AND NOT is_stop) SELECT DISTINCT doc_id, block_ix, sent_ix, least(lemma, next) AS a, greatest(lemma, next) AS b FROM n WHERE next IS NOT NULL AND next <> lemma")
@@ -70,30 +69,30 @@ def comprehension_history(spark, sf):
     return rounded(comprehension.history(comprehension.activation(concepts(spark, sf), last_only=False)), "nodes", "active", "activation")
 
 
-def streamed(spark, sf, name: str, build) -> object:
+def streamed(spark, sf, build, mode: str) -> DataFrame:
     """The events table, dealt into files, through a stream: what a stream that never ends would give out on these rows."""
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, sf, "events").repartition(4).write.parquet(f"{folder}/in")
-    view = f"{name}_{uuid.uuid4().hex}"
-    return activity.once(build(activity.events(spark, f"{folder}/in")), view, f"{folder}/state", "append")
+    return activity.once(build(activity.events(spark, f"{folder}/in")), f"stream_{uuid.uuid4().hex}", folder, mode)
 
 
 @query("SELECT CAST(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS start, user_id, count(*) AS posts FROM events GROUP BY ALL")
 def streamed_windows(spark, sf):
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    table(spark, sf, "events").repartition(4).write.parquet(f"{folder}/in")
-    out = activity.once(activity.windowed(activity.events(spark, f"{folder}/in"), late="60 days"), f"windows_{uuid.uuid4().hex}", f"{folder}/state", "complete")
+    out = streamed(spark, sf, lambda s: activity.windowed(s, late="60 days"), "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query()
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS posts FROM k GROUP BY user_id, k")
 def streamed_sessions(spark, sf):
-    return streamed(spark, sf, "sessions", activity.sessions)
+    """In mode complete, so that sessions that are still open come out too."""
+    out = streamed(spark, sf, lambda s: activity.sessions(s, late="60 days"), "complete")
+    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
-@query()
+@query("WITH RECURSIVE ev AS (SELECT user_id, floor(epoch(ts))::BIGINT AS t FROM events), r AS (SELECT user_id, min(t) AS first FROM ev GROUP BY user_id UNION ALL SELECT r.user_id, min(e.t) FROM r JOIN ev e ON e.user_id = r.user_id AND e.t > r.first + 1800 GROUP BY r.user_id, r.first) SELECT r.user_id, first, count(*)::INT AS n FROM r JOIN ev e ON e.user_id = r.user_id AND e.t BETWEEN first AND first + 1800 GROUP BY r.user_id, first")
 def streamed_runs(spark, sf):
-    return streamed(spark, sf, "runs", activity.runs)
+    out = streamed(spark, sf, lambda s: activity.runs(s, late="60 days", mode="update"), "update")
+    return out.groupBy("user_id", F.unix_timestamp("first").alias("first")).agg(F.max("n").alias("n"))
 
 
 SYLLABLES = [("the", [["DH", "AH0"]]), ("and", [["AE1", "N", "D"]]), ("about", [["AH0"], ["B", "AW1", "T"]]), ("nicht", [["N", "IH1", "CH", "T"]]), ("ertion", [["ER1"], ["SH", "AH0", "N"]])]

@@ -55,7 +55,7 @@ def cos(a: str, b: str) -> str:
 
 
 EMB = "embeddings_ AS (SELECT vec_id, embedding::DOUBLE[] AS vec FROM embeddings)"
-PLANES = [[1.0 if (i * 7 + j * 3) % 5 < 2 else -0.5 for j in range(64)] for i in range(8)]
+PLANES = vectors.random_planes(8, 64)
 BUCKET_SQL = " + ".join(f"(CASE WHEN list_inner_product(vec, {p}::DOUBLE[]) >= 0 THEN {1 << (7 - i)} ELSE 0 END)" for i, p in enumerate(PLANES))
 
 
@@ -75,11 +75,12 @@ def sign_hash_buckets(spark, sf):
     return emb(spark, sf).select("vec_id", vectors.sign_hash(F.col("vec"), PLANES).alias("bucket"))
 
 
-@query(f"WITH {EMB}, h AS (SELECT *, ({BUCKET_SQL})::INT AS bucket FROM embeddings_), p AS (SELECT q.vec_id AS query, e.vec_id AS id, {cos('q.vec', 'e.vec')} AS sim FROM h q, h e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND bit_count(xor(q.bucket, e.bucket)) <= 1), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rank FROM p WHERE sim > 0.1) SELECT query, rank, id, round(sim, 6) AS sim FROM r WHERE rank <= 10")
+@query(f"WITH {EMB}, h AS (SELECT *, ({BUCKET_SQL})::INT AS bucket FROM embeddings_), p AS (SELECT q.vec_id AS query, e.vec_id AS id, bit_count(xor(q.bucket, e.bucket)) AS away, {cos('q.vec', 'e.vec')} AS sim FROM h q, h e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id), x AS (SELECT * FROM p WHERE sim > 0.1), c AS (SELECT query, away, sum(count(*)) OVER (PARTITION BY query ORDER BY away) AS hits FROM x GROUP BY query, away), l AS (SELECT query, coalesce(min(away) FILTER (hits >= 10), 99) AS last FROM c GROUP BY query), r AS (SELECT x.*, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rank FROM x JOIN l USING (query) WHERE away <= last) SELECT query, rank, id, round(sim, 6) AS sim FROM r WHERE rank <= 10")
 def nearest_in_buckets(spark, sf):
+    """Own bucket first, further ones while a query has fewer than ten hits."""
     e = emb(spark, sf)
     q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("vec").alias("qvec"))
-    return vectors.top_k(q, e.withColumnRenamed("vec_id", "id"), 10, 0.1, PLANES, 1).withColumn("sim", F.round("sim", 6))
+    return vectors.most_similar(q, e.withColumnRenamed("vec_id", "id"), 10, PLANES, 0.1).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"WITH {TOKENS}, {WV}, {pooled_sql('d', 'doc_id')} SELECT doc_id, unnest(range(5))::INT AS dim, unnest(vec) AS value FROM d")

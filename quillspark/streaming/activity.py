@@ -27,18 +27,21 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
     return s.select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), "user_id", "posts")
 
 
-def runs(stream: DataFrame, seconds: int = 1800, late: str = "1 day") -> DataFrame:
+def runs(stream: DataFrame, seconds: int = 1800, late: str = "1 day", mode: str = "append") -> DataFrame:
     """user_id, first, n: posts of a user up to some seconds after the first are one run; the open run is kept as state.
 
-    Posts of a batch are taken in order of time. A run is given out when a later post closes it or the watermark passes its end.
+    Posts of a batch are taken in order of time. In mode append a run is given out when a later post closes it or the watermark passes its end; in mode
+    update every run that a batch begins or adds to, closed or not, so that nothing stays unseen at the end of a stream: the row of a run with the greatest n is its last.
     """
+    update = mode == "update"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         first, n = state.get if state.exists else (None, 0)
         done = []
         if state.hasTimedOut:
-            yield pd.DataFrame({"user_id": [key[0]], "first": [pd.Timestamp(first, unit="s")], "n": [n]})
             state.remove()
+            if not update:
+                yield pd.DataFrame({"user_id": [key[0]], "first": [pd.Timestamp(first, unit="s")], "n": [n]})
             return
         times = sorted(t for b in batches for t in (b["ts"].astype("int64") // 10 ** (9 if str(b["ts"].dtype).startswith("datetime64[ns") else 6)).tolist())
         for t in times:
@@ -48,16 +51,30 @@ def runs(stream: DataFrame, seconds: int = 1800, late: str = "1 day") -> DataFra
                 if first is not None:
                     done.append((key[0], pd.Timestamp(first, unit="s"), n))
                 first, n = t, 1
+        if update:
+            done.append((key[0], pd.Timestamp(first, unit="s"), n))
         state.update((first, n))
         state.setTimeoutTimestamp(max((first + seconds + 1) * 1000, state.getCurrentWatermarkMs() + 1))
         if done:
             yield pd.DataFrame(done, columns=["user_id", "first", "n"])
 
-    return stream.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id bigint, first timestamp, n int", "first bigint, n int", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id bigint, first timestamp, n int", "first bigint, n int", mode, GroupStateTimeout.EventTimeTimeout)
 
 
-def once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now through the stream into a table in memory (for tests and small results)."""
-    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def once(stream: DataFrame, name: str, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there now through the stream, named name, into files below folder: each batch overwrites its own, so a batch that is done again counts once.
+
+    The rows of all batches; in mode complete those of the last, which has them all.
+    """
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        done.append(number)
+
+    q = stream.writeStream.queryName(name).foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*[f"{folder}/out/{n}" for n in (done[-1:] if mode == "complete" else done)])
