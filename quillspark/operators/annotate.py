@@ -48,3 +48,33 @@ def universal_pos_ro(tag: Column) -> Column:
     for prefix, name in reversed(rules):
         out = F.when(F.startswith(tag, F.lit(prefix)), name).otherwise(out)
     return out
+
+
+#: Names by which a language is known (fixed values).
+LANGUAGES = {
+    "ro": ["ro", "rou", "romanian"], "en": ["en", "eng", "english"], "es": ["es", "esp", "spanish"], "ru": ["ru", "rus", "russian"], "de": ["de", "deu", "ger", "german", "deutsch"],
+    "fr": ["fr", "fra", "fre", "french"], "it": ["it", "ita", "italian"], "nl": ["nl", "nld", "dut", "dutch"], "pt": ["pt", "por", "portuguese"],
+}
+#: Beginnings of a language's own tags and the Penn tag they stand for; the first that fits counts (fixed values).
+PENN = {
+    "fr": [("noun", "NN"), ("propn", "NN"), ("verb", "VB"), ("adj", "JJ"), ("adv", "RB"), ("adp", "IN"), ("cconj", "CC")],
+    "nl": [("n_", "NN"), ("n|", "NN"), ("propn", "NN"), ("v_", "VB"), ("v|", "VB"), ("adj", "JJ"), ("adv", "RB"), ("adp", "IN"), ("cconj", "CC"), ("conj", "CC")],
+    "ro": [("n", "NN"), ("v", "VB"), ("a", "JJ"), ("r", "RB"), ("s", "IN"), ("cs", "IN"), ("c", "CC")],
+}
+
+
+def language(name: Column) -> Column:
+    """The code of a language by any of its names, by a map literal; null if unknown."""
+    known = F.create_map(*[F.lit(x) for code, names in LANGUAGES.items() for n in names for x in (n, code)])
+    return F.try_element_at(known, F.lower(F.trim(name)))
+
+
+def penn(tag: Column, lang: Column) -> Column:
+    """The Penn tag of a language's own tag: by rules, '' if none fits; the first two letters for languages without rules."""
+    low, out = F.lower(tag), F.substring(tag, 1, 2)
+    for code, rules in PENN.items():
+        found = F.lit("")
+        for start, name in reversed(rules):
+            found = F.when(F.startswith(low, F.lit(start)), name).otherwise(found)
+        out = F.when(lang == code, found).otherwise(out)
+    return out

@@ -302,3 +302,14 @@ def log_entropy(counts: DataFrame, documents: int) -> DataFrame:
     t = counts.groupBy("doc_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.ln("n")).alias("q"))
     e = t.select("doc_id", (1 + (F.col("q") / F.col("t") - F.ln("t")) / F.ln(F.lit(float(max(documents, 2))))).alias("e"))
     return counts.join(e, "doc_id").select("doc_id", "lemma", (F.ln(F.col("n") + 1) * F.col("e")).alias("weight"))
+
+
+def mean_features(values: DataFrame) -> DataFrame:
+    """doc_id, index, value: means over a document's sections, from doc_id, index, value with one row for each section."""
+    return values.groupBy("doc_id", "index").agg(F.avg("value").alias("value"))
+
+
+def encoded(rows: DataFrame, label: str) -> DataFrame:
+    """rows with <label>_code: the label's number in order, from 0. Labels are few: their distinct values are numbered in one task and joined back."""
+    codes = rows.select(label).distinct().withColumn(f"{label}_code", (F.row_number().over(Window.orderBy(label)) - 1).cast("bigint"))
+    return rows.join(codes, label)

@@ -231,3 +231,47 @@ def component_centralities(edges: DataFrame, components: DataFrame) -> DataFrame
         return pd.DataFrame({"node": ids, "closeness": c, "betweenness": b})
 
     return rows.select("component", "a", "b", "distance").groupBy("component").applyInPandas(run, "node bigint, closeness double, betweenness double")
+
+
+def neighbours(edges: DataFrame, directed: bool = False) -> DataFrame:
+    """node, next, distance: the adjacency list of edges(a, b, distance), both ways unless directed."""
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("next"), "distance")
+    return out if directed else out.union(edges.select(F.col("b").alias("node"), F.col("a").alias("next"), "distance"))
+
+
+def cluster_sizes(clusters: DataFrame, edges: DataFrame, top: int, by: str = "size") -> DataFrame:
+    """component, size, mean_degree (of clusters(node, component) in edges(a, b)): the top ones by size or by mean_degree, ties to the smaller component."""
+    ends = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    rows = clusters.join(ends, "node", "left")
+    out = rows.groupBy("component").agg(F.count(F.lit(1)).alias("size"), (F.sum(F.coalesce("degree", F.lit(0))) / F.count(F.lit(1))).alias("mean_degree"))
+    return out.orderBy(F.desc(F.round(by, 9)), "component").limit(top)
+
+
+def author_similarity_one_way(pairs: DataFrame, limit: float = AUTHOR_ARTICLE_LIMIT) -> DataFrame:
+    """a, b, similarity, rounds: mean of 1 - distance over matchings that are repeated on the articles of a that are left, until none is left or none can be matched.
+
+    pairs as for author_similarity.
+    """
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        grid = g.pivot_table(index="article_a", columns="article_b", values="distance", aggfunc="min", fill_value=1.0).to_numpy(float)
+        left, near, rounds = list(range(len(grid))), [], 0
+        while left:
+            part = grid[left]
+            found = [(i, j) for i, j in assignment(np.where(part < limit, part * 100, 10_000)) if part[i, j] < limit]
+            if not found:
+                break
+            rounds += 1
+            near += [1 - part[i, j] for i, j in found]
+            gone = {left[i] for i, _ in found}
+            left = [i for i in left if i not in gone]
+        return pd.DataFrame({"a": [key[0]], "b": [key[1]], "similarity": [float(np.mean(near)) if near else 0.0], "rounds": [rounds]})
+
+    return pairs.groupBy("a", "b").applyInPandas(run, "a bigint, b bigint, similarity double, rounds int")
+
+
+def author_edges(similarities: DataFrame) -> DataFrame:
+    """a, b, distance: 1 - similarity scaled to 0..1 over all pairs, those below mean - deviation (population); one row of statistics is joined twice."""
+    s = similarities.agg(F.min("similarity").alias("lo"), F.max("similarity").alias("hi"))
+    scaled = similarities.join(F.broadcast(s), F.lit(True)).select("a", "b", F.round(1 - F.coalesce(F.try_divide(F.col("similarity") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(1.0)), 9).alias("distance"))  # one row
+    return near_edges(scaled)

@@ -87,3 +87,116 @@ def thresholded(distances: DataFrame) -> DataFrame:
     """Word pairs nearer than mean - deviation (population) of their document's. distances: doc_id, a, b, distance."""
     s = distances.groupBy("doc_id").agg((F.avg("distance") - F.stddev_pop("distance")).alias("limit"))
     return distances.join(s, "doc_id").filter("distance < limit").drop("limit")
+
+
+# --- distances, expansion, metrics ---
+
+
+def word_distances(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """doc_id, a, b, distance of all concept pairs of edges(doc_id, a, b) that meet in a sentence: 0 if they are linked, else 1 - cosine of vectors(word, vec)."""
+    from .vectors import cosine
+
+    side = lambda c: vectors.select(F.col("word").alias(c), F.col("vec").alias(f"v{c}"))
+    pairs = edges.select("doc_id", "a", "b").distinct()
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select("doc_id", "a", "b", F.greatest(F.lit(0.0), 1 - cosine(F.col("va"), F.col("vb"))).alias("distance"))
+
+
+def expanded(concepts: DataFrame, related: DataFrame, ages: DataFrame, vectors: DataFrame, sentence_vectors: DataFrame, least: float = 0.33, oldest: float = 9.0, top: int = 3) -> DataFrame:
+    """doc_id, step, word, similarity: words related(word, other) to a sentence's nouns and verbs that fit it and are learned early.
+
+    concepts: doc_id, step, lemma, pos. A word stays if its cosine with the sentence is above least and its age (unknown counts as 0) below oldest;
+    of those the top by similarity, and the word itself is none.
+    """
+    from .vectors import cosine
+
+    own = concepts.filter(F.col("pos").isin("NOUN", "VERB")).select("doc_id", "step", "lemma").distinct()
+    new = own.join(related.select(F.col("word").alias("lemma"), "other"), "lemma").select("doc_id", "step", F.col("other").alias("word")).distinct()
+    new = new.join(own.withColumnRenamed("lemma", "word"), ["doc_id", "step", "word"], "left_anti").join(ages.select("word", "age"), "word", "left").filter(F.coalesce("age", F.lit(0.0)) < oldest)
+    rows = new.join(vectors, "word").join(sentence_vectors.withColumnRenamed("vec", "svec"), ["doc_id", "step"])
+    rows = rows.select("doc_id", "step", "word", cosine(F.col("vec"), F.col("svec")).alias("similarity")).filter(F.col("similarity") > least)
+    w = Window.partitionBy("doc_id", "step").orderBy(F.desc(F.round("similarity", 9)), "word")
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("doc_id", "step", "rank", "word", "similarity")
+
+
+def graph_metrics(n: int, edges: list[tuple[int, int, float]]) -> dict[str, float]:
+    """Means of degree, closeness, betweenness and harmonic centrality, density, and how many communities greedy modularity finds, of an undirected graph of nodes 0..n-1 (edges u, v, weight)."""
+    near: list[set[int]] = [set() for _ in range(n)]
+    for u, v, _ in edges:
+        if u != v:
+            near[u].add(v)
+            near[v].add(u)
+    m = sum(map(len, near)) / 2
+    close, harmonic, between = np.zeros(n), np.zeros(n), np.zeros(n)
+    for s in range(n):
+        far, order, paths, behind = {s: 0}, [s], defaultdict(float, {s: 1.0}), defaultdict(list)
+        for u in order:
+            for v in sorted(near[u]):
+                if v not in far:
+                    far[v] = far[u] + 1
+                    order.append(v)
+                if far[v] == far[u] + 1:
+                    paths[v] += paths[u]
+                    behind[v].append(u)
+        total = sum(far.values())
+        close[s] = (len(far) - 1) / total * (len(far) - 1) / (n - 1) if total and n > 1 else 0.0
+        harmonic[s] = sum(1 / d for d in far.values() if d)
+        owed: dict[int, float] = defaultdict(float)
+        for v in reversed(order[1:]):
+            for u in behind[v]:
+                owed[u] += paths[u] / paths[v] * (1 + owed[v])
+            between[v] += owed[v]
+    between = between / ((n - 1) * (n - 2)) if n > 2 else between
+    return {
+        "degree": 2 * m / n / (n - 1) if n > 1 else float(n), "closeness": float(close.mean()) if n else 0.0, "betweenness": float(between.mean()) if n else 0.0,
+        "harmonic": float(harmonic.mean()) if n else 0.0, "density": 2 * m / (n * (n - 1)) if n > 1 else 0.0, "communities": float(communities(n, edges)) if n > 1 else 0.0,
+    }
+
+
+def communities(n: int, edges: list[tuple[int, int, float]]) -> int:
+    """Number of communities left when the pair whose merge raises modularity most (ties: smallest numbers) is merged until none does."""
+    weight: dict[int, dict[int, float]] = {i: {} for i in range(n)}
+    for u, v, w in edges:
+        if u != v:
+            weight[u][v] = weight[u].get(v, 0.0) + w
+            weight[v][u] = weight[v].get(u, 0.0) + w
+    total = sum(sum(x.values()) for x in weight.values())
+    if not total:
+        return n
+    share = {i: sum(x.values()) / total for i, x in weight.items()}
+    links = {i: {j: w / total for j, w in x.items()} for i, x in weight.items()}
+    while True:
+        best = max(((2 * (e - share[i] * share[j]), -i, -j) for i, x in links.items() for j, e in x.items() if i < j), default=None)
+        if best is None or best[0] <= 1e-12:
+            return len(share)
+        i, j = -best[1], -best[2]
+        for k, e in links.pop(j).items():
+            links[k].pop(j)
+            if k != i:
+                links[i][k] = links[k][i] = links[i].get(k, 0.0) + e
+        share[i] += share.pop(j)
+
+
+def full_history(edges: DataFrame, threshold: float = 0.3, most_active: int = 10) -> DataFrame:
+    """doc_id, steps and nine means over a document's steps: activation of all and of active concepts, active ones, and the metrics of the graph of active concepts."""
+    names = ["activation", "active_activation", "active", "degree", "closeness", "betweenness", "harmonic", "density", "communities"]
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        steps: dict[int, list[tuple[str, str]]] = defaultdict(list)
+        for s, a, b in sorted(zip(g["step"], g["a"], g["b"], strict=True)):
+            steps[int(s)].append((a, b))
+        by: dict[int, list[tuple[str, float, bool]]] = defaultdict(list)
+        for s, n, v, on in read_document(steps, threshold, most_active):
+            by[s].append((n, v, on))
+        known: dict[tuple[str, str], float] = defaultdict(float)
+        rows = []
+        for s in sorted(by):
+            for e in steps[s]:
+                known[e] += 1.0
+            on = sorted(n for n, _, x in by[s] if x)
+            at = {n: i for i, n in enumerate(on)}
+            m = graph_metrics(len(on), [(at[a], at[b], w) for (a, b), w in known.items() if a in at and b in at])
+            live = [v for _, v, x in by[s] if x]
+            rows.append([np.mean([v for _, v, _ in by[s]]), np.mean(live) if live else 0.0, len(on), *m.values()])
+        return pd.DataFrame([[key[0], len(rows), *np.mean(rows, axis=0)]], columns=["doc_id", "steps", *names])
+
+    return edges.groupBy("doc_id").applyInPandas(run, "doc_id bigint, steps bigint, " + ", ".join(f"{n} double" for n in names))

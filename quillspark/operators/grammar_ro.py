@@ -118,3 +118,79 @@ def feature_values(feats: Column, name: str) -> Column:
     """The known values of a feature in a string such as Case=Acc,Nom|Number=Sing."""
     found = F.split(F.regexp_extract(feats, r"(?:^|\|)" + name.replace("[", r"\[").replace("]", r"\]") + r"=([A-Za-z0-9,]*)", 1), ",")
     return F.filter(found, lambda x: x.isin(*FEATURES[name]))
+
+
+# --- agreement of subject and predicate, corrections ---
+
+
+def predicate_disagreements(tokens: DataFrame) -> DataFrame:
+    """Subjects whose person or number differs from their predicate's, by slots of the tags: verbs have person and number at 4 and 5 (from 0), nouns number at 3, pronouns person and number at 2 and 4.
+
+    tokens with tag, head_ix and dep. A noun is third person. Several subjects of one predicate, or one with a coordinated word below it, are plural.
+    A predicate that is no verb (a predicative name) is compared by the verb that hangs from it as copula.
+    """
+    slot = lambda tag, k: F.nullif(F.nullif(F.substring(tag, k + 1, 1), F.lit("")), F.lit("-"))
+    key = [*SENT, "head_ix"]
+    verbs = tokens.filter(F.col("tag").startswith("V"))
+    own = verbs.select(*SENT, F.col("tok_ix").alias("head_ix"), F.col("tag").alias("verb_tag"), F.col("text").alias("verb"))
+    copula = verbs.filter("dep = 'cop'").groupBy(*key).agg(F.min_by("tag", "tok_ix").alias("cop_tag"), F.min_by("text", "tok_ix").alias("cop"))
+    joined = tokens.filter("dep = 'conj'").select(*SENT, F.col("head_ix").alias("tok_ix")).distinct().withColumn("several", F.lit(True))
+    subjects = tokens.filter(F.col("dep").isin("nsubj", "nsubj:pass") & F.col("tag").rlike("^[NP]")).join(joined, [*SENT, "tok_ix"], "left")
+    many = subjects.groupBy(*key).agg(F.count(F.lit(1)).alias("subjects"))
+    rows = subjects.join(own, key, "left").join(copula, key, "left").join(many, key)
+    tag, noun = F.coalesce("verb_tag", "cop_tag"), F.col("tag").startswith("N")
+    plural = F.coalesce(F.col("several"), F.lit(False)) | (F.col("subjects") > 1)
+    person = F.when(noun, "3").otherwise(slot(F.col("tag"), 2))
+    number = F.when(plural, "p").when(noun, slot(F.col("tag"), 3)).otherwise(slot(F.col("tag"), 4))
+    wrong = lambda a, b: F.coalesce(a != b, F.lit(False))
+    rows = rows.withColumns({"predicate": F.coalesce("verb", "cop"), "person": wrong(person, slot(tag, 4)) & ~plural, "number": wrong(number, slot(tag, 5))})
+    return rows.filter("predicate is not null and (person or number)").select(*SENT, "tok_ix", "text", "predicate", "person", "number")
+
+
+def synonym_repetitions(tokens: DataFrame, synonyms: DataFrame, window: int = 8) -> DataFrame:
+    """Positions of a lemma of which a synonym(word, synonym) is among the window - 1 tokens before it in the sentence.
+
+    Tokens meet on (sentence, synonym), so only pairs that the lexicon has are formed.
+    """
+    t = tokens.select(*SENT, "tok_ix", "lemma")
+    wanted = t.join(synonyms.select(F.col("word").alias("lemma"), "synonym"), "lemma")
+    met = wanted.join(t.select(*SENT, F.col("tok_ix").alias("before"), F.col("lemma").alias("synonym")), [*SENT, "synonym"])
+    return met.filter((F.col("before") < F.col("tok_ix")) & (F.col("tok_ix") - F.col("before") < window)).select(*SENT, "tok_ix", "lemma", "before", "synonym")
+
+
+#: Conjunctions that join what is alike, and those that oppose (fixed values).
+COORDINATING, ADVERSATIVE = ["și", "sau", "ori", "fie"], ["dar", "iar", "însă", "ci"]
+
+
+#: What ends a word, and what begins one: no letter or digit, which is consumed, as other engines can't look around.
+_END, _START = r"([^\p{L}\p{N}]|$)", r"(^|[^\p{L}\p{N}])"
+
+
+def commas_at_coordination(text: Column, words: list[str] = COORDINATING) -> Column:
+    """Coordinating conjunctions with a comma before them, then those with one behind them, as written."""
+    any_of = "(?:" + "|".join(words) + ")"
+    return F.concat(F.regexp_extract_all(text, F.lit(rf"(?i),\s*{any_of}{_END}"), F.lit(0)), F.regexp_extract_all(text, F.lit(rf"(?i){_START}{any_of}\s*,"), F.lit(0)))
+
+
+def missing_adversative_commas(text: Column, words: list[str] = ADVERSATIVE) -> Column:
+    """Adversative conjunctions that no comma stands before, with the letter before them."""
+    return F.regexp_extract_all(text, F.lit(r"(?i)[\p{L}\p{N}]\s+(?:" + "|".join(words) + ")" + _END), F.lit(0))
+
+
+def corrections(adversative: list[str] = ADVERSATIVE, coordinating: list[str] = COORDINATING) -> list[tuple[str, str]]:
+    """Patterns and what takes their place, in order: commas at conjunctions, comparatives with decât, forms of "a voi", runs of spaces."""
+    return [
+        (r"(?i),\s*(" + "|".join(coordinating) + r")(?:\s*,)?([^\p{L}\p{N},]|$)", " $1$2"),
+        (r"(?i)([\p{L}\p{N}])\s+(" + "|".join(adversative) + ")" + _END, "$1, $2$3"),
+        (r"(?i)(mai\s[\p{L}\p{N}]+\s)(?:de|ca)" + _END, "$1decât$2"),
+        (_START + "vroi(am|ai|a|au|aţi)" + _END, "$1voi$2$3"),
+        (" {2,}", " "),
+        (" +([,.;:!?])", "$1"),
+    ]
+
+
+def corrected(text: Column, adversative: list[str] = ADVERSATIVE, coordinating: list[str] = COORDINATING) -> Column:
+    """A text with what rules can mend."""
+    for pattern, new in corrections(adversative, coordinating):
+        text = F.regexp_replace(text, pattern, new)
+    return text

@@ -36,3 +36,11 @@ def kernels(pairs: DataFrame, strings: DataFrame, low: int = 1, high: int = 3, c
     out = out.join(total.select(F.col("id").alias("a"), F.col("own").alias("oa")), "a", "left").join(total.select(F.col("id").alias("b"), F.col("own").alias("ob")), "b", "left")
     root = F.sqrt(F.col("oa").cast("double") * F.col("ob"))
     return out.select("a", "b", "intersection", "presence", "spectrum", F.coalesce(F.when(root > 0, F.col("intersection") / root), F.lit(0.0)).alias("normalized"))
+
+
+def accuracy(found: DataFrame, labels: DataFrame, by: str = "normalized") -> DataFrame:
+    """strings, right: of how many strings the nearest other one by a kernel has the same label; ties to the smaller id. labels: id, label."""
+    both = found.select("a", "b", by).union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), by))
+    best = both.groupBy("a").agg(F.max_by("b", F.struct(F.round(by, 9), -F.col("b"))).alias("b"))
+    rows = best.join(labels.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+    return rows.agg(F.count(F.lit(1)).alias("strings"), F.count_if(F.col("x") == F.col("y")).alias("right"))
