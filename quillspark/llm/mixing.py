@@ -85,19 +85,20 @@ def mix(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, most
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: docs with the rows of each document repeated as often as the mix reads it, columns unchanged.
 
-    The last reading of the document in which a source's budget ends is cut behind its last word taken. Rows meet their plan by id and
-    row hash; equal rows, of which the mix takes at most three different lengths, are numbered and share the lengths by number.
+    The last reading of the document in which a source's budget ends is cut behind its last word taken. Rows meet their plan by id, rows without id by their
+    row hash; rows of one id are told apart by their place among them, in order of source, size and row hash.
     """
-    key = ["__id", "__row"]
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")
-    plan = mix(docs, **options).select(ident, F.col("row").alias("__row"), "taken").groupBy(*key, "taken").agg(F.count(F.lit(1)).alias("n"))
-    # one small row for each id and row hash, so that the texts are shuffled once, for their numbers and for the join
-    plan = plan.groupBy(*key).agg(F.collect_list(F.struct("taken", "n")).alias("__plan"))
-    rows = docs.select("*", ident, row_hash(docs).alias("__row")).withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    start = F.struct(F.col("__place").cast("bigint").alias("left"), F.lit(None).cast("bigint").alias("taken"))
-    share = F.aggregate(F.array_sort("__plan"), start, lambda s, x: F.struct((s["left"] - x["n"]).alias("left"), F.when((s["left"] > 0) & (s["left"] <= x["n"]), x["taken"]).otherwise(s["taken"]).alias("taken")))
-    joined = rows.join(plan, key).withColumn("__taken", share["taken"]).filter("__taken > 0").withColumn("__size", text_size(F.col("text")))
-    readings = F.transform(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")).cast("int")), lambda k: F.least(F.col("__size"), F.col("__taken") - (k - 1) * F.col("__size")))
+    ident = lambda row: F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), row.cast("string"))).alias("__key")
+    place = lambda df, size, row: df.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("source", size, row)))
+    plan = mix(docs, **options)
+    plan = place(plan.select(ident(F.col("row")), "source", "size", "taken", "row"), F.col("size"), F.col("row")).filter("taken > 0")
+    # one row for each id, so that the texts are shuffled once, by id, for their places and for the join
+    plan = plan.groupBy("__key").agg(F.collect_list(F.struct("__place", "taken", "size")).alias("__plan"))
+    hashed = docs.withColumn("__row", row_hash(docs))
+    rows = place(hashed.select("*", ident(F.col("__row"))), text_size(F.col("text")), F.col("__row")).join(plan, "__key")
+    own = F.filter("__plan", lambda x: x["__place"] == F.col("__place"))
+    joined = rows.withColumn("__own", F.explode(own)).withColumn("__size", F.col("__own.size"))
+    readings = F.transform(F.sequence(F.lit(1), F.ceil(F.col("__own.taken") / F.col("__size")).cast("int")), lambda k: F.least(F.col("__size"), F.col("__own.taken") - (k - 1) * F.col("__size")))
     cut = F.when(F.col("__take") == F.col("__size"), F.col("text")).otherwise(F.expr(r"array_join(slice(regexp_extract_all(text, r'" + WORD + r"', 0), 1, cast(__take as int)), ' ')"))
     out = joined.withColumn("__take", F.explode(readings)).withColumn("text", cut)
     if "n_chars" in docs.columns:
