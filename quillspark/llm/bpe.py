@@ -207,15 +207,21 @@ def _each(shared: object, use: Callable[[Codec], Callable]) -> Callable[[], Call
     return lambda: use(shared.value.ready())
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, and ids array<int>, of each row's whole text."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The columns keep, and ids array<int>, of each row's whole text; with decoded also the bytes that these ids stand for, decoded where they are encoded."""
     shared = docs.sparkSession.sparkContext.broadcast(Codec(ranks, pattern))
     kept = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def use(codec: Codec) -> Callable:
-        return lambda *row: [(*row[:-1], np.array(codec.encode(row[-1]), np.int32))]
+        def both(*row: object) -> list[tuple]:
+            ids = codec.encode(row[-1])
+            return [(*row[:-1], np.array(ids, np.int32), codec.decode(ids))]
 
-    return map_batches(docs.select(*keep, F.col("text").cast("string")), f"{kept}, ids array<int>", _each(shared, use), lambda row: 64 + 4 * len(row[-1]))
+        return both if decoded else lambda *row: [(*row[:-1], np.array(codec.encode(row[-1]), np.int32))]
+
+    schema = f"{kept}, ids array<int>" + ", decoded binary" * decoded
+    size = (lambda row: 64 + 4 * len(row[-2]) + len(row[-1])) if decoded else lambda row: 64 + 4 * len(row[-1])
+    return map_batches(docs.select(*keep, F.col("text").cast("string")), schema, _each(shared, use), size)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:

@@ -51,7 +51,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = bpe.read_ranks(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
-    return bpe.decode(bpe.encode(docs, ranks, pattern), ranks).select(
+    return bpe.encode(docs, ranks, pattern, decoded=True).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -75,6 +75,13 @@ def test_bpe_query_on_odd_rows(spark, tiktoken_encoding):
     assert bpe_digests(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_ids_are_decoded_again(spark, codec):
+    rows = odd_docs(spark)
+    one = {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in bpe.encode(rows, codec.ranks, codec.pattern, decoded=True).collect()}
+    two = {r.doc_id: (list(r.ids), bytes(r.decoded)) for r in bpe.decode(bpe.encode(rows, codec.ranks, codec.pattern), codec.ranks).collect()}
+    assert one == two and all(one[i][1] == (t or "").encode() for i, t in enumerate(ODD))
+
+
 # --- media columns ---
 
 
