@@ -20,7 +20,6 @@ import base64
 import heapq
 import re
 from collections.abc import Callable, Iterable
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -36,7 +35,7 @@ MASK = (1 << 64) - 1
 GPT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UNEVEN, LONE_SPACE = re.compile(r"^ | $| \s|\s ").search, re.compile(r"(?<=\S) (?=\S)").split
 #: Remembered pre-tokens in each Python worker, and the longest that is remembered.
-MEMO_ENTRIES, MEMO_LENGTH = 300_000, 64
+MEMO_ENTRIES, MEMO_LENGTH = 500_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -125,16 +124,16 @@ class Codec(dict):
             return self
         self.find = regex.compile(self.pattern).findall
         self.cuts = self.pattern == GPT_PATTERN
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, bytes] = {}
         return self
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a chunk between two places where the pre-tokenizer always cuts."""
-        known, out = self.pieces, ()
+    def __missing__(self, chunk: str) -> bytes:
+        """Ids of a chunk between two places where the pre-tokenizer always cuts, as 32-bit numbers one behind the other: texts join them without touching each id."""
+        known, out = self.pieces, b""
         for piece in self.find(chunk):
-            if (ids := known.get(piece)) is None:
-                ids = self.piece(piece)
-                if len(piece) <= MEMO_LENGTH:
+            if (ids := known.get(piece) or self.get(piece)) is None:
+                ids = np.array(self.piece(piece), np.int32).tobytes()
+                if len(piece) <= MEMO_LENGTH and piece != chunk:  # a chunk of one piece is remembered below, once
                     if len(known) >= MEMO_ENTRIES:
                         known.clear()
                     known[piece] = ids
@@ -178,8 +177,12 @@ class Codec(dict):
             i = end[i]
         return out
 
+    def packed(self, text: str | None) -> np.ndarray:
+        """Ids of a text."""
+        return np.frombuffer(b"".join(map(self.__getitem__, self.chunks(text))), np.int32) if text else np.zeros(0, np.int32)
+
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.chunks(text)))) if text else []
+        return self.packed(text).tolist()
 
     def chunks(self, text: str) -> list[str]:
         """text cut before each lone space between two other characters.
@@ -214,10 +217,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: tuple[s
 
     def use(codec: Codec) -> Callable:
         def both(*row: object) -> list[tuple]:
-            ids = codec.encode(row[-1])
-            return [(*row[:-1], np.array(ids, np.int32), codec.decode(ids))]
+            ids = codec.packed(row[-1])
+            return [(*row[:-1], ids, codec.decode(ids.tolist()))]
 
-        return both if decoded else lambda *row: [(*row[:-1], np.array(codec.encode(row[-1]), np.int32))]
+        return both if decoded else lambda *row: [(*row[:-1], codec.packed(row[-1]))]
 
     schema = f"{kept}, ids array<int>" + ", decoded binary" * decoded
     size = (lambda row: 64 + 4 * len(row[-2]) + len(row[-1])) if decoded else lambda row: 64 + 4 * len(row[-1])
