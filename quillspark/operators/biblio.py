@@ -52,8 +52,9 @@ def in_blocks(vectors: DataFrame, schema: str, function: Callable[[pd.DataFrame,
     rows = vectors.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def unit(g: pd.DataFrame) -> np.ndarray:
-        dims = max((len(v) for v in g["vec"] if v is not None), default=1)
-        m = np.stack([np.zeros(dims) if v is None else np.asarray(v, float) for v in g["vec"]])
+        there = [isinstance(v, (list, np.ndarray)) for v in g["vec"]]  # pandas may have a missing one as None or NaN
+        dims = max((len(v) for v, x in zip(g["vec"], there, strict=True) if x), default=1)
+        m = np.stack([np.asarray(v, float) if x else np.zeros(dims) for v, x in zip(g["vec"], there, strict=True)])
         n = np.linalg.norm(m, axis=1, keepdims=True)
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
