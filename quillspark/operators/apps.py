@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import numbered
 from .segment import sentence_texts
 from .vectors import cosine
 
@@ -188,12 +189,13 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 def balanced(rows: DataFrame, label: str, key: str) -> DataFrame:
     """Rows of smaller classes repeated (column copy tells them apart) until all classes are as large as the largest.
 
-    Each row is read floor(largest / n) times; the rest is made up by the rows first in hash order.
+    Each row is read floor(largest / n) times; the rest is made up by the rows first in hash order, numbered by running sums, so a class may have any number of rows.
     """
     c = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     t = c.agg(F.max("n").alias("most"))
-    ranked = rows.join(c, label).join(F.broadcast(t), F.lit(True)).withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)))  # one row
-    times = F.floor(F.col("most") / F.col("n")) + F.when(F.col("r") <= F.col("most") % F.col("n"), 1).otherwise(0)
+    placed = numbered(rows.withColumn("__order", F.md5(F.col(key).cast("string"))), [label], ["__order", key], "__r")
+    ranked = placed.join(c, label).join(F.broadcast(t), F.lit(True))  # one row
+    times = F.floor(F.col("most") / F.col("n")) + F.when(F.col("__r") < F.col("most") % F.col("n"), 1).otherwise(0)
     return ranked.withColumn("copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*rows.columns, "copy")
 
 

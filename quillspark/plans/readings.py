@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import apps, comprehension, measures, rhythm, segment, wordnet
+from ..operators import apps, comprehension, rhythm, segment, threads, wordnet
+from ..sources.lexicons import as_sql, lexicon
 from ..sources.tables import shared_dir, table
 from ..streaming import activity
-from . import applications
+from . import applications, community
 from .community import rounded
 from .complexity import annotated_of, docs_of
 from .sqltext import ANNOTATED, TOKENS
@@ -105,11 +106,46 @@ def rhythm_syllables(spark, sf):
     return rhythm.syllable_counts(segment.tokens(docs_of(spark, sf)), d, ["doc_id"])
 
 
-@query(f"WITH {TOKENS}, c AS (SELECT doc_id, block_ix, sent_ix, count(*) AS n FROM t GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_ix, sent_ix) - row_number() OVER (PARTITION BY doc_id, n ORDER BY block_ix, sent_ix) AS g FROM c), x AS (SELECT doc_id, n, g, count(*) AS k, min((block_ix, sent_ix)) AS o FROM r GROUP BY ALL) SELECT doc_id, array_to_string(list(k ORDER BY o), ',') AS structure FROM x GROUP BY doc_id")
+_MARKS = "mk(word, marks) AS (VALUES " + ", ".join(f"('{w}', [{', '.join(str(int(any(p.endswith('1') for p in x))) for x in s)}])" for w, s in SYLLABLES) + ")"
+
+
+@query(
+    f"WITH {TOKENS}, {as_sql('lex_stop')}, {_MARKS}, sy AS (SELECT t.doc_id, t.block_ix, t.sent_ix, tok_ix, unnest(CASE WHEN st.word IS NOT NULL THEN list_transform(coalesce(marks, [0]), lambda x: 0) ELSE coalesce(marks, [0]) END) AS stress, generate_subscripts(coalesce(marks, [0]), 1) AS i FROM t LEFT JOIN mk ON mk.word = t.lemma LEFT JOIN lex_stop st ON st.word = t.lemma WHERE regexp_matches(text, '\\p{{L}}')), "
+    "nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id, block_ix, sent_ix ORDER BY tok_ix, i) AS k, count(*) OVER (PARTITION BY doc_id, block_ix, sent_ix) AS n FROM sy), g AS (SELECT doc_id, block_ix, sent_ix, k, k - coalesce(lag(k) OVER (PARTITION BY doc_id, block_ix, sent_ix ORDER BY k), 0) - 1 AS gap FROM nu WHERE stress = 1 "
+    "UNION ALL SELECT doc_id, block_ix, sent_ix, max(n) + 1, max(n) - coalesce(max(k) FILTER (stress = 1), 0) FROM nu GROUP BY ALL HAVING max(n) > coalesce(max(k) FILTER (stress = 1), 0)) "
+    "SELECT s.doc_id, s.block_ix, s.sent_ix, coalesce(array_to_string(list(gap ORDER BY k) FILTER (gap IS NOT NULL), ','), '') AS structure FROM (SELECT DISTINCT doc_id, block_ix, sent_ix FROM t) s LEFT JOIN g ON g.doc_id = s.doc_id AND g.block_ix = s.block_ix AND g.sent_ix = s.sent_ix GROUP BY s.doc_id, s.block_ix, s.sent_ix"
+)
 def rhythmic_structure(spark, sf):
-    s = measures.by_sentence(docs_of(spark, sf)).filter("sent_ix is not null")
-    lists = s.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "sent_ix", "wd"))), lambda x: x["wd"]).alias("n"))
-    return lists.select("doc_id", F.array_join(rhythm.structure(F.col("n")).cast("array<string>"), ",").alias("structure"))
+    """Syllables between stresses, of each sentence."""
+    d = spark.createDataFrame(SYLLABLES, "word string, syllables array<array<string>>")
+    out = rhythm.rhythmic_structure(segment.tokens(docs_of(spark, sf)), d, lexicon(spark, "lex_stop"), segment.SENT)
+    return out.withColumn("structure", F.array_join(F.col("structure").cast("array<string>"), ","))
+
+
+@query(
+    f"WITH {TOKENS}, w AS (SELECT doc_id, block_ix, sent_ix, left(lemma, 1) AS symbol, row_number() OVER (PARTITION BY doc_id, block_ix, sent_ix ORDER BY tok_ix) AS place FROM t WHERE regexp_matches(text, '\\p{{L}}')), o AS (SELECT w.*, EXISTS (SELECT 1 FROM w p WHERE p.doc_id = w.doc_id AND p.block_ix = w.block_ix AND p.sent_ix = w.sent_ix AND p.symbol = w.symbol AND w.place - p.place BETWEEN 1 AND 3) AS goes_on FROM w), "
+    "h AS (SELECT *, count(*) FILTER (NOT goes_on) OVER (PARTITION BY doc_id, block_ix, sent_ix, symbol ORDER BY place) AS chain FROM o) SELECT doc_id, block_ix, sent_ix, symbol, array_to_string(list(place ORDER BY place), ',') AS places FROM h GROUP BY doc_id, block_ix, sent_ix, symbol, chain HAVING count(*) > 1"
+)
+def alliterations(spark, sf):
+    """Words of a sentence that begin alike, each at most three words on."""
+    w = Window.partitionBy(*segment.SENT).orderBy("tok_ix")
+    words = segment.tokens(docs_of(spark, sf)).filter(F.col("text").rlike(r"\p{L}")).select(*segment.SENT, F.left("lemma", F.lit(1)).alias("symbol"), F.row_number().over(w).alias("place"))
+    return rhythm.recurring(words, segment.SENT).withColumn("places", F.array_join(F.col("places").cast("array<string>"), ","))
+
+
+@query(
+    rf"""WITH {{POSTS}}, j AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY ix) AS x FROM p GROUP BY conv_id), z AS (SELECT conv_id, unnest(range(len(a)))::INT AS sent_ix, unnest(a) AS text FROM (SELECT conv_id, regexp_extract_all(x, '{segment.SENTENCE}') AS a FROM j)),
+cn AS (SELECT conv_id, ix, regexp_replace(text, '[\s.]+', '', 'g') AS x FROM p), co AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY conv_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM cn WHERE x <> ''),
+zn AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY conv_id ORDER BY sent_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT conv_id, sent_ix, regexp_replace(text, '[\s.]+', '', 'g') AS x FROM z))
+SELECT zn.conv_id, sent_ix, max(ix)::INT AS ix, max(substring(co.x, (zn.s - co.s + 1)::INT, length(zn.x)) = zn.x AND zn.s < co.s + length(co.x)) FILTER (co.ix = m) AS matches FROM zn JOIN (SELECT zn.conv_id AS c, zn.sent_ix AS i, max(ix) AS m FROM zn JOIN co ON co.conv_id = zn.conv_id AND co.s <= zn.s GROUP BY ALL) l ON l.c = zn.conv_id AND l.i = zn.sent_ix JOIN co ON co.conv_id = zn.conv_id AND co.s <= zn.s GROUP BY zn.conv_id, sent_ix""".replace("{POSTS}", community.POSTS)
+)
+def sentences_of_contributions(spark, sf):
+    """Sentences of whole conversations, each with the post in which it begins."""
+    p = community.posts(spark, sf).select("conv_id", "ix", "text")
+    whole = p.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    sentences = whole.select("conv_id", F.posexplode(segment.sentence_texts(F.col("text"))).alias("sent_ix", "text"))
+    out = threads.aligned_sentences(p, sentences, "conv_id")
+    return out.select("conv_id", "sent_ix", F.col("ix").cast("int").alias("ix"), "matches")
 
 
 @query()
