@@ -7,8 +7,8 @@ on a host of its own. Pages of equal text are one page, so copies of an article
 article, less what HTML itself defines to be none (nav, footer, aside, form, script and the like, landmark roles, hidden elements), is the text.
 
 Elements named as parts of a page (a whole class or id such as sidebar, not has-sidebar) have content of their own on every page, so their subtrees
-needn't recur, but their place does: the hash of tag and name, the slot, is counted as well. A name counts only if SLOT_PAGES different pages
-of the host have the slot; on hosts of fewer than MIN_PAGES different pages, where nothing can be counted, it counts by itself. Reader comments go by name.
+needn't recur, but their place does: the hash of tag and name, the slot, is counted as well, over the pages of all hosts, since names of parts are shared between
+sites. A name counts only if SLOT_PAGES different pages have the slot, whatever the host's size. Reader comments go by name.
 
 The article is the part below the page's article or main element (or the element of that role) if there is one,
 else the body. It is looked for outside elements with the name of a part first, then below them; an element that holds an article or main
@@ -29,6 +29,7 @@ without a host belongs to host ''; equal pages give equal text; other columns ar
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -72,7 +73,20 @@ PARTS = frozenset(
 COMMENTS = frozenset("comment comments commentlist disqus respond replies discussion".split())
 #: Node.part: none, by name or a form, reader comments by name, by element or hidden.
 NAMED, COMMENTED, CLOSED = 1, 2, 3
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A tag whose attributes may have > in quotes, and one as it is read once a quote was left open.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>").match
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)([^<>]*+)>").match
+#: Start tags that end an open element: which they end, and inside which elements at most.
+SIBLINGS = (
+    (frozenset(["p"]), None),  # ended by ENDS_P, through elements of a line only
+    (frozenset(["li"]), frozenset("ul ol menu".split())),
+    (frozenset("dt dd".split()), frozenset(["dl"])),
+    (frozenset(["option"]), frozenset("select datalist".split())),
+    (frozenset(["tr"]), frozenset(["table"])),
+    (frozenset("td th".split()), frozenset(["table"])),
+)
+GROUP = {tag: i for i, (same, _) in enumerate(SIBLINGS) for tag in same}
+STOPS = {tag: [i for i, (_, stop) in enumerate(SIBLINGS) if stop and tag in stop] for _, stop in SIBLINGS if stop for tag in stop}
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I).search for tag in RAW}
 NAMES = re.compile(r"\b(class|id|role|itemprop|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 SPLIT = re.compile(r"[^a-z]+")
@@ -99,12 +113,16 @@ def host_of(url: Column) -> Column:
 
 
 def _hash(text: str, slot: bool) -> int:
-    """A signed 64-bit hash, odd for slots and even for subtrees; PAGES is neither's."""
+    """A signed 64-bit hash, odd for slots and even for subtrees."""
     return ((xxhash.xxh64_intdigest(text) | 2) & ~1 | slot) - (1 << 63)
 
 
-#: Stands for the page itself among a host's hashes: on how many different pages of the host it occurs.
-PAGES = 0
+#: Stands for all hosts together, where slots are counted; no host has this name.
+EVERYWHERE = "/"
+
+
+def _scope(host: Column, digest: Column) -> Column:
+    return F.when(F.pmod(digest, F.lit(2)) == 1, EVERYWHERE).otherwise(host)
 
 
 def _role(tag: str, attributes: str) -> tuple[int, int, bool, int]:
@@ -132,56 +150,88 @@ def _role(tag: str, attributes: str) -> tuple[int, int, bool, int]:
     return part, main, hint, slot
 
 
+def _open(above: tuple[int, ...], tag: str, place: int) -> tuple[int, ...]:
+    """For an element that opens at a place of the stack: where the open element of each of SIBLINGS is that a start tag inside it would end, else 0."""
+    group, stops = GROUP.get(tag), STOPS.get(tag, ())
+    if group is None and not stops and (tag in INLINE or not above[0]):
+        return above
+    out = list(above)
+    if tag not in INLINE:
+        out[0] = 0
+    for i in stops:
+        out[i] = 0
+    if group is not None:
+        out[group] = place
+    return tuple(out)
+
+
 def parse(html: str) -> Node:
-    """The tree of a page."""
+    """The tree of a page, in time proportional to its length, however broken it is."""
     root = Node("#root")
-    stack, at = [root], 0
-    find = TOKEN.search
-    while m := find(html, at):
-        if m.start() > at:
-            stack[-1].kids.append(html[at : m.start()])
-        at = m.end()
-        if not (tag := m[2]):
+    stack, open_, ends, at, text, close = [root], Counter(), [(0,) * len(SIBLINGS)], 0, 0, -1
+    tag_at = TAG
+
+    def pop_to(place: int) -> None:
+        for node in stack[place:]:
+            open_[node.tag] -= 1
+        del stack[place:], ends[place:]
+
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            m, end = None, html.find("-->", at + 4 if not html.startswith("-->", at + 2) else at + 2)
+            end = len(html) if end < 0 else end + 3
+        else:
+            if close < at:  # the next >, looked for once
+                close = html.find(">", at)
+            if close < 0:
+                break
+            m = tag_at(html, at)
+            if not m and html[at + 1 : at + 3].lstrip("/")[:1].isalpha() and tag_at is TAG:
+                tag_at = PLAIN_TAG  # a quote was left open: from here on a tag ends at the first >
+                m = tag_at(html, at)
+            if m:
+                end = m.end()
+            elif html[at + 1 : at + 2] in ("!", "?"):
+                end = close + 1
+            else:
+                at += 1
+                continue
+        if at > text:
+            stack[-1].kids.append(html[text:at])
+        text = at = end
+        if not m:
             continue
-        tag = tag.lower()
+        tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if open_[tag]:
+                place = len(stack) - 1
+                while stack[place].tag != tag:
+                    place -= 1
+                pop_to(place)
             continue
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE:
-                    break
-        elif tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist")}.get(tag, ("table",))
-            same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in stop:
-                    break
-                if stack[i].tag in same:
-                    del stack[i:]
-                    break
+        group = 0 if tag in ENDS_P else GROUP.get(tag)
+        if group is not None and ends[-1][group]:
+            pop_to(ends[-1][group])
         node = Node(tag, *_role(tag, m[3]))
         stack[-1].kids.append(node)
         if node.main:
-            for above in stack:
+            for above in reversed(stack):
+                if above.holds:
+                    break
                 above.holds = True
         if tag in VOID or (m[3].endswith("/") and tag not in ("p", "div", "a", "article", "main", "section", "span", "b", "i", *RAW)):
             continue
         if tag in RAW:
-            close = RAW_END[tag](html, at)
-            end = close.start() if close else len(html)
+            found = RAW_END[tag](html, at)
+            end = found.start() if found else len(html)
             node.kids.append(html[at:end])
-            at = close.end() if close else end
+            text = at = found.end() if found else end
             continue
+        ends.append(_open(ends[-1], tag, len(stack)))
         stack.append(node)
-    if at < len(html):
-        stack[-1].kids.append(html[at:])
+        open_[tag] += 1
+    if text < len(html):
+        stack[-1].kids.append(html[text:])
     return root
 
 
@@ -269,30 +319,41 @@ def _seen(html: str | None) -> tuple[Node, list[Node]]:
 
 
 def subtrees(html: str | None) -> tuple[int, list[int]]:
-    """A hash of the page's text as it is without templates, and the distinct hashes of its candidate subtrees and named slots, PAGES among them."""
+    """A hash of the page's text as it is without templates, and the distinct hashes of its candidate subtrees and named slots."""
     root, found = _seen(html)
     text = extract(main_of(root)[0], set())
-    return _hash(text, False), sorted({PAGES, *(k.digest for k in found), *(k.slot for k in elements(root) if k.slot)})
+    return _hash(text, False), sorted({*(k.digest for k in found), *(k.slot for k in elements(root) if k.slot)})
 
 
-def cleaned(html: str | None, template: object = ()) -> tuple[str, int]:
-    """The page's main text, given the hashes that recur on its host (a sorted array, or any list), and how many elements went as template."""
-    known = template if isinstance(template, np.ndarray) else np.array(sorted(template), np.int64)
-    if not len(known):
-        return extract(main_of(parse(html or ""))[0], set()), 0
-    recurs = lambda own: known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
-    root, found = _seen(html)
-    named = [k for k in elements(root) if k.slot]
-    if recurs(np.array([PAGES]))[0]:
-        for k, site in zip(named, recurs(np.array([k.slot for k in named], np.int64)), strict=True):
-            if not site:
-                k.part = 0
-    gone = {id(k) for k, same in zip(found, recurs(np.array([k.digest for k in found], np.int64)), strict=True) if same}
+def cleaned(html: str | None, *template: object) -> tuple[str, int]:
+    """The page's main text, given the hashes that recur (sorted arrays, or any lists), and how many elements went as template.
+
+    Without any, the page stands alone: nothing was counted, and names count by themselves.
+    """
+    known = [t if isinstance(t, np.ndarray) else np.array(sorted(t), np.int64) for t in template]
+    known = [t for t in known if len(t)]
+
+    def recurs(own: list[int]) -> np.ndarray:
+        h, out = np.array(own, np.int64), np.zeros(len(own), bool)
+        for t in known:
+            out |= t[np.minimum(np.searchsorted(t, h), len(t) - 1)] == h
+        return out
+
+    root = parse(html or "")
+    named = [k for k in elements(root) if k.slot] if template else []
+    for k, shared in zip(named, recurs([k.slot for k in named]), strict=True):
+        if not shared:
+            k.part = 0
+    gone: set[int] = set()
+    if known:
+        digests(root)
+        found = list(candidates(root))
+        gone = {id(k) for k, same in zip(found, recurs([k.digest for k in found]), strict=True) if same}
     return extract(main_of(root)[0], gone), len(gone)
 
 
-def main_text(html: str | None, template: object = ()) -> str:
-    return cleaned(html, template)[0]
+def main_text(html: str | None, *template: object) -> str:
+    return cleaned(html, *template)[0]
 
 
 def hashes(pages: DataFrame) -> DataFrame:
@@ -307,9 +368,9 @@ def hashes(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, slot_pages: int = SLOT_PAGES) -> DataFrame:
-    """host, digest: subtrees that recur on min_pages different pages of their host, slots that do on slot_pages, and PAGES of hosts with min_pages."""
+    """host, digest: subtrees that recur on min_pages different pages of their host, and slots that do on slot_pages of all hosts (host EVERYWHERE)."""
     rows = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.lit(None).cast("string").alias("page"), F.col("html").cast("string"))
-    counted = hashes(rows).groupBy("host", "digest").agg(F.countDistinct("text").alias("n"))
+    counted = hashes(rows).groupBy(_scope(F.col("host"), F.col("digest")).alias("host"), "digest").agg(F.countDistinct("text").alias("n"))
     return counted.filter(F.col("n") >= F.when(F.pmod("digest", F.lit(2)) == 1, slot_pages).otherwise(min_pages)).select("host", "digest")
 
 
@@ -323,12 +384,12 @@ def main_texts(pages: DataFrame, **options: int) -> DataFrame:
         shared = pages.sparkSession.sparkContext.broadcast({h: np.array(d, np.int64) for h, d in by_host})  # at most 8 bytes times BROADCAST_HASHES, and the hosts
 
         def look_up(page_id: int, url: str | None, html: str | None, host: str) -> Iterator[tuple]:
-            text, n = cleaned(html, shared.value.get(host, ()))
+            text, n = cleaned(html, shared.value.get(host, ()), shared.value.get(EVERYWHERE, ()))
             yield page_id, url, text, len(text), n
 
         return map_batches(rows, schema, lambda: look_up, size)
     rows = rows.withColumn("page", F.md5(F.col("html").cast("binary")))
-    own = hashes(rows).join(known, ["host", "digest"]).groupBy("host", "page").agg(F.array_sort(F.collect_set("digest")).alias("templates"))
+    own = hashes(rows).withColumn("scope", _scope(F.col("host"), F.col("digest"))).join(known.withColumnRenamed("host", "scope"), ["scope", "digest"]).groupBy("host", "page").agg(F.array_sort(F.collect_set("digest")).alias("templates"))
 
     def row(page_id: int, url: str | None, html: str | None, known: object) -> Iterator[tuple]:
         text, n = cleaned(html, () if known is None else known)

@@ -169,12 +169,55 @@ def test_counting_alone_cleans_pages_without_article(spark, broadcast, monkeypat
     assert all("Home" in t and "Prices" in t and "rights" in t for t in off.values())
 
 
-def test_names_count_where_their_slot_recurs(spark):
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_names_count_where_their_slot_recurs(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(htmltext, "BROADCAST_HASHES", broadcast)
     rows = [(i, "https://many.example/", f"<div class='sidebar'>aside {i}</div><p>text {i}</p>") for i in range(6)]
-    rows += [(6, "https://many.example/", "<div class='notice'>the author's own</div><p>text 6</p>"), (7, "https://few.example/", "<div class='notice'>gone</div><p>text 7</p>")]
+    rows += [(6, "https://many.example/", "<div class='notice'>gone on one</div><p>text 6</p>"), (7, "https://few.example/", "<div class='notice'>gone on the other</div><p>text 7</p>")]
     rows += [(8, "https://many.example/", "<div role='navigation'>n</div><div class='comments'>c</div><p>text 8</p>")]
+    rows += [(9, "https://many.example/", "<div class='banner'>the author's own</div><p>text 9</p>"), (10, "https://few.example/", "<div class='promo'>the author's own</div><p>text 10</p>")]
     got = {r.page_id: r.text for r in htmltext.main_texts(pages(spark, rows)).collect()}
-    assert got == {i: f"text {i}" for i in range(6)} | {6: "the author's own text 6", 7: "text 7", 8: "text 8"}
+    assert got == {i: f"text {i}" for i in range(9)} | {i: f"the author's own text {i}" for i in (9, 10)}
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_recurring_blocks_inside_articles_go_by_counting(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(htmltext, "BROADCAST_HASHES", broadcast)
+    html = lambda i: f"<article><h1>T {i}</h1><p>One {i}.</p><div><p>Read our other stories</p></div><p>As ever.</p><table><tr><td>Rates {i}</td></tr></table></article>"
+    rows = [(i, "https://news.example/", html(i)) for i in range(9)]
+    texts = lambda **options: {r.page_id: r.text for r in htmltext.main_texts(pages(spark, rows), **options).collect()}
+    assert texts() == {i: f"T {i} One {i}. As ever. Rates {i}" for i in range(9)}
+    assert texts(min_pages=10**9) == {i: f"T {i} One {i}. Read our other stories As ever. Rates {i}" for i in range(9)}
+
+
+BROKEN = ["<a ", "<a '", '<a title="x>', "<!", "<!--", "</", "<div>", "<article>", "</span>", "<p>", "<li>", "<td>", "<b><p>", "<dt><div>", "<script>", "<form><li>", "<div class='ad'>", "a>", "&amp;"]
+
+
+@pytest.mark.parametrize("part", BROKEN)
+def test_broken_pages_take_time_in_proportion(part):
+    import time
+
+    def seconds(n):
+        html = part * (n // len(part))
+        began = time.process_time()
+        htmltext.cleaned(html + "</span>" * (n // 100), [0])
+        return time.process_time() - began
+
+    seconds(50_000)
+    assert min(seconds(400_000) for _ in range(2)) < 4 * min(seconds(200_000) for _ in range(3)) + 0.1
+
+
+def test_elements_end_as_they_did():
+    tree = lambda node: node if isinstance(node, str) else [node.tag, *map(tree, node.kids)]
+    show = lambda html: tree(htmltext.parse(html))[1:]
+    assert show("<p>a<b>b<div>c</div>d") == [["p", "a", ["b", "b"]], ["div", "c"], "d"]
+    assert show("<ul><li>a<div>b<li>c<ul><li>d</ul>e</ul>f") == [["ul", ["li", "a", ["div", "b"]], ["li", "c", ["ul", ["li", "d"]], "e"]], "f"]
+    assert show("<dl><dt>a<dd>b<dt>c</dl>") == [["dl", ["dt", "a"], ["dd", "b"], ["dt", "c"]]]
+    assert show("<table><tr><td>a<table><tr><td>b</table>c<td>d<tr><th>e</table>") == [["table", ["tr", ["td", "a", ["table", ["tr", ["td", "b"]]], "c"], ["td", "d"]], ["tr", ["th", "e"]]]]
+    assert show("<p>a<section>b<p>c<object><p>d</object>e") == [["p", "a"], ["section", "b", ["p", "c", ["object", ["p", "d"]], "e"]]]
+    assert show("<a title='x>y'>t</a><i x=\"q>z</i> w") == [["a", "t"], ["i", "z"], " w"]
+    assert show("a <3 b < c <! d> e<!-- f > g --> h <!--> i <?x?>j") == ["a <3 b < c ", " e", " h ", " i ", "j"]
+    assert show("<b>x</b") == [["b", "x</b"]]
 
 
 def test_templates_are_found_in_the_pages_table(spark, sf):
