@@ -16,7 +16,7 @@ window is found exactly, among all of them.
 Documents with equal word sequences are settled before: all but the first go as a whole (if they have a window).
 
 Hot passages: firsts are found by aggregations that combine before the shuffle, and handed back by joins that Spark
-can split. Lists are only ever gathered by document, so they are bounded by the document's length.
+can split. Lists are gathered by document as sets, so they are bounded by the document's length, however many equal rows it has.
 
 Defined cases: null, empty and blank texts have no words and keep none (the digest of nothing); a document shorter than
 a window keeps all; a repetition inside one document, or between rows of equal id, is no repetition of an earlier document; a
@@ -170,23 +170,26 @@ def repeated_passages(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     known = stored(known.select("doc_id", "row", "n_words", "sha", "copy"), "substring-known")
     single = long.join(copies, "sha", "left").filter("original is null or original = doc_id").select("doc_id", "row", F.explode("anchors").alias("anchor"))
 
-    index = FingerprintIndex(spark)
     cuts = known.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or [] if batches > 1 else []
     bounds = [None, *sorted(set(cuts)), None]
-    hits = None
-    for at, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
-        batch = single
-        batch = batch if low is None else batch.filter(F.col("doc_id") > low)
-        batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
-        found = index.add(batch, compact=at + 2 < len(bounds))
-        hits = found if hits is None else hits.union(found)
-
-    index.discard()  # hits are written; nothing below reads the runs
+    hits, index = None, FingerprintIndex(spark)
+    try:
+        for at, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            batch = single
+            batch = batch if low is None else batch.filter(F.col("doc_id") > low)
+            batch = batch if high is None else batch.filter(F.col("doc_id") <= high)
+            found = index.add(batch, compact=at + 2 < len(bounds))
+            hits = found if hits is None else hits.union(found)
+    finally:
+        index.discard()  # hits are written; nothing below reads the runs
+
     hits = stored(hits.groupBy("anchor").agg(F.min("first").alias("first")), "substring-hits")
-    of_row = single.join(hits, "anchor").groupBy("doc_id", "row").agg(F.collect_list("anchor").alias("hits"), F.collect_list(F.col("first") < F.col("doc_id")).alias("earlier"))
+    # sets, since equal rows of one id bring the same anchors: what is gathered is bounded by one document
+    of_row = single.join(hits, "anchor").groupBy("doc_id", "row").agg(F.collect_set(F.struct("anchor", (F.col("first") < F.col("doc_id")).alias("earlier"))).alias("found"))
+    of_row = of_row.select("doc_id", "row", F.col("found.anchor").alias("hits"), F.col("found.earlier").alias("earlier"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").cast("string"))
     texts = stored(rows.join(of_row, ["doc_id", "row"]), "substring-texts", compression="zstd")
-    windows = _windows(texts)
+    windows = _windows(texts.dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "hits", "earlier"))
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("w1", "w2", "first")
     firsts = stored(firsts, "substring-firsts")
     starts = windows.filter("earlier").join(firsts, ["w1", "w2"]).filter("first < doc_id").groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("starts"))

@@ -226,3 +226,12 @@ def test_an_index_goes_on_in_another_session(spark):
     assert {tuple(r) for r in again.add(batch([(7, 13), (8, 11)])).collect()} == {(13, 6), (11, 2)}
     again.discard()
     assert not again.runs
+
+
+def test_thousands_of_equal_rows_share_a_passage(spark):
+    shared = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, shared)] + [(2, f"a b c {shared} " + " ".join(f"x{i}" for i in range(330)))] * 3000 + [(3, f"y {shared} z")]
+    got = substring.repeated_passages(frame(spark, rows)).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 70, 0, 1), (2, 403, 70, 3000), (3, 72, 70, 1)]
+    left = substring.deduplicated(frame(spark, rows)).groupBy("doc_id").agg({"text": "max", "*": "count"}).collect()
+    assert {r.doc_id: (r["count(1)"], len(r["max(text)"].split())) for r in left} == {1: (1, 70), 2: (3000, 333), 3: (1, 2)}
