@@ -5,8 +5,8 @@ their range; each range sums its sizes per source, these few sums are added up o
 sum inside each (source, range) gives every document the place [before, before + size) in its source. A source with
 S words and a budget of B words is read B // S whole times and then up to word B % S of its random order.
 
-Nothing here depends on how many rows one source has: the range sort splits a source over many ranges. All is DataFrame code;
-the driver sees one row for each source, to share the targets among them.
+Nothing here depends on how many rows one source has: the range sort splits a source over many ranges, and equal rows, which have a place
+each in the written sizes. All is DataFrame code; the driver sees one row for each source, to share the targets among them.
 
 Defined cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, last
 in order; equal ids get equal keys and are put in order by size and a hash of the row; equal rows are interchangeable; an empty table gives
@@ -26,6 +26,8 @@ from .common import WORD
 WEIGHTS = (1, 2, 3)
 #: No source, and so no document, is repeated more often than this.
 MOST_EPOCHS = 3
+#: Copies of one row that are made in one go.
+SHARE = 1000
 
 
 def text_size(text: Column) -> Column:
@@ -64,17 +66,17 @@ def mix(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, most
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = F.col("source").cast("string")
     named = F.coalesce(F.concat(F.lit("="), source), F.lit(""))  # a null source is the empty name
-    sized = stored(docs.select("doc_id", named.alias("source"), text_size(F.col("text")).alias("size"), row_hash(docs).alias("row")), "mix-sizes")
+    sized = stored(docs.select("doc_id", named.alias("source"), text_size(F.col("text")).alias("size"), row_hash(docs).alias("row"), F.monotonically_increasing_id().alias("place")), "mix-sizes")
     totals = {r.source[1:] if r.source else None: int(r.n) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     goal = targets(list(totals.items()), weights, most)
     plan = spark.createDataFrame([("" if s is None else f"={s}", k, float(goal[s]), int(round(goal[s]))) for s, k in totals.items()], "source string, source_size bigint, target double, budget bigint")
 
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
-    ranges = sized.select("doc_id", "source", "size", "row", key).repartitionByRange(n, "source", "key", "size", "row")
+    ranges = sized.select("doc_id", "source", "size", "row", "place", key).repartitionByRange(n, "source", "key", "size", "row", "place")
     ranges = stored(ranges.withColumn("part", F.spark_partition_id()), "mix-ranges")  # written, so that a range stays the same whoever reads it
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranges.groupBy("source", "part").agg(F.sum("size").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(plan, "source").drop("n")
-    inside = Window.partitionBy("source", "part").orderBy("key", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "part").orderBy("key", "size", "row", "place").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranges.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["source", "part"])
     last = F.expr("budget % source_size") - F.col("start") - F.col("inside")
     taken = F.expr("size * (budget div source_size)") + F.greatest(F.lit(0), F.least("size", last))
@@ -85,22 +87,27 @@ def mix(docs: DataFrame, seed: int = 0, weights: Sequence[float] = WEIGHTS, most
 def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     """The mix itself: docs with the rows of each document repeated as often as the mix reads it, columns unchanged.
 
-    The last reading of the document in which a source's budget ends is cut behind its last word taken. Rows meet their plan by id, rows without id by their
-    row hash; rows of one id are told apart by their place among them, in order of source, size and row hash.
+    The last reading of the document in which a source's budget ends is cut behind its last word taken. Rows meet their plan by id and row hash, so
+    the texts are shuffled once. Equal rows are interchangeable and share one plan, which has the few different numbers of words taken and how many of the rows have
+    each; one of the rows is kept, dealt out in shares of SHARE copies and repeated.
     """
     ident = lambda row: F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), row.cast("string"))).alias("__key")
-    place = lambda df, size, row: df.withColumn("__place", F.row_number().over(Window.partitionBy("__key").orderBy("source", size, row)))
-    plan = mix(docs, **options)
-    plan = place(plan.select(ident(F.col("row")), "source", "size", "taken", "row"), F.col("size"), F.col("row")).filter("taken > 0")
-    # one row for each id, so that the texts are shuffled once, by id, for their places and for the join
-    plan = plan.groupBy("__key").agg(F.collect_list(F.struct("__place", "taken", "size")).alias("__plan"))
-    hashed = docs.withColumn("__row", row_hash(docs))
-    rows = place(hashed.select("*", ident(F.col("__row"))), text_size(F.col("text")), F.col("__row")).join(plan, "__key")
-    own = F.filter("__plan", lambda x: x["__place"] == F.col("__place"))
-    joined = rows.withColumn("__own", F.explode(own)).withColumn("__size", F.col("__own.size"))
-    readings = F.transform(F.sequence(F.lit(1), F.ceil(F.col("__own.taken") / F.col("__size")).cast("int")), lambda k: F.least(F.col("__size"), F.col("__own.taken") - (k - 1) * F.col("__size")))
-    cut = F.when(F.col("__take") == F.col("__size"), F.col("text")).otherwise(F.expr(r"array_join(slice(regexp_extract_all(text, r'" + WORD + r"', 0), 1, cast(__take as int)), ' ')"))
-    out = joined.withColumn("__take", F.explode(readings)).withColumn("text", cut)
+    keys = ["__key", "__row"]
+    plan = mix(docs, **options).select(ident(F.col("row")), F.col("row").alias("__row"), "size", "taken")
+    plan = plan.groupBy(*keys, "size", "taken").agg(F.count(F.lit(1)).alias("n"))
+    plan = plan.groupBy(*keys).agg(F.sum("n").alias("__rows"), F.collect_list(F.struct("taken", "size", "n")).alias("__plan")).filter(F.exists("__plan", lambda x: x["taken"] > 0))
+    rows = docs.withColumn("__row", row_hash(docs)).withColumn("__key", ident(F.col("__row")))
+    joined = rows.join(plan, keys)
+    alone = joined.filter("__rows = 1").withColumn("__own", F.col("__plan")[0])
+    several = joined.filter("__rows > 1").dropDuplicates(keys).withColumn("__own", F.explode("__plan"))
+    shares = F.sequence(F.lit(0), F.floor((F.col("__own.n") - 1) / SHARE).cast("int"))
+    several = several.withColumn("__share", F.explode(shares)).repartition(*keys, "__share")
+    copies = F.least(F.lit(SHARE), F.col("__own.n") - SHARE * F.col("__share")).cast("int")
+    several = several.withColumn("__copy", F.explode(F.sequence(F.lit(1), copies))).drop("__copy", "__share")
+    taken, size = F.col("__own.taken"), F.col("__own.size")
+    readings = F.transform(F.sequence(F.lit(1), F.ceil(taken / size).cast("int")), lambda k: F.least(size, taken - (k - 1) * size))
+    cut = F.when(F.col("__take") == size, F.col("text")).otherwise(F.expr(r"array_join(slice(regexp_extract_all(text, r'" + WORD + r"', 0), 1, cast(__take as int)), ' ')"))
+    out = alone.unionByName(several).filter(taken > 0).withColumn("__take", F.explode(readings)).withColumn("text", cut)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

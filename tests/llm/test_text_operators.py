@@ -383,3 +383,21 @@ def test_broken_streams_are_counted_in_spark(spark):
     assert "faults=0" not in got[2].feature and len(got[2].payload) < 25_600
     assert bytes(got[3].payload) == b"" and got[5].payload is None and got[5].feature is None and got[5].units == []
     assert got[0].units[0].clock == 0 and got[0].units[0].access
+
+
+def test_equal_rows_are_mixed_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARE", 7)
+    rows = [(1, "a b c d e", "s1")] * 2000 + [(2, "one two three", "s2")] + [(None, "x y", "s2")] * 3 + [(3, "long " * 5000, "s3")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = mixing.mix(docs).collect()
+    by = {}
+    for r in plan:
+        by.setdefault((r.doc_id, r.source), []).append(r)
+    assert len(by[1, "s1"]) == 2000 and len({r.target for r in by[1, "s1"]}) == 1
+    for source in ("s1", "s2", "s3"):
+        own = [r for r in plan if r.source == source]
+        assert sum(r.taken for r in own) == round(own[0].target) and all(0 <= r.taken <= 3 * r.size for r in own)
+    words = Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        words[r.doc_id, r.source] += len(r.text.split())
+    assert words == Counter({k: sum(r.taken for r in v) for k, v in by.items()})
