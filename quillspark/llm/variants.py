@@ -40,6 +40,8 @@ CHUNK, TABLE = 1 << 20, 200_000
 #: Primes of the running hashes, and their bases.
 PRIMES = np.array([2147483647, 2147483629, 2147483587, 2147483579], np.uint64)
 BASES = np.array([1000003, 1500450271, 961748941, 472882027], np.uint64)
+#: Letters of words of one length whose keys are made at a time.
+LETTERS_AT_A_TIME = 50_000
 #: Kinds of keys: a word with a wildcard, with a code point deleted, as it is.
 WILDCARD, DELETED, WHOLE = 0, 1, 2
 
@@ -111,28 +113,32 @@ def _powers(n: int) -> np.ndarray:
 _POWERS = _powers(64)
 
 
-def keys(word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """kind, k1, k2 of the groups of a word: one for each position, one for each different deletion, its own."""
-    x = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
-    n, p = len(x), PRIMES[:, None]
-    power = _POWERS[:, : n + 1] if n < _POWERS.shape[1] else _powers(n + 1)
+def keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words of one length: which word (index), kind, k1, k2 of their groups: one for each position, one for each different deletion, their own."""
+    n, p = len(words[0]), PRIMES[:, None, None]
+    x = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
+    power = (_POWERS[:, : n + 1] if n < _POWERS.shape[1] else _powers(n + 1))[:, None, :]
     # sums of x[j] * base^j up to each place, and of x[j] * base^(j-1): what follows a deleted place moves down by one
-    here = np.zeros((len(PRIMES), n + 1), np.uint64)
+    here = np.zeros((len(PRIMES), len(words), n + 1), np.uint64)
     moved = np.zeros_like(here)
-    here[:, 1:] = np.cumsum(x * power[:, :n] % p, 1)
-    moved[:, 2:] = np.cumsum(x[1:] * power[:, : n - 1] % p, 1)
-    wild = (here[:, :-1] + here[:, -1:] - here[:, 1:]) % p
-    keep = np.append(x[1:] != x[:-1], True)  # deleting any letter of a run of equal ones leaves the same
-    less = ((here[:, :-1] + moved[:, -1:] - moved[:, 1:]) % p)[:, keep]
-    own = here[:, -1:] % p
+    here[..., 1:] = np.cumsum(x * power[..., :n] % p, -1)
+    moved[..., 2:] = np.cumsum(x[:, 1:] * power[..., : n - 1] % p, -1)
+    wild = (here[..., :-1] + here[..., -1:] - here[..., 1:]) % p
+    less = (here[..., :-1] + moved[..., -1:] - moved[..., 1:]) % p
+    keep = np.ones((len(words), n), bool)  # deleting any letter of a run of equal ones leaves the same
+    keep[:, :-1] = x[:, 1:] != x[:, :-1]
+    at, place = np.nonzero(keep)
+    every = np.arange(len(words))
+    sums = np.concatenate([wild.reshape(len(PRIMES), -1), less[:, at, place], here[..., -1] % PRIMES[:, None]], 1)
+    word = np.concatenate([np.repeat(every, n), at, every])
+    kind = np.repeat(np.array([WILDCARD, DELETED, WHOLE], np.int8), [len(words) * n, len(at), len(words)])
     # the length tells strings of different lengths apart, kind and position the wildcards
-    all_ = np.concatenate([wild, less, own], 1)
-    tag = np.concatenate([2 * np.arange(n) + 1, np.zeros(less.shape[1] + 1, np.int64)]).astype(np.uint64)
-    length = np.concatenate([np.full(n, n), np.full(less.shape[1], n - 1), [n]]).astype(np.uint64)
+    tag = np.concatenate([np.tile(2 * np.arange(n) + 1, len(words)), np.zeros(len(at) + len(words), np.int64)]).astype(np.uint64)
+    length = (n - (kind == DELETED)).astype(np.uint64)
     shift = np.uint64(31)
-    k1 = ((all_[0] << shift | all_[1]) + tag * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-    k2 = ((all_[2] << shift | all_[3]) + length * np.uint64(0xD6E8FEB86659FD93) + (tag << np.uint64(1))).view(np.int64)
-    return np.repeat(np.array([WILDCARD, DELETED, WHOLE], np.int8), [n, less.shape[1], 1]), k1, k2
+    k1 = ((sums[0] << shift | sums[1]) + tag * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    k2 = ((sums[2] << shift | sums[3]) + length * np.uint64(0xD6E8FEB86659FD93) + (tag << np.uint64(1))).view(np.int64)
+    return word, kind, k1, k2
 
 
 def group_keys(words: DataFrame) -> DataFrame:
@@ -140,25 +146,22 @@ def group_keys(words: DataFrame) -> DataFrame:
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("kind", pa.int8()), ("rank", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
-        def batch() -> pa.RecordBatch:
-            kind, k1, k2, rank = (np.concatenate(c) for c in zip(*held, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, kind, rank)], schema=schema)
-
         for b in batches:
-            for word, rank in zip(b.column("word").to_pylist(), b.column("rank").to_pylist(), strict=True):
-                found = keys(word)
-                held.append((*found, np.full(len(found[0]), rank, np.int64)))
-                size += len(found[0])
-                if size > 50_000:
-                    yield batch()
-                    held, size = [], 0
-        if held:
-            yield batch()
-
-    return words.select("word", "rank").mapInArrow(run, "k1 bigint, k2 bigint, kind tinyint, rank bigint")
+            word, rank = b.column("word").to_pylist(), b.column("rank").to_numpy()
+            by: dict[int, list[int]] = {}
+            for i, w in enumerate(word):
+                by.setdefault(len(w), []).append(i)
+            for n, own in by.items():
+                step = max(1, LETTERS_AT_A_TIME // n)
+                for a in range(0, len(own), step):
+                    part = own[a : a + step]
+                    index, kind, k1, k2 = keys([word[i] for i in part])
+                    ranks = rank[part][index]
+                    for c in range(0, len(index), 50_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(v[c : c + 50_000]) for v in (k1, k2, kind, ranks)], schema=schema)
+
+    dealt = words.select("word", "rank").repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # words are few beside their keys
+    return dealt.mapInArrow(run, "k1 bigint, k2 bigint, kind tinyint, rank bigint")
 
 
 def near_counts(words: DataFrame) -> DataFrame:
