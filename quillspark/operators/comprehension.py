@@ -26,6 +26,34 @@ def concept_edges(tokens: DataFrame, sentence: tuple[str, ...] = ("step",)) -> D
     return rows.select("doc_id", *sentence, F.least("lemma", "next").alias("a"), F.greatest("lemma", "next").alias("b")).distinct()
 
 
+def collapsed_edges(tokens: DataFrame, sentence: tuple[str, ...] = ("step",)) -> DataFrame:
+    """doc_id, sentence columns, a, b: content words joined in their sentence's dependency tree directly or by a way over other words only; a < b.
+
+    tokens: doc_id, the columns that tell sentences apart, tok_ix (from 0, without gaps), lemma, content (boolean), head_ix (a root heads itself). Words passed over that hang together are contracted to their topmost
+    one, by doubling pointers inside the sentence's array; content words next to one such contracted word meet under it. Heads outside the sentence make a token a root.
+    """
+    keys = ["doc_id", *sentence]
+    s = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tok_ix", "lemma", "content", "head_ix"))).alias("t"))
+    s = s.withColumns({"heads": F.transform("t", lambda x, i: F.coalesce(F.when((x["head_ix"] >= 0) & (x["head_ix"] < F.size("t")), x["head_ix"]), i)), "kept": F.transform("t", lambda x: F.coalesce(x["content"], F.lit(False)))})
+    # a word that is passed over points to its head while that is passed over too
+    up = F.transform("heads", lambda h, i: F.when(~F.get("kept", i) & ~F.get("kept", h), h).otherwise(i))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size("t") + 1)).cast("int") + 1)
+    s = s.withColumn("up", up).withColumn("top", F.aggregate(rounds, F.col("up"), lambda u, _: F.transform(u, lambda x: F.get(u, x))))
+    # each link of a content word: with its head's contracted word, of its head with its own, or between two content words (under a name of their own)
+    place = lambda at, other: F.struct(at.alias("at"), other.alias("lemma"))
+    lemma = lambda i: F.get("t", i)["lemma"]
+    link = lambda h, i: (
+        F.when(h == i, F.array().cast("array<struct<at:int,lemma:string>>"))
+        .when(F.get("kept", i) & F.get("kept", h), F.array(place(-1 - i, lemma(i)), place(-1 - i, lemma(h))))
+        .when(F.get("kept", i), F.array(place(F.get("top", h), lemma(i))))
+        .when(F.get("kept", h), F.array(place(F.get("top", i), lemma(h))))
+        .otherwise(F.array().cast("array<struct<at:int,lemma:string>>"))
+    )
+    met = s.select(*keys, F.inline(F.array_distinct(F.flatten(F.transform("heads", link)))))
+    pairs = met.withColumnRenamed("lemma", "a").join(met.withColumnRenamed("lemma", "b"), [*keys, "at"]).filter("a < b")
+    return pairs.select(*keys, "a", "b").distinct()
+
+
 def spread(nodes: list[str], edges: dict[tuple[str, str], float], start: dict[str, float]) -> dict[str, float]:
     """PageRank from the nodes' activation, divided by the greatest."""
     at = {n: i for i, n in enumerate(nodes)}

@@ -162,7 +162,7 @@ def coauthor_degrees(spark, sf):
 
 
 # Vectors stand in for articles; all pairs are compared.
-NEAR = "em AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), ds AS (SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0, 1 - list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v)) / sqrt(list_inner_product(y.v, y.v))), 9) AS distance FROM em x JOIN em y ON y.vec_id > x.vec_id)"
+NEAR = "em AS MATERIALIZED (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS s FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)), ds AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, round(greatest(0, 1 - list_inner_product(x.v, y.v) / x.s / y.s), 9) AS distance FROM em x JOIN em y ON y.vec_id > x.vec_id)"
 
 
 def article_vectors(spark, sf) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotate, apps, biblio, components, comprehension, grammar_ro, indices, kernels, measures, segment, wordnet
+from ..operators import annotate, apps, biblio, components, comprehension, grammar_ro, indices, kernels, latent, measures, segment, wordnet
 from ..operators import reduce as reducers
 from ..sources.lexicons import as_sql, lexicon
 from ..sources.tables import table
@@ -326,16 +326,9 @@ def merged_by_distance(spark, sf):
 
 @query()
 def document_topics_by_svd(spark, sf):
-    """Five latent dimensions of documents by principal components of log-entropy weights, over 128 hashed terms."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
+    """Five latent dimensions of documents from log-entropy weights of all terms; a test holds them against an exact decomposition."""
     c = apps.training_tokens(annotated_of(spark, sf)).groupBy("doc_id", "lemma").agg(F.count(F.lit(1)).alias("n"))
-    w = apps.log_entropy(c, table(spark, sf, "documents").count()).withColumn("slot", F.pmod(F.xxhash64("lemma"), F.lit(128)))
-    rows = w.groupBy("doc_id").agg(*[F.sum(F.when(F.col("slot") == i, F.col("weight")).otherwise(0.0)).alias(f"s{i}") for i in range(128)])
-    rows = rows.select("doc_id", array_to_vector(F.array(*[F.col(f"s{i}") for i in range(128)])).alias("weights"))
-    found = PCA(k=5, inputCol="weights", outputCol="latent").fit(rows).transform(rows)
-    return found.select("doc_id", vector_to_array("latent").alias("latent"))
+    return latent.latent_dimensions(apps.log_entropy(c, table(spark, sf, "documents").count()), 5)[0]
 
 
 @query()

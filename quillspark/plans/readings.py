@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import apps, comprehension, rhythm, segment, threads, wordnet
+from ..operators import apps, clustering, comprehension, rhythm, segment, threads, wordnet
 from ..sources.lexicons import as_sql, lexicon
 from ..sources.tables import shared_dir, table
 from ..streaming import activity
@@ -59,6 +59,26 @@ def concept_edges_by_sentence(spark, sf):
     return sentence_concepts(annotated_of(spark, sf))
 
 
+_CONTENT = "pos IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PRON') AND NOT is_stop"
+_SAME = lambda x, y: f"{x}.doc_id = {y}.doc_id AND {x}.block_ix = {y}.block_ix AND {x}.sent_ix = {y}.sent_ix"
+
+
+@query(
+    f"WITH RECURSIVE {ANNOTATED}, h AS MATERIALIZED (SELECT doc_id, block_ix, sent_ix, tok_ix, lemma, (tok_ix // 2)::INT AS head_ix, {_CONTENT} AS content FROM a), "
+    f"ln AS MATERIALIZED (SELECT c.doc_id, c.block_ix, c.sent_ix, c.tok_ix AS x, c.content AS cx, c.lemma AS lx, p.tok_ix AS y, p.content AS cy, p.lemma AS ly FROM h c JOIN h p ON {_SAME('c', 'p')} AND c.head_ix = p.tok_ix AND c.tok_ix <> p.tok_ix), "
+    "bo AS MATERIALIZED (SELECT doc_id, block_ix, sent_ix, x, y, lx, ly, cx, cy FROM ln UNION ALL SELECT doc_id, block_ix, sent_ix, y, x, ly, lx, cy, cx FROM ln), "
+    "wk AS (SELECT doc_id, block_ix, sent_ix, x AS start, lx AS a, y AS at, ly AS b, cy AS done FROM bo WHERE cx "
+    f"UNION SELECT w.doc_id, w.block_ix, w.sent_ix, w.start, w.a, bo.y, bo.ly, bo.cy FROM wk w JOIN bo ON {_SAME('w', 'bo')} AND bo.x = w.at WHERE NOT w.done AND bo.y <> w.start) "
+    "SELECT DISTINCT doc_id, block_ix, sent_ix, a, b FROM wk WHERE done AND a < b"
+)
+def dependency_concept_edges(spark, sf):
+    """Content words of a sentence that its tree joins over other words only."""
+    t = annotated_of(spark, sf)
+    content = F.col("pos").isin("NOUN", "VERB", "ADJ", "ADV", "PRON") & ~F.col("is_stop")
+    rows = t.select(*segment.SENT, "tok_ix", "lemma", content.alias("content"), F.floor(F.col("tok_ix") / 2).cast("int").alias("head_ix"))
+    return comprehension.collapsed_edges(rows, ("block_ix", "sent_ix"))
+
+
 @query()
 def concept_activation(spark, sf):
     """Activation of each document's concepts after its last sentence; tests hold it against a plain version."""
@@ -179,15 +199,29 @@ def regression_search(spark, sf):
     return spark.createDataFrame([(float(g[ridge.regParam]), float(m)) for g, m in zip(grid, found.avgMetrics, strict=True)], "reg_param double, mae double")
 
 
+def standardised(spark, sf) -> DataFrame:
+    """doc_id, x: the feature table as deviations from each feature's mean, over its standard deviation (0 where all are equal)."""
+    f = applications.feature_table(spark, sf)
+    stats = f.agg(*[g(n).alias(f"{k}_{n}") for n in applications.NAMES for k, g in (("m", F.avg), ("s", F.stddev_pop))])
+    z = [F.coalesce(F.when(F.col(f"s_{n}") > 0, (F.col(n) - F.col(f"m_{n}")) / F.col(f"s_{n}")), F.lit(0.0)) for n in applications.NAMES]
+    return f.join(F.broadcast(stats), F.lit(True)).select("doc_id", F.array(*z).alias("x"))  # one row
+
+
 @query()
 def clustered_documents(spark, sf):
-    """Three clusters of documents by standardised features."""
-    from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    """Three clusters of documents by standardised features: Ward over clustering features; a test holds it against the exact algorithm."""
+    return clustering.clusters(standardised(spark, sf), 3, "ward", key="doc_id")
 
-    rows = VectorAssembler(inputCols=applications.NAMES, outputCol="raw").transform(applications.feature_table(spark, sf))
-    rows = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows)
-    return BisectingKMeans(k=3, seed=0).fit(rows).transform(rows).select("doc_id", "prediction")
+
+@query()
+def documents_by_complete_link(spark, sf):
+    return clustering.clusters(standardised(spark, sf), 3, "complete", key="doc_id")
+
+
+@query()
+def documents_by_birch(spark, sf):
+    """Rows within half a standard deviation become one feature first."""
+    return clustering.clusters(standardised(spark, sf), 3, "ward", radius=0.5, key="doc_id")
 
 
 @query("SELECT conv_id, turn + 1 AS child, turn AS parent FROM conversations c WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn + 1 = c.turn)")
