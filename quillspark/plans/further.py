@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import annotate, apps, biblio, components, comprehension, grammar_ro, indices, kernels, latent, measures, segment, wordnet
+from ..operators import annotate, apps, biblio, components, comprehension, grammar_ro, indices, kernel_machines, kernels, latent, measures, segment, subwords, wordnet
 from ..operators import reduce as reducers
 from ..sources.lexicons import as_sql, lexicon
 from ..sources.tables import table
@@ -333,14 +333,29 @@ def document_topics_by_svd(spark, sf):
 
 @query()
 def essay_scores(spark, sf):
-    """Held-out grades by a ridge regression on the feature table, and what is reported of them: at least 0.1, less 7."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+    """Held-out grades by a kernel machine for numbers on the standardised feature table, and what is reported of them: at least 0.1, less 7."""
+    rows = readings.standardised(spark, sf).join(applications.targets(spark, sf), "doc_id").select("doc_id", "x", (F.col("target") + 7).alias("target"))
+    test = apps.hash_split(F.col("doc_id"), 0.2)
+    model = kernel_machines.fit(rows.filter(~test).select("x", F.col("target").alias("y")), kernel_machines.Kernel("rbf", 1 / len(applications.NAMES)), classify=False)
+    return model.predict(rows.filter(test)).select("doc_id", "target", "prediction", F.greatest(F.col("prediction") - 7, F.lit(0.1)).alias("reported"))
+
 
-    rows = VectorAssembler(inputCols=applications.NAMES, outputCol="features").transform(applications.feature_table(spark, sf).join(applications.targets(spark, sf), "doc_id").withColumn("target", F.col("target") + 7))
+@query()
+def quality_by_kernel_machine(spark, sf):
+    """Held-out quality labels by a polynomial kernel machine with balanced classes."""
+    rows = readings.standardised(spark, sf).join(applications.targets(spark, sf), "doc_id")
     test = apps.hash_split(F.col("doc_id"), 0.2)
-    model = LinearRegression(labelCol="target", regParam=0.1, elasticNetParam=0.0).fit(rows.filter(~test))
-    return model.transform(rows.filter(test)).select("doc_id", "target", "prediction", F.greatest(F.col("prediction") - 7, F.lit(0.1)).alias("reported"))
+    weights = {r.target: r.weight for r in apps.class_weights(rows.filter(~test), "target").collect()}  # one row a class
+    model = kernel_machines.fit(rows.filter(~test).select("x", F.col("target").alias("y")), kernel_machines.Kernel("poly", 1 / len(applications.NAMES), degree=3), class_weights=weights)
+    return model.predict(rows.filter(test)).select("doc_id", "target", "prediction")
+
+
+@query()
+def subword_vectors(spark, sf):
+    """Vectors of all lower-cased words of the documents, from their character n-grams."""
+    sentences = segment.sentence_words(docs_of(spark, sf)).select(F.xxhash64(*segment.SENT).alias("key"), F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.rlike(r"\p{L}")).alias("words"))
+    model = subwords.train(sentences, epochs=1)
+    return model.vectors(sentences.select(F.explode("words").alias("word")).distinct())
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, round(avg(n), 6) AS tokens_a_block, round(avg(chars), 6) AS chars FROM (SELECT doc_id, block_ix, count(*) AS n, sum(length(text)) AS chars FROM t GROUP BY ALL) GROUP BY doc_id")

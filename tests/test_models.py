@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import apps, clustering, comprehension, latent
+from quillspark.operators import apps, clustering, comprehension, kernel_machines, latent, subwords
 from quillspark.plans import further, readings
 from quillspark.plans.complexity import annotated_of
 from quillspark.sources.tables import table
@@ -143,3 +143,59 @@ def test_trees_are_collapsed_onto_content_words(spark):
     tokens = spark.createDataFrame(rows, "doc_id bigint, step int, tok_ix int, lemma string, content boolean, head_ix int")
     got = {tuple(r) for r in comprehension.collapsed_edges(tokens).collect()}
     assert got == want and len(want) > 100
+
+
+@pytest.mark.parametrize("classify", [True, False])
+def test_kernel_machines_are_those_of_the_whole_kernel(spark, classify):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(80, 2))
+    y = (np.hypot(*x.T) < 1).astype(float) if classify else np.sin(2 * x[:, 0]) + 0.1 * rng.normal(size=80)
+    kernel, c, epsilon, weight = kernel_machines.Kernel("rbf", 0.7), 2.0, 0.05, {1.0: 1.5}
+    rows = spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(x, y, strict=True)] + [(None, 1.0), ([1.0, None], 0.0), ([1.0, 1.0], None)], "x array<double>, y double")
+    model = kernel_machines.fit(rows, kernel, c, classify, epsilon, weight if classify else None)
+    f = model.decide(x)[:, 0]
+    if classify:
+        sign = np.where(y == 1, 1.0, -1.0)
+        pull = np.array([weight.get(v, 1.0) for v in y]) * sign * np.maximum(1 - sign * f, 0)
+    else:
+        pull = -np.sign(f - y) * np.maximum(np.abs(f - y) - epsilon, 0)
+    # at the optimum the function is what the losses pull, through the whole kernel, and a constant that balances them
+    own = 2 * c * kernel(x, x) @ pull
+    assert np.ptp(f - own) < 1e-5 and abs(pull.sum()) < 1e-5
+    got = [r.prediction for r in model.predict(rows).collect()]
+    assert sum(p is None for p in got) == 2
+    assert np.mean(np.abs(np.array([p for p in got if p is not None][:80]) - y)) < (0.05 if classify else 0.15)
+
+
+def test_kernel_machines_on_rows_they_have_not_seen(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 2))
+    y = np.digitize(np.hypot(*x.T), [0.8, 1.5]).astype(float)
+    frame = lambda a, b: spark.createDataFrame([(v.tolist(), float(t)) for v, t in zip(a, b, strict=True)], "x array<double>, y double")
+    model = kernel_machines.fit(frame(x[:400], y[:400]), kernel_machines.Kernel("rbf", 1.0), 10.0, landmarks=60)
+    assert len(model.landmarks) == 60 and model.classes == (0.0, 1.0, 2.0)
+    got = model.predict(frame(x[400:], y[400:])).collect()
+    assert np.mean([r.prediction == r.y for r in got]) > 0.9
+    poly = kernel_machines.fit(frame(x[:400], (y[:400] > 0) + 5.0), kernel_machines.Kernel("poly", 0.5, 2), 10.0)
+    assert np.mean([r.prediction == (r.y > 0) + 5.0 for r in poly.predict(frame(x[400:], y[400:])).collect()]) > 0.9
+    assert kernel_machines.fit(frame(x[:0], y[:0]), kernel_machines.Kernel()) is None
+
+
+def test_words_of_one_topic_and_one_stem_lie_near(spark):
+    rng = random.Random(1)
+    topics = [["paintings", "painter", "canvas", "brushes", "galleries"], ["engines", "engineer", "pistons", "gearbox", "motors"]]
+    rows = [(i, [rng.choice(topics[i % 2]) for _ in range(8)] + ["the", None]) for i in range(600)]
+    sentences = spark.createDataFrame(rows + [(9000, None), (9001, [])], "key int, words array<string>")
+    model = subwords.train(sentences, epochs=6, partitions=3)
+    again = subwords.train(sentences.repartition(5), epochs=6, partitions=3)
+    assert np.array_equal(model.ngrams, again.ngrams) and np.array_equal(model.contexts, again.contexts)
+    unit = lambda w: model.vector(w) / np.linalg.norm(model.vector(w))
+    near = lambda a, b: float(unit(a) @ unit(b))
+    for t in topics:
+        for w in t:
+            others = sorted((o for o in topics[0] + topics[1] if o != w), key=lambda o: -near(w, o))
+            assert len(set(others[:4]) & set(t)) >= 3
+    assert near("painters", "canvas") > near("painters", "pistons")  # never seen
+    assert near("engineers", "gearbox") > near("engineers", "galleries")
+    got = {r.word: r.vec for r in model.vectors(spark.createDataFrame([("painters",), (None,), ("",), ("日",)], "word string")).collect()}
+    assert np.allclose(got["painters"], model.vector("painters")) and got[None] is None and len(got[""]) == len(got["日"]) == subwords.DIMS
