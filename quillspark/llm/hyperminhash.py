@@ -11,7 +11,7 @@ sets of these sizes. Pairs whose estimate is MARGIN standard deviations below th
 size of the intersection of their full sets.
 
 No group is expanded into all its pairs. First each member of a band's group meets one node of it, that of least
-hash; what is found linked is contracted to components. Only groups that still hold several components are compared further, and
+hash; what is found linked is contracted to components. Only groups of three and more that still hold several components are compared further, and
 only across components: a group's nodes are dealt to tiles, those of its most frequent component to tiles of their own, which never meet each
 other, and each other pair of tiles is a cell. A pair is looked at in the first band that it shares. A cell first tells which of its nodes
 have a partner by the estimate; only those get their full sets, and inside the cell pairs are verified until
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from ..sources.tables import stored
 from .common import map_batches
-from .simhash import shingle_hashes
+from .simhash import LOWER
+from .windows import BASES, mixed, rolling, word_hashes
 
 SHINGLE, THRESHOLD = 4, 80
 #: 2^7 buckets, registers of 6 bits for zeros and 10 of mantissa, 4 registers a band.
@@ -47,8 +48,19 @@ BANDS = BUCKETS // BAND
 MARGIN = 6.0
 #: Nodes, and elements of their sets, after which a group is split into tiles.
 TILE_ROWS, TILE_ELEMENTS = 512, 1 << 20
-#: Values compared at a time inside a cell.
-CHUNK = 1 << 22
+#: Values compared at a time inside a cell, and nodes up to which cells are compared many at a time.
+CHUNK, SMALL_CELL = 1 << 22, 32
+#: Words of 64 bits of the map that tells which texts may be wanted.
+FILTER_WORDS = 1 << 17
+
+
+def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    """Ascending distinct 64-bit hashes of the shingles, made of their words' hashes."""
+    words = text.encode("utf-8").translate(LOWER).split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    x = word_hashes(words)
+    return np.unique(rolling(x, k, BASES[0]) if len(x) >= k else mixed(rolling(x, len(x), BASES[0]) + np.uint64(len(x))))
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -95,7 +107,7 @@ def profiles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, n_shingles, d1 and d2 (a digest of the set), bands (BANDS longs of BAND registers each)."""
 
     def row(doc_id: int, text_hash: int, text: str | None) -> Iterator[tuple]:
-        h = np.unique(shingle_hashes(text, k))
+        h = shingle_set(text, k)
         digest = xxhash.xxh3_128_digest(h.tobytes())
         d1, d2 = np.frombuffer(digest, np.int64).tolist()
         yield doc_id, text_hash, len(h), d1, d2, registers(h).view(np.int64)
@@ -104,15 +116,25 @@ def profiles(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return map_batches(rows, "doc_id bigint, text_hash bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>", lambda: row, lambda _: 8 * BANDS)
 
 
+def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of texts whose hash may be one of wanted's: by a bit map of FILTER_WORDS words, so that few texts are shuffled where few are wanted. The join that follows decides."""
+    word = lambda h: F.pmod(F.shiftright(h, 6), F.lit(FILTER_WORDS)).alias("__word")
+    bit = lambda h: F.expr(f"shiftleft(1L, cast({h} & 63 AS int))")
+    bits = wanted.select(word(F.col("text_hash")), bit("text_hash").alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    met = texts.withColumn("__word", word(F.col("__hash"))).join(F.broadcast(bits), "__word")  # at most FILTER_WORDS rows of two numbers
+    return met.filter(F.col("__bits").bitwiseAND(bit("__hash")) != 0).drop("__word", "__bits")
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """node, hashes (ascending) of wanted (node, doc_id, text_hash), each of which is a row of docs."""
+    """node, hashes (ascending) of wanted (node, doc_id, text_hash, rows), each of which is a row of docs, or several equal ones if rows is above 1."""
 
     def row(node: int, text: str | None) -> Iterator[tuple]:
-        yield node, np.unique(shingle_hashes(text, k)).view(np.int64)
+        yield node, shingle_set(text, k).view(np.int64)
 
     texts = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), F.col("text").cast("string").alias("text"))
-    found = wanted.join(texts, (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return map_batches(found.select("node", "text"), "node bigint, hashes array<bigint>", lambda: row, lambda r: 64 + r[1].nbytes).dropDuplicates(["node"])
+    found = wanted.join(_among(texts, wanted), (F.col("text_hash") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    sets = lambda rows: map_batches(rows.select("node", "text"), "node bigint, hashes array<bigint>", lambda: row, lambda r: 64 + r[1].nbytes)
+    return sets(found.filter("rows = 1")).union(sets(found.filter("rows > 1")).dropDuplicates(["node"]))
 
 
 def _matrix(column: pa.Array, kind: type = np.uint16) -> np.ndarray:
@@ -135,100 +157,111 @@ def plausible_pairs(pairs: DataFrame, threshold: int) -> DataFrame:
 
 
 class Cell:
-    """The nodes of one cell; side tells its two tiles apart (None: one tile, all of whose pairs are compared)."""
+    """The nodes of one cell, or of several; side tells a cell's two tiles apart (-1: one tile, all of whose pairs are compared)."""
 
-    def __init__(self, band: int, node: np.ndarray, side: np.ndarray | None, component: np.ndarray, n: np.ndarray, bands: np.ndarray) -> None:
-        self.band, self.node, self.side, self.component, self.n = band, node, side, component, n
+    def __init__(self, t: pa.Table) -> None:
+        number = lambda c: t.column(c).to_numpy()
+        self.band, self.node, self.component, self.n = number("band"), number("node"), number("component"), number("n")
+        self.side = t.column("side").fill_null(-1).to_numpy()
+        bands = _matrix(t.column("bands").combine_chunks(), np.int64)
         self.bands, self.registers = bands.view(np.uint64), bands.view(np.uint16)
 
-    def candidates(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs in different components, of this band first, that the estimate leaves."""
-        left, right = (np.arange(len(self.node)),) * 2 if self.side is None else (np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1))
-        step = max(1, CHUNK // max(1, len(right) * BUCKETS))
+    def among(self, i: np.ndarray, j: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of index pairs those of different components and tiles, in the first band that they share, that the estimate leaves."""
+        for cut in range(0, len(i), CHUNK // BUCKETS):
+            x, y = i[cut : cut + CHUNK // BUCKETS], j[cut : cut + CHUNK // BUCKETS]
+            apart = (self.component[x] != self.component[y]) & ((self.side[x] < 0) | (self.side[x] != self.side[y]))
+            x, y = x[apart], y[apart]
+            p, q = self.registers[x], self.registers[y]
+            filled, equal = ((p | q) > 0).sum(1), ((p == q) & (p > 0)).sum(1)
+            ok = plausible(equal, filled, self.n[x], self.n[y], threshold)
+            x, y = x[ok], y[ok]
+            same = (self.bands[x] == self.bands[y]) & (self.bands[x] > 0)
+            first = same.argmax(1) == self.band[x]
+            if first.any():
+                yield x[first], y[first]
+
+    def candidates(self, threshold: float, start: int = 0, end: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All of them in a cell (rows start to end), some rows with all others at a time."""
+        index = np.arange(start, len(self.node) if end is None else end)
+        left, right = (index, index) if self.side[start] < 0 else (index[self.side[index] == 0], index[self.side[index] == 1])
+        step = max(1, CHUNK // BUCKETS // max(1, len(right)))
         for at in range(0, len(left), step):
             rows = left[at : at + step]
-            apart = self.component[rows, None] != self.component[None, right]
-            if self.side is None:
-                apart &= rows[:, None] < right[None, :]
-            i, j = np.nonzero(apart)
-            i, j = rows[i], right[j]
-            for cut in range(0, len(i), CHUNK // BUCKETS):
-                x, y = i[cut : cut + CHUNK // BUCKETS], j[cut : cut + CHUNK // BUCKETS]
-                p, q = self.registers[x], self.registers[y]
-                filled, equal = ((p | q) > 0).sum(1), ((p == q) & (p > 0)).sum(1)
-                ok = plausible(equal, filled, self.n[x], self.n[y], threshold)
-                x, y = x[ok], y[ok]
-                same = (self.bands[x] == self.bands[y]) & (self.bands[x] > 0)
-                first = same.argmax(1) == self.band
-                if first.any():
-                    yield x[first], y[first]
-
-
-def cells(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table], Iterator[pa.RecordBatch]], key: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    """Sends the rows of each cell, which lie together, through done."""
-    held: list[pa.Table] = []
-    of = lambda t, i: tuple(t.column(c)[i].as_py() for c in key)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        codes = [t.column(c).combine_chunks().dictionary_encode().indices.to_numpy() if pa.types.is_string(t.schema.field(c).type) else t.column(c).to_numpy() for c in key]
-        cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist(), t.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = t.slice(a, b - a)
-            if held and a == 0 and of(held[-1], 0) == of(part, 0):
-                held.append(part)
-                continue
-            if held:
-                yield from done(pa.concat_tables(held))
-            held = [part]
-    if held:
-        yield from done(pa.concat_tables(held))
+            i, j = np.repeat(rows, len(right)), np.tile(right, len(rows))
+            once = i < j if self.side[start] < 0 else slice(None)
+            yield from self.among(i[once], j[once], threshold)
+
+    def of_many(self, starts: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those of all cells, which lie one after the other; small ones of equal size are compared together."""
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            own = starts[sizes == size]
+            if size > SMALL_CELL:
+                for a in own.tolist():
+                    yield from self.candidates(threshold, a, a + size)
+            else:
+                i, j = np.triu_indices(size, 1)
+                yield from self.among((own[:, None] + i[None]).ravel(), (own[:, None] + j[None]).ravel(), threshold)
 
 
 CELL = ("band", "value", "cell")
 
 
-def _cell(t: pa.Table) -> Cell:
-    side = t.column("side").fill_null(-1).to_numpy()
-    return Cell(t.column("band")[0].as_py(), t.column("node").to_numpy(), None if side[0] < 0 else side, t.column("component").to_numpy(), t.column("n").to_numpy(), _matrix(t.column("bands").combine_chunks(), np.int64))
+def cells(batches: Iterator[pa.RecordBatch], done: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Sends rows sorted by cell through done, whole cells at a time, with the row at which each begins."""
+    held: pa.Table | None = None
+
+    def starts(t: pa.Table) -> np.ndarray:
+        codes = [t.column("band").to_numpy(), t.column("value").to_numpy(), t.column("cell").combine_chunks().dictionary_encode().indices.to_numpy()]
+        return np.append(0, np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1)
+
+    for batch in batches:
+        if batch.num_rows:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            at = starts(t)
+            if at[-1]:
+                yield from done(t.slice(0, int(at[-1])), at[:-1])
+            held = t.slice(int(at[-1]))
+    if held is not None:
+        yield from done(held, np.zeros(1, np.int64))
 
 
 def with_partner(rows: DataFrame, threshold: int) -> DataFrame:
     """band, value, cell, side, node, component of those rows that have a candidate in their cell; one row each, no pairs."""
     columns = ["band", "value", "cell", "side", "node", "component"]
 
-    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if t.num_rows > 1:
-            ours = np.zeros(t.num_rows, bool)
-            for x, y in _cell(t).candidates(threshold / 100):
-                ours[x] = ours[y] = True
-            if ours.any():
-                yield from t.select(columns).filter(pa.array(ours)).to_batches()
+    def found(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ours = np.zeros(t.num_rows, bool)
+        for x, y in Cell(t).of_many(starts, np.diff(np.append(starts, t.num_rows)), threshold / 100):
+            ours[x] = ours[y] = True
+        if ours.any():
+            yield from t.select(columns).filter(pa.array(ours)).combine_chunks().to_batches()
 
     dealt = rows.repartition(*CELL).sortWithinPartitions(*CELL)
-    return dealt.mapInArrow(lambda batches: cells(batches, found, CELL), "band int, value bigint, cell string, side int, node bigint, component bigint")
+    return dealt.mapInArrow(lambda batches: cells(batches, found), "band int, value bigint, cell string, side int, node bigint, component bigint")
 
 
 def verified(rows: DataFrame, threshold: int) -> DataFrame:
     """u, v: a forest of links between the components of each cell of rows, which have their full sets (hashes)."""
 
-    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, us, vs = _cell(t), [], []
+    def found(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cell, us, vs = Cell(t), [], []
         column = t.column("hashes").combine_chunks()
         sets = [column[i].values.to_numpy(zero_copy_only=False).view(np.uint64) for i in range(len(column))]
-        _, root = np.unique(cell.component, return_inverse=True)
-        for xs, ys in cell.candidates(threshold / 100):
-            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-                if root[x] != root[y] and linked(sets[x], sets[y], threshold):
-                    root[root == root[y]] = root[x]
-                    us.append(cell.component[x])
-                    vs.append(cell.component[y])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+            _, root = np.unique(cell.component[a:b], return_inverse=True)
+            for xs, ys in cell.candidates(threshold / 100, a, b):
+                for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
+                    if root[x - a] != root[y - a] and linked(sets[x], sets[y], threshold):
+                        root[root == root[y - a]] = root[x - a]
+                        us.append(cell.component[x])
+                        vs.append(cell.component[y])
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     dealt = rows.repartition(*CELL).sortWithinPartitions(*CELL)
-    return dealt.mapInArrow(lambda batches: cells(batches, found, CELL), "u bigint, v bigint")
+    return dealt.mapInArrow(lambda batches: cells(batches, found), "u bigint, v bigint")
 
 
 def linked(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -243,7 +276,7 @@ def tiled(members: DataFrame) -> DataFrame:
     counts = members.groupBy(*group, "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"))
     tiles = lambda rows, elements: F.greatest(F.ceil(rows / TILE_ROWS), F.ceil(elements / TILE_ELEMENTS), F.lit(1)).cast("int")
     top = F.max(F.struct("rows", "component", "elements")).alias("top")
-    groups = counts.groupBy(*group).agg(top, F.sum("rows").alias("rows"), F.sum("elements").alias("elements"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+    groups = counts.groupBy(*group).agg(top, F.sum("rows").alias("rows"), F.sum("elements").alias("elements"), F.count(F.lit(1)).alias("components")).filter("components > 1 and rows > 2")  # two have met
     groups = groups.select(*group, F.col("top.component").alias("main"), tiles(F.col("top.rows"), F.col("top.elements")).alias("mains"), tiles(F.col("rows") - F.col("top.rows"), F.col("elements") - F.col("top.elements")).alias("others"))
     rows = members.join(stored(groups, "minhash-groups"), group)
     tile = lambda n: F.pmod(F.xxhash64("node", F.lit("tile")), n).cast("int")
@@ -258,26 +291,32 @@ def tiled(members: DataFrame) -> DataFrame:
 
 def set_links(docs: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """node, component (of nodes; the least node of it) of all nodes that are linked with another."""
-    rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "value")).filter("value <> 0")
+    band = ["band", "value"]
+    rows = nodes.select("node", F.posexplode("bands").alias(*band)).filter("value <> 0")
     first = F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("pivot")
-    groups = stored(rows.groupBy("band", "value").agg(first, F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members"), "minhash-bands")
-    members = stored(rows.join(groups, ["band", "value"]), "minhash-members")
-    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
-    sets = stored(full_sets(docs, stored(wanted, "minhash-wanted")), "minhash-sets")
+    groups = stored(rows.groupBy(*band).agg(first, F.count(F.lit(1)).alias("members")).filter("members > 1"), "minhash-bands")
+    members = stored(rows.join(groups, band), "minhash-members")
 
     sketches = nodes.select("node", "n", "bands")
     pairs = members.filter("node <> pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y")).distinct()
-    pairs = stored(pairs.join(sketches.withColumnRenamed("node", "x"), "x"), "minhash-pairs")
-    pairs = plausible_pairs(pairs.join(sketches.toDF("y", "n_", "bands_"), "y"), threshold)
-    pairs = stored(stored(pairs, "minhash-plausible").join(sets.toDF("x", "a"), "x"), "minhash-halves")
+    pairs = pairs.join(sketches.withColumnRenamed("node", "x"), "x").join(sketches.toDF("y", "n_", "bands_"), "y")
+    pairs = stored(plausible_pairs(pairs, threshold), "minhash-plausible")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        wanted = stored(nodes.join(wanted.distinct(), "node", "left_semi").select("node", "doc_id", "text_hash", "rows"), "minhash-wanted")
+        return stored(full_sets(docs, wanted), "minhash-sets")
+
+    sets = sets_of(pairs.select(F.col("x").alias("node")).union(pairs.select("y")))
+    pairs = pairs.join(sets.toDF("x", "a"), "x").join(sets.toDF("y", "b"), "y")
     both = F.size(F.array_intersect("a", "b"))
-    links = pairs.join(sets.toDF("y", "b"), "y").filter(100 * both >= threshold * (F.size("a") + F.size("b") - both)).select(F.col("x").alias("u"), F.col("y").alias("v"))
-    joined = stored(connected_components(links), "minhash-joined")
+    links = pairs.filter(100 * both >= threshold * (F.size("a") + F.size("b") - both)).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    joined = stored(connected_components(stored(links, "minhash-links")), "minhash-joined")
 
-    own = members.select("node", "band", "value", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = members.filter("members > 2").select("node", *band).join(nodes.select("node", "n"), "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     dealt = tiled(stored(own, "minhash-components"))
     left = stored(with_partner(dealt.join(sketches.select("node", "bands"), "node"), threshold), "minhash-partners")
-    more = verified(left.join(stored(sketches.join(sets, "node"), "minhash-sketched-sets"), "node"), threshold)
+    further = sets_of(left.select("node").join(sets.select("node"), "node", "left_anti"))
+    more = verified(left.join(sketches, "node").join(sets.union(further), "node"), threshold)
     return connected_components(more.union(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
@@ -287,8 +326,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     digest = ["d1", "d2"]
     # doc_id and text_hash of one row that has the set: of the smallest id, if any has one
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    nodes = marked.filter("n_shingles > 0").groupBy(*digest).agg(F.min(place).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), *digest, "at.doc_id", "at.text_hash", "n", "bands"), "minhash-nodes")
+    nodes = marked.filter("n_shingles > 0").groupBy(*digest).agg(F.min(place).alias("at"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("rows"))
+    nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), *digest, "at.doc_id", "at.text_hash", "n", "bands", "rows"), "minhash-nodes")
     found = stored(set_links(docs, nodes, threshold), "minhash-found")
     smallest = nodes.join(found, "node").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     of = found.join(smallest, "component").select("node", "smallest")
