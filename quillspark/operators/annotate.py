@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -78,3 +78,15 @@ def penn(tag: Column, lang: Column) -> Column:
             found = F.when(F.startswith(low, F.lit(start)), name).otherwise(found)
         out = F.when(lang == code, found).otherwise(out)
     return out
+
+
+def from_conllu(rows: DataFrame, doc_id: Column) -> DataFrame:
+    """Annotated tokens as indices.annotated_rows and the rules take them, of readers.conllu's rows: each document is one block.
+
+    Gives doc_id, block_ix, sent_ix, tok_ix, text, lemma, pos (upos), tag (xpos), head_ix (a root, or a token without a head, heads itself), dep, ent (null).
+    """
+    w = Window.partitionBy("doc_id").orderBy("sentence")
+    t = rows.withColumn("doc_id", doc_id.cast("bigint")).withColumn("sent_ix", (F.dense_rank().over(w) - 1).cast("int"))
+    head = F.when(F.coalesce("head", F.lit(0)) > 0, F.col("head") - 1).otherwise(F.col("ix") - 1).cast("int")
+    tok = (F.col("ix") - 1).cast("int")
+    return t.select("doc_id", F.lit(0).alias("block_ix"), "sent_ix", tok.alias("tok_ix"), F.col("form").alias("text"), "lemma", F.col("upos").alias("pos"), F.col("xpos").alias("tag"), head.alias("head_ix"), F.col("deprel").alias("dep"), F.lit(None).cast("string").alias("ent"))

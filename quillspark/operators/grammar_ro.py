@@ -194,3 +194,63 @@ def corrected(text: Column, adversative: list[str] = ADVERSATIVE, coordinating:
     for pattern, new in corrections(adversative, coordinating):
         text = F.regexp_replace(text, pattern, new)
     return text
+
+
+# --- subject and predicate ---
+
+
+def _slot(tag: Column, k: int) -> Column:
+    """A slot of a tag (from 0); null where it is - or beyond the end."""
+    return F.nullif(F.nullif(F.substring(tag, k + 1, 1), F.lit("")), F.lit("-"))
+
+
+def _features(tag: Column) -> tuple[Column, Column, Column]:
+    """Person, number and gender by the first letter of a tag: nouns are third persons; what a tag doesn't tell is null."""
+    first = F.substring(tag, 1, 1)
+    person = F.when(first == "N", F.lit("3")).when(first == "P", _slot(tag, 2)).when(first == "V", _slot(tag, 4))
+    number = F.when(first.isin("N", "M"), _slot(tag, 3)).when(first.isin("P", "A"), _slot(tag, 4)).when(first == "V", _slot(tag, 5))
+    gender = F.when(first.isin("N", "M"), _slot(tag, 2)).when(first.isin("P", "A"), _slot(tag, 3))
+    return person, number, gender
+
+
+def subject_disagreements(tokens: DataFrame, collective: DataFrame, jobs: DataFrame) -> DataFrame:
+    """SENT, tok_ix (first subject), kind, at, person, number, gender: verbs, copulas and predicative names that don't agree with their subject.
+
+    tokens: SENT, tok_ix, lemma, tag, dep, head_ix (a table of an annotator). A predicate's subjects are its nsubj nouns and pronouns and those
+    coordinated with them; several are plural, of the lowest person among them, and feminine only if all are. Predicates coordinated with one that has a subject
+    share it unless they have their own. kind tells what is compared: verb (a finite verb, or the auxiliary of a participle), copula (cop, or the auxiliary of one that
+    isn't finite), name (predicative adjective, noun or numeral; number and gender). What a tag leaves open agrees with all. Singular subjects of collective(word) may have a plural verb,
+    and predicative nouns of jobs(word) any gender.
+    """
+    t = tokens.select(*SENT, "tok_ix", F.lower("lemma").alias("lemma"), "tag", "dep", "head_ix")
+    nominal = t.filter(F.col("tag").rlike("^[NP]"))
+    own = nominal.filter(F.col("dep").rlike("^nsubj") & (F.col("head_ix") != F.col("tok_ix"))).select(*SENT, "tok_ix", "lemma", "tag", F.col("head_ix").alias("predicate"))
+    joined = nominal.filter("dep = 'conj'").join(own.select(*SENT, F.col("tok_ix").alias("head_ix"), "predicate"), [*SENT, "head_ix"])
+    person, number, gender = _features(F.col("tag"))
+    parts = own.unionByName(joined.select(*SENT, "tok_ix", "lemma", "tag", "predicate")).select(*SENT, "predicate", "tok_ix", "lemma", person.alias("p"), number.alias("n"), gender.alias("g"))
+    first = F.min(F.struct("tok_ix", "lemma")).alias("first")
+    subject = parts.groupBy(*SENT, "predicate").agg(first, F.count(F.lit(1)).alias("k"), F.min("p").alias("p"), F.min("n").alias("n"), F.max(F.when(F.col("g") != "f", "m").otherwise(F.col("g"))).alias("g"))
+    subject = subject.join(collective.select(F.lower("word").alias("__word"), F.lit(True).alias("collective")).distinct(), F.col("first.lemma") == F.col("__word"), "left")
+    subject = subject.select(*SENT, F.col("predicate").alias("tok_ix"), F.col("first.tok_ix").alias("s_ix"), F.col("p").alias("sp"), F.when(F.col("k") > 1, "p").otherwise(F.col("n")).alias("sn"), F.col("g").alias("sg"), (F.coalesce("collective", F.lit(False)) & (F.col("k") == 1)).alias("sc"))
+    # predicates coordinated with one that has a subject
+    also = t.filter("dep = 'conj'").select(*SENT, F.col("tok_ix").alias("q"), F.col("head_ix").alias("tok_ix")).join(subject, [*SENT, "tok_ix"]).drop("tok_ix").withColumnRenamed("q", "tok_ix")
+    every = subject.unionByName(also.join(subject.select(*SENT, "tok_ix"), [*SENT, "tok_ix"], "left_anti").select(*subject.columns))
+    verbal, finite = F.col("tag").rlike("^V"), _slot(F.col("tag"), 4).isNotNull() | F.col("tag").rlike("^V[ma]i")
+    predicates = every.join(t.select(*SENT, "tok_ix", "lemma", "tag"), [*SENT, "tok_ix"]).withColumn("verbal", verbal)
+    of = predicates.drop("lemma", "tag").withColumnRenamed("tok_ix", "head_ix").join(t.select(*SENT, "tok_ix", "tag", "dep", "head_ix"), [*SENT, "head_ix"])
+    cop = of.filter((~F.col("verbal")) & (F.col("dep") == "cop"))
+    bare = cop.filter(~finite).select(*SENT, "head_ix").distinct()
+    aux = of.filter((F.col("dep") == "aux") & F.col("tag").rlike("^Va") & finite)
+    participles = predicates.filter(F.col("verbal") & ~finite).select(*SENT, F.col("tok_ix").alias("head_ix"))
+    columns = [*SENT, "s_ix", "sp", "sn", "sg", "sc", "tok_ix", "tag"]
+    verbs = predicates.filter(F.col("verbal") & finite).select(*columns, F.lit("verb").alias("kind"))
+    verbs = verbs.unionByName(aux.join(participles, [*SENT, "head_ix"], "left_semi").select(*columns, F.lit("verb").alias("kind")))
+    verbs = verbs.unionByName(cop.filter(finite).select(*columns, F.lit("copula").alias("kind")))
+    verbs = verbs.unionByName(aux.join(bare, [*SENT, "head_ix"], "left_semi").select(*columns, F.lit("copula").alias("kind")))
+    p, n, g = _features(F.col("tag"))
+    no = F.lit(False)
+    differs = lambda a, b: F.coalesce(a != b, no)
+    verbs = verbs.select(*SENT, F.col("s_ix").alias("tok_ix"), "kind", F.col("tok_ix").alias("at"), differs(F.col("sp"), p).alias("person"), (differs(F.col("sn"), n) & ~(F.col("sc") & (n == "p"))).alias("number"), no.alias("gender"))
+    names = predicates.filter(F.col("tag").rlike("^(Af|Nc|M[oc])")).join(jobs.select(F.lower("word").alias("lemma"), F.lit(True).alias("job")).distinct(), "lemma", "left")
+    names = names.select(*SENT, F.col("s_ix").alias("tok_ix"), F.lit("name").alias("kind"), F.col("tok_ix").alias("at"), no.alias("person"), differs(F.col("sn"), n).alias("number"), (differs(F.col("sg"), g) & ~F.coalesce("job", no)).alias("gender"))
+    return verbs.unionByName(names).filter("person or number or gender")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..sources.tables import shared_dir, stored
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -75,15 +78,70 @@ def random_planes(count: int, dims: int, seed: int = 0) -> list[list[float]]:
     return np.round(np.random.default_rng(seed).normal(size=(count, dims)), 6).tolist()
 
 
+class BucketIndex:
+    """Vectors by sign-hash bucket in a table below folder, clustered and sorted by bucket: searches join it where it lies, and add() extends it in place.
+
+    The planes are written beside it, so that another session that opens the folder gets the same buckets.
+    """
+
+    SCHEMA = "id bigint, vec array<double>, __b int"
+
+    def __init__(self, spark: SparkSession, folder: str, planes: list[list[float]], parts: int) -> None:
+        self.spark, self.folder, self.planes, self.parts = spark, folder, planes, parts
+        self.name = f"bucket_index_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}"
+
+    @classmethod
+    def build(cls, rows: DataFrame, planes: list[list[float]], folder: str | None = None, parts: int | None = None) -> BucketIndex:
+        """Of rows (id, vec)."""
+        spark = rows.sparkSession
+        index = cls(spark, folder or f"{shared_dir(spark)}/bucket-index-{uuid.uuid4().hex}", planes, parts or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        spark.createDataFrame([(json.dumps({"planes": planes, "parts": index.parts}),)], "state string").coalesce(1).write.parquet(f"{index.folder}/planes")
+        index._declare()
+        index.add(rows)
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> BucketIndex:
+        state = json.loads(spark.read.parquet(f"{folder}/planes").first().state)
+        index = cls(spark, folder, state["planes"], state["parts"])
+        index._declare()
+        return index
+
+    def _declare(self) -> None:
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({self.SCHEMA}) USING parquet CLUSTERED BY (__b) SORTED BY (__b) INTO {self.parts} BUCKETS LOCATION '{self.folder}/vectors'")
+
+    def add(self, rows: DataFrame) -> None:
+        """More rows (id, vec); those of an id that is there already stand beside it. A null vector is in no bucket."""
+        dealt = rows.filter("vec is not null").select(F.col("id").cast("bigint").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+        dealt = dealt.withColumn("__b", sign_hash(F.col("vec"), self.planes)).repartition(self.parts, "__b")
+        dealt.write.mode("append").bucketBy(self.parts, "__b").sortBy("__b").format("parquet").saveAsTable(self.name)
+        self.spark.catalog.refreshTable(self.name)
+
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def most_similar(self, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
+        """As most_similar() of all rows that are in the index."""
+        return _most_similar(queries, self.rows(), k, self.planes, least)
+
+    def close(self) -> None:
+        """Takes the table out of this session's catalogue; the files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def most_similar(queries: DataFrame, rows: DataFrame, k: int, planes: list[list[float]], least: float | None = None) -> DataFrame:
     """query, rank, id, sim: the k rows nearest by cosine among the buckets nearest to each query's own, above least if given; ties to the smaller id.
 
     Buckets are taken in order of how many bits they are away: the query's own first, further ones only for queries that have fewer than k hits
     so far, down to the last bucket, so that nobody gets fewer hits than there are. queries(query, qvec) are a stated set against rows(id, vec).
     """
+    return _most_similar(queries, rows.withColumn("__b", sign_hash(F.col("vec"), planes)), k, planes, least)
+
+
+def _most_similar(queries: DataFrame, dealt: DataFrame, k: int, planes: list[list[float]], least: float | None) -> DataFrame:
+    """dealt: id, vec and bucket __b."""
     bits = len(planes)
     own = queries.withColumn("__own", sign_hash(F.col("qvec"), planes))
-    dealt = rows.withColumn("__b", sign_hash(F.col("vec"), planes))
     found, open_ = None, own
     for away in range(bits + 1):
         masks = [m for m in range(1 << bits) if bin(m).count("1") == away]

@@ -75,7 +75,10 @@ def sign_hash_buckets(spark, sf):
     return emb(spark, sf).select("vec_id", vectors.sign_hash(F.col("vec"), PLANES).alias("bucket"))
 
 
-@query(f"WITH {EMB}, h AS (SELECT *, ({BUCKET_SQL})::INT AS bucket FROM embeddings_), p AS (SELECT q.vec_id AS query, e.vec_id AS id, bit_count(xor(q.bucket, e.bucket)) AS away, {cos('q.vec', 'e.vec')} AS sim FROM h q, h e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id), x AS (SELECT * FROM p WHERE sim > 0.1), c AS (SELECT query, away, sum(count(*)) OVER (PARTITION BY query ORDER BY away) AS hits FROM x GROUP BY query, away), l AS (SELECT query, coalesce(min(away) FILTER (hits >= 10), 99) AS last FROM c GROUP BY query), r AS (SELECT x.*, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rank FROM x JOIN l USING (query) WHERE away <= last) SELECT query, rank, id, round(sim, 6) AS sim FROM r WHERE rank <= 10")
+NEAREST_IN_BUCKETS = f"WITH {EMB}, h AS (SELECT *, ({BUCKET_SQL})::INT AS bucket FROM embeddings_), p AS (SELECT q.vec_id AS query, e.vec_id AS id, bit_count(xor(q.bucket, e.bucket)) AS away, {cos('q.vec', 'e.vec')} AS sim FROM h q, h e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id), x AS (SELECT * FROM p WHERE sim > 0.1), c AS (SELECT query, away, sum(count(*)) OVER (PARTITION BY query ORDER BY away) AS hits FROM x GROUP BY query, away), l AS (SELECT query, coalesce(min(away) FILTER (hits >= 10), 99) AS last FROM c GROUP BY query), r AS (SELECT x.*, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rank FROM x JOIN l USING (query) WHERE away <= last) SELECT query, rank, id, round(sim, 6) AS sim FROM r WHERE rank <= 10"
+
+
+@query(NEAREST_IN_BUCKETS)
 def nearest_in_buckets(spark, sf):
     """Own bucket first, further ones while a query has fewer than ten hits."""
     e = emb(spark, sf)
@@ -83,6 +86,18 @@ def nearest_in_buckets(spark, sf):
     return vectors.most_similar(q, e.withColumnRenamed("vec_id", "id"), 10, PLANES, 0.1).withColumn("sim", F.round("sim", 6))
 
 
+@query(NEAREST_IN_BUCKETS)
+def nearest_in_stored_buckets(spark, sf):
+    """The same from an index that was built of half of the vectors, opened again and extended by the others."""
+    e = emb(spark, sf).withColumnRenamed("vec_id", "id")
+    first = vectors.BucketIndex.build(e.filter("id % 2 = 0"), PLANES)
+    first.close()
+    index = vectors.BucketIndex.open(spark, first.folder)
+    index.add(e.filter("id % 2 <> 0"))
+    q = e.filter("id % 100 = 0").select(F.col("id").alias("query"), F.col("vec").alias("qvec"))
+    return index.most_similar(q, 10, 0.1).withColumn("sim", F.round("sim", 6))
+
+
 @query(f"WITH {TOKENS}, {WV}, {pooled_sql('d', 'doc_id')} SELECT doc_id, unnest(range(5))::INT AS dim, unnest(vec) AS value FROM d")
 def document_vectors(spark, sf):
     return element_vectors(spark, sf, ["doc_id"]).select("doc_id", F.posexplode("vec").alias("dim", "value"))

@@ -114,7 +114,8 @@ def merged_syllables(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def conllu(spark: SparkSession, path: str) -> DataFrame:
     """sentence, ix, form, lemma, upos, xpos, feats (map), head, deprel; comments and multi-word ranges are left out."""
-    blocks = spark.read.text(path, lineSep="\n\n").select(F.monotonically_increasing_id().alias("sentence"), F.explode(F.split("value", "\n")).alias("line"))
+    sentences = spark.read.text(path, lineSep="\n\n").withColumn("sentence", F.monotonically_increasing_id())  # numbered before they are exploded
+    blocks = sentences.select("sentence", F.explode(F.split("value", "\n")).alias("line"))
     c = F.split("line", "\t")
     rows = blocks.filter(F.col("line").rlike(r"^\d+\t")).select("sentence", c.alias("c"))
     return rows.select("sentence", F.col("c")[0].cast("int").alias("ix"), F.col("c")[1].alias("form"), F.col("c")[2].alias("lemma"), F.col("c")[3].alias("upos"), F.col("c")[4].alias("xpos"), F.when(F.col("c")[5] != "_", F.str_to_map(F.col("c")[5], F.lit(r"\|"), F.lit("="))).alias("feats"), F.expr("try_cast(c[6] AS int)").alias("head"), F.col("c")[7].alias("deprel"))

@@ -45,8 +45,9 @@ def test_against_sql(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SQL and n != "pipeline" and not n.startswith("op")))
-def test_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+def test_gives_rows_without_an_empty_column(spark, sf, name):
+    got = QUERIES[name](spark, sf).toPandas()
+    assert len(got) and not got.isna().all().any()
 
 
 def test_entry(spark):
