@@ -77,3 +77,14 @@ def test_subjects_and_predicates_of_an_annotated_text(spark, tmp_path):
     values = indices.element_values(plan.annotated(spark, indices.annotated_rows(tokens)), [m for m in plan.MEASURES if m.category == "syntax"])
     found = {r["index"]: r.value for r in indices.compute_indices(values, [m for m in plan.MEASURES if m.category == "syntax"]).collect()}
     assert found["Max(Dep_nsubj / Doc)"] == len(GOLD) and found["Max(ParseDepth / Sent)"] == 4  # și, Ion, Ana, frumoase
+
+
+def test_moments_of_pairs_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    rows = [(d, "sent", i, rng.normal(size=3).tolist() if i % 5 else None, rng.normal(size=3).tolist() if i % 4 else [0.0] * 3) for d, n in ((1, 30), (2, 2), (3, 1)) for i in range(n)]
+    rows += [(4, "sent", i, [1.0, 2.0, 3.0], [1.0, 0.0, 0.0]) for i in range(5)]
+    e = spark.createDataFrame(rows, "doc_id bigint, level string, id bigint, m array<double>, k array<double>")
+    by = lambda df: {r.doc_id: (r.pairs, round(r.mean, 7), round(r.deviation, 7)) for r in df.collect()}
+    assert by(cna.pair_moments(e, ["m", "k"], 3)) == by(cna.semantic_statistics(e, ["m", "k"]))
+    pairs = lambda **o: sorted(tuple(r) for r in cna.filtered_pairs(e, ["m", "k"], **o).collect())
+    assert pairs(dims=3) == pairs() and len(pairs()) > 30
