@@ -42,7 +42,7 @@ def keywords(spark, sf):
 
 @query()
 def submodular_summary(spark, sf):
-    """Greedy submodular choice of sentences; tests hold it against a plain version."""
+    """Greedy submodular choice of sentences; a test holds the choice itself against hand-made similarities."""
     return apps.submodular_summary(sentence_nodes(spark, sf).select("doc_id", "place", "vec"))
 
 

@@ -89,7 +89,7 @@ def participant_degrees(spark, sf):
 
 @query()
 def network_analysis(spark, sf):
-    """Betweenness, closeness and eigenvector centrality; tests hold them against plain versions."""
+    """Betweenness, closeness and eigenvector centrality; a test holds them against plain versions."""
     p = posts(spark, sf)
     return rounded(threads.network_analysis(threads.participant_graph(p, edges(p))), "betweenness", "closeness", "eigenvector")
 

@@ -81,7 +81,7 @@ def dependency_concept_edges(spark, sf):
 
 @query()
 def concept_activation(spark, sf):
-    """Activation of each document's concepts after its last sentence; tests hold it against a plain version."""
+    """Activation of each document's concepts after its last sentence; a test holds it against a plain version."""
     return rounded(comprehension.activation(concepts(spark, sf)), "activation")
 
 
@@ -170,7 +170,7 @@ def sentences_of_contributions(spark, sf):
 
 @query()
 def similar_concepts(spark, sf):
-    """Synonyms, hypernyms and nearest words of the fixture hierarchy, as JSON; tests hold it against the tables."""
+    """Synonyms, hypernyms and nearest words of the fixture hierarchy, as JSON."""
     s, h = applications.synsets(spark)
     near = s.select("word", F.reverse("word").alias("other"))
     return wordnet.similar_concepts(s, h, near)

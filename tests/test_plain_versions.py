@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import biblio, cna, comprehension, indices, segment, vectors
+from quillspark.operators import biblio, cna, comprehension, indices, segment, threads, vectors
+from quillspark.plans import community, readings
 
 
 def test_runs_of_blanks_and_letters_cost_no_more_than_their_length(spark):
@@ -78,3 +79,54 @@ def test_further_buckets_until_there_are_enough(spark):
     assert {r["query"] for r in few} == {0, 1, 2, 3} and len(few) == 20
     every = vectors.most_similar(q, df, 1000, vectors.random_planes(3, 4)).collect()
     assert len(every) == 4 * 59
+
+
+def test_activation_spreads_as_a_plain_walk_does(spark, sf):
+    edges = readings.concepts(spark, sf).collect()
+    steps = {}
+    for r in edges:
+        steps.setdefault(r.doc_id, {}).setdefault(r.step, []).append((r.a, r.b))
+    got = {}
+    for r in readings.concept_activation(spark, sf).collect():
+        got.setdefault(r.doc_id, {})[r.lemma] = (r.step, r.activation, r.active)
+    assert set(got) == set(steps)
+    for d, by in sorted(steps.items())[:40]:
+        weight, score = {}, {}
+        for step in sorted(by):
+            for a, b in by[step]:
+                for x, y in ((a, b), (b, a)):
+                    weight[x, y] = weight.get((x, y), 0) + 1
+                    score[x] = score.get(x, 0) + 1
+            out = {n: sum(w for (x, _), w in weight.items() if x == n) for n in score}
+            rank = {n: v / sum(score.values()) for n, v in score.items()}
+            for _ in range(300):
+                rank = {n: 0.15 / len(rank) + 0.85 * sum(rank[x] * w / out[x] for (x, y), w in weight.items() if y == n) for n in rank}
+            score = {n: v / max(rank.values()) for n, v in rank.items()}
+        assert all(got[d][n][0] == max(by) and abs(got[d][n][1] - v) < 0.01 for n, v in score.items()) and set(got[d]) == set(score)
+
+
+def test_centralities_of_conversations(spark, sf):
+    p = community.posts(spark, sf)
+    graphs = {}
+    for r in threads.participant_graph(p, community.edges(p)).collect():
+        graphs.setdefault(r.conv_id, {})[r.u, r.v] = r.weight
+    got = {(r.conv_id, r.user): r for r in community.network_analysis(spark, sf).collect()}
+    seen = 0
+    for c, g in graphs.items():
+        users = sorted({x for e in g for x in e})
+        n = len(users)
+
+        def paths(a, b, g=g, users=users):
+            """All shortest ways from a to b."""
+            ways = [[a]]
+            while ways and not any(w[-1] == b for w in ways):
+                ways = [[*w, v] for w in ways for v in users if (w[-1], v) in g and v not in w]
+            return [w for w in ways if w[-1] == b]
+
+        for u in users:
+            between = sum(sum(u in w[1:-1] for w in ws) / len(ws) for a in users for b in users if a != b and u not in (a, b) and (ws := paths(a, b)))
+            far = [len(paths(a, u)[0]) - 1 for a in users if a != u and paths(a, u)]
+            assert abs(got[c, u].betweenness - (between / ((n - 1) * (n - 2)) if n > 2 else 0)) < 1e-6
+            assert abs(got[c, u].closeness - (len(far) / sum(far) * len(far) / (n - 1) if far else 0)) < 1e-6
+            seen += 1
+    assert seen == len(got) > 30
