@@ -56,22 +56,22 @@ def collapsed_edges(tokens: DataFrame, sentence: tuple[str, ...] = ("step",)) ->
 
 def spread(nodes: list[str], edges: dict[tuple[str, str], float], start: dict[str, float]) -> dict[str, float]:
     """PageRank from the nodes' activation, divided by the greatest."""
-    at = {n: i for i, n in enumerate(nodes)}
-    weight = np.zeros((len(nodes), len(nodes)))
-    for (a, b), w in edges.items():
-        weight[at[a], at[b]] = weight[at[b], at[a]] = w
-    out = weight.sum(1)
-    rank = np.array([max(start.get(n, 0.0), 0.0) for n in nodes])
-    rank = rank / rank.sum() if rank.sum() else np.full(len(nodes), 1 / len(nodes))
+    at, n = {x: i for i, x in enumerate(nodes)}, len(nodes)
+    ends = np.array([(at[a], at[b]) for a, b in edges if a in at and b in at], np.int64).reshape(-1, 2)
+    weight = np.array([w for (a, b), w in edges.items() if a in at and b in at], float)
+    src, dst, weight = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]]), np.concatenate([weight, weight])
+    out = np.bincount(src, weight, n)
+    rank = np.array([max(start.get(x, 0.0), 0.0) for x in nodes])
+    rank = rank / rank.sum() if rank.sum() else np.full(n, 1 / n)
     for _ in range(1000):
         share = np.divide(rank, out, out=np.zeros_like(rank), where=out > 0)
-        new = DAMPING * (weight.T @ share) + (DAMPING * rank[out == 0].sum() + 1 - DAMPING) / len(nodes)
+        new = DAMPING * np.bincount(dst, weight * share[src], n) + (DAMPING * rank[out == 0].sum() + 1 - DAMPING) / n
         done = (np.abs(new - rank) <= TOLERANCE * np.maximum(rank, 1e-12)).all()
         rank = new
         if done:
             break
     top = rank.max()
-    return {n: float(r / top) for n, r in zip(nodes, rank, strict=True)}
+    return {x: float(r / top) for x, r in zip(nodes, rank, strict=True)}
 
 
 def read_document(steps: dict[int, list[tuple[str, str]]], threshold: float, most_active: int) -> list[tuple[int, str, float, bool]]:
