@@ -100,6 +100,17 @@ def test_features_merge_and_stay_few(spark):
         clustering.clusters(rows, 3, "single")
 
 
+def test_clusters_with_partitions_without_rows(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")  # three rounds, most of whose tasks have nothing
+    try:
+        rows = spark.createDataFrame([(i, [float(i // 2), 0.0]) for i in range(4)], "id bigint, x array<double>")
+        for linkage in clustering.LINKAGES:
+            assert {r.id: r.cluster for r in clustering.clusters(rows, 2, linkage).collect()} == {0: 0, 1: 0, 2: 1, 3: 1}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.mark.parametrize(("query", "linkage"), [(readings.clustered_documents, "ward"), (readings.documents_by_complete_link, "complete")])
 def test_clusters_of_documents(spark, sf, query, linkage):
     rows = {r.doc_id: r.x for r in readings.standardised(spark, sf).collect()}
