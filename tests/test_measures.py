@@ -261,3 +261,25 @@ def test_romanian_letters(spark):
 def test_flipped_buckets(spark):
     r = spark.range(1).select(vectors.buckets_near(F.lit(5), 3, 1), F.size(vectors.buckets_near(F.lit(0), 8, 2))).first()
     assert sorted(r[0]) == [1, 4, 5, 7] and r[1] == 1 + 8 + 28
+
+
+def test_values_beyond_limits_without_a_shuffle(spark):
+    rows = [(d, float((d * 7 + i * i) % 11), None if i % 4 == 1 else float(i)) for d in range(6) for i in range(1, 2 + 5 * d)] + [(9, 30.0, None)]
+    v = spark.createDataFrame(rows, "doc_id bigint, x double, y double").repartition(3, "doc_id")
+    long = v.select("doc_id", F.inline(F.array(*[F.struct(F.lit(n).alias("index"), F.col(n).alias("value")) for n in "xy"])))
+    w = apps.fluctuations(long, ["doc_id", "index"])
+    beyond = F.count_if((F.col("value") < F.round("low", 9) - 1e-6) | (F.col("value") > F.round("high", 9) + 1e-6))
+    want = w.groupBy("doc_id", "index").agg(F.count(F.lit(1)).alias("n"), F.first("low"), F.first("high"), beyond)
+    got = apps.beyond_limits(v, ["x", "y"])
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+    assert plan(got) == 1 < plan(want)  # rows are dealt once, by repartition
+
+
+def test_index_fluctuations_deal_documents_once(spark, sf):
+    from quillspark.plans import further
+
+    rows = further.index_fluctuations(spark, sf)
+    rows.collect()
+    final = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning(doc_id") == 1
