@@ -28,3 +28,17 @@ def test_nearest_in_tiles(spark, monkeypatch, least):
         s = sorted((-round(cos(v[i], v[j]), 9), j) for j in range(40) if j != i and (least is None or cos(v[i], v[j]) > least))
         want |= {(i, rank + 1, j) for rank, (_, j) in enumerate(s[:4])}
     assert {(r.query, r["rank"], r.id) for r in df.collect()} == want
+
+
+def test_alliterations_need_no_window(spark, sf):
+    assert "Window" not in plan(entry.queries()["alliterations"](spark, sf))
+
+
+def test_recurring_in_rows_is_recurring(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [str(x) for x in rng.integers(0, 4, n)]) for i, n in enumerate([0, 1, 2, 9, 40])]
+    flat = [(i, j + 1, s) for i, w in rows for j, s in enumerate(w)]
+    got = rhythm.recurring_in(spark.createDataFrame(rows, "id int, symbols array<string>"), ["id"])
+    want = rhythm.recurring(spark.createDataFrame(flat, "id int, place int, symbol string"), ["id"])
+    named = lambda d: sorted((r.id, r.symbol, tuple(r.places)) for r in d.collect())
+    assert named(got) == named(want) and named(got)
