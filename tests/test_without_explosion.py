@@ -42,3 +42,41 @@ def test_recurring_in_rows_is_recurring(spark):
     want = rhythm.recurring(spark.createDataFrame(flat, "id int, place int, symbol string"), ["id"])
     named = lambda d: sorted((r.id, r.symbol, tuple(r.places)) for r in d.collect())
     assert named(got) == named(want) and named(got)
+
+
+def plain_choice(sim, share=0.2, alpha=3.0, weight=5.0, rounds=20):
+    n = len(sim)
+    k, size = max(1, -(-n // 10)), int(share * n)
+    centres = sim[np.linspace(0, n - 1, k).astype(int)].copy()
+    for _ in range(rounds):
+        label = np.array([((centres - row) ** 2).sum(-1).argmin() for row in sim])
+        centres = np.stack([sim[label == c].mean(0) if (label == c).any() else centres[c] for c in range(k)])
+    limit, mean, chosen = alpha / n * sim.sum(1), np.maximum(sim.mean(1), 0), []
+    covered, inside = np.zeros(n), np.zeros(k)
+    while len(chosen) < size:
+        best, gain = -1, -np.inf
+        for j in set(range(n)) - set(chosen):
+            more = inside.copy()
+            more[label[j]] += mean[j]
+            value = np.minimum(covered + sim[:, j], limit).sum() + weight * np.sqrt(more).sum()
+            if value > gain + 1e-12:
+                best, gain = j, value
+        chosen.append(best)
+        covered += sim[:, best]
+        inside[label[best]] += mean[best]
+    return sorted(chosen)
+
+
+def test_submodular_choice_is_the_plain_one_and_quick():
+    import time
+
+    rng = np.random.default_rng(3)
+    for n in (1, 4, 5, 37, 90):
+        x = np.abs(rng.normal(size=(n, 4)))
+        x[n // 2 :] = x[: n - n // 2] if n > 5 else x[n // 2 :]  # equal rows
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert apps.submodular_choice(x @ x.T) == plain_choice(x @ x.T)
+    x = np.abs(rng.normal(size=(700, 5)))
+    began = time.process_time()
+    apps.submodular_choice(x @ x.T / 5)
+    assert time.process_time() - began < 5
