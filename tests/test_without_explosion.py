@@ -80,3 +80,20 @@ def test_submodular_choice_is_the_plain_one_and_quick():
     began = time.process_time()
     apps.submodular_choice(x @ x.T / 5)
     assert time.process_time() - began < 5
+
+
+def test_document_counts_are_not_grouped(spark):
+    docs = spark.createDataFrame([(1, "A b, b.C d...\n\n. \n?!x, x"), (2, ""), (3, None), (4, "...\n !")], "doc_id bigint, text string")
+    out = measures.by_document(docs)
+    assert "Aggregate" not in plan(out) and "Exchange" not in plan(out)
+    s = measures.by_sentence(docs).filter("sent_ix is not null").groupBy("doc_id").agg(*[measures.F.sum(c).alias(c) for c in ("wd", "punct", "commas")], measures.F.count("sent_ix").alias("sentences"))
+    want = s.join(measures.distinct_words(docs, ["doc_id"]), "doc_id")
+    key = ["doc_id", "wd", "punct", "commas", "sentences", "unqwd"]
+    assert sorted(map(tuple, out.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
+
+
+def test_labelled_features_are_read_from_a_table(spark, sf):
+    from quillspark.plans import applications, readings
+
+    for df in (applications.labelled_features(spark, sf), readings.standardised(spark, sf)):
+        assert "regexp_extract_all" not in plan(df)
