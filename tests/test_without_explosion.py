@@ -97,3 +97,32 @@ def test_labelled_features_are_read_from_a_table(spark, sf):
 
     for df in (applications.labelled_features(spark, sf), readings.standardised(spark, sf)):
         assert "regexp_extract_all" not in plan(df)
+
+
+def test_graph_queries_take_texts_apart_once_and_small_documents_share_a_task(spark, sf):
+    queries = entry.queries()
+    for name in ("filtered_graph", "semantic_statistics", "cohesion_graph"):
+        p = plan(queries[name](spark, sf))
+        assert "regexp_extract_all" not in p and "FlatMapGroupsInPandas" not in p and "MapInArrow" in p
+
+
+def test_runs_of_keys_cross_batches():
+    import pyarrow as pa
+
+    from quillspark.operators import cna
+
+    seen = []
+
+    def of_run(t, key):
+        seen.append((t["doc_id"][0].as_py(), t["level"][0].as_py(), key, t["id"].to_pylist()))
+        return {"n": np.array([len(t)])} if len(t) != 3 else None
+
+    rows = [(1, "a", 0, 0, 5), (1, "a", 0, 0, 6), (1, "a", 0, 1, 7), (1, "b", 0, 0, 8), (2, "b", 0, 0, 9), (2, "b", 0, 0, 10), (2, "b", 0, 0, 11), (3, "b", 0, 0, 12)]
+    whole = pa.table(dict(zip(("doc_id", "level", "i", "j", "id"), map(list, zip(*rows, strict=True)), strict=True)))
+    run = cna.in_runs(["doc_id", "level", "i", "j"], ["doc_id", "level", "n"], of_run)
+    for size in (1, 2, 3, 100):
+        seen.clear()
+        out = pa.Table.from_batches(list(run(iter(whole.to_batches(max_chunksize=size))))).to_pylist()
+        assert [x[3] for x in seen] == [[5, 6], [7], [8], [9, 10, 11], [12]]
+        assert [(x["doc_id"], x["level"], x["n"]) for x in out] == [(1, "a", 2), (1, "a", 1), (1, "b", 1), (3, "b", 1)]
+    assert list(run(iter([]))) == []
