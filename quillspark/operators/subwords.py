@@ -61,27 +61,27 @@ class Subwords:
         return words.select(F.col(word).alias("word")).mapInArrow(run, "word string, vec array<double>")
 
 
-def _add_means(table: np.ndarray, at: np.ndarray, change: np.ndarray) -> None:
-    """Adds to each slot the mean of its changes, so that a frequent slot makes no larger step than others."""
-    slots, of = np.unique(at, return_inverse=True)
-    total = np.zeros((len(slots), table.shape[1]))
-    np.add.at(total, of, change)
-    table[slots] += total / np.bincount(of)[:, None]
+def _add_means(table: np.ndarray, at: np.ndarray, change: np.ndarray, times: np.ndarray | None = None) -> None:
+    """Adds to each slot the mean of its changes, so that a frequent slot makes no larger step than others; a change may be the sum of several (times)."""
+    order = np.argsort(at, kind="stable")
+    own = at[order]
+    starts = np.flatnonzero(np.diff(own, prepend=-1))
+    n = np.diff(starts, append=len(own)) if times is None else np.add.reduceat(times[order], starts)
+    table[own[starts]] += np.add.reduceat(change[order], starts) / n[:, None]
 
 
 def _train(sentences: Iterator[list[str]], model: Subwords, window: int, negatives: int, rate: float, seed: int) -> None:
     """One pass in place."""
     slots, rng = len(model.ngrams), np.random.default_rng(seed)
-    known: dict[str, tuple[list[int], int]] = {}
-    centre: list[list[int]] = []
+    known: dict[str, tuple[np.ndarray, int]] = {}
+    centre: list[np.ndarray] = []  # a word and how many of its pairs follow each other: its n-grams are looked up once for them
+    times: list[int] = []
     other: list[int] = []
 
     def step() -> None:
-        owner = np.repeat(np.arange(len(centre)), [len(g) for g in centre])
-        flat, n = np.concatenate(centre), np.bincount(owner, minlength=len(centre))[:, None]
-        h = np.zeros((len(centre), model.ngrams.shape[1]))
-        np.add.at(h, owner, model.ngrams[flat])
-        h /= n
+        sizes = np.fromiter(map(len, centre), np.int64, len(centre))
+        owner, flat, pairs = np.repeat(np.arange(len(centre)), sizes), np.concatenate(centre), np.array(times)
+        h = np.repeat(np.add.reduceat(model.ngrams[flat], np.cumsum(sizes) - sizes) / sizes[:, None], pairs, 0)  # each word has a slot
         right = np.array(other)
         wrong = right[rng.integers(0, len(right), (len(right), negatives))]
         target = np.concatenate([right[:, None], wrong], 1)
@@ -92,8 +92,9 @@ def _train(sentences: Iterator[list[str]], model: Subwords, window: int, negativ
         error[:, 1:][wrong == right[:, None]] = 0  # a negative that is the word itself
         back = (error[..., None] * out).sum(1)
         _add_means(model.contexts, target.ravel(), (error[..., None] * h[:, None]).reshape(target.size, -1))
-        _add_means(model.ngrams, flat, back[owner])
+        _add_means(model.ngrams, flat, np.add.reduceat(back, np.cumsum(pairs) - pairs)[owner], pairs[owner])
         centre.clear()
+        times.clear()
         other.clear()
 
     for words in sentences:
@@ -101,14 +102,21 @@ def _train(sentences: Iterator[list[str]], model: Subwords, window: int, negativ
             known.clear()
         for w in words:
             if w not in known:
-                known[w] = (grams(w, slots), _slot(w, slots))
-        for i, w in enumerate(words):
-            for j in range(max(0, i - window), min(len(words), i + window + 1)):
+                known[w] = (np.array(grams(w, slots)), _slot(w, slots))
+        own = [known[w] for w in words]
+        for i, (g, _) in enumerate(own):
+            new = True
+            for j in range(max(0, i - window), min(len(own), i + window + 1)):
                 if j != i:
-                    centre.append(known[w][0])
-                    other.append(known[words[j]][1])
+                    if new:
+                        centre.append(g)
+                        times.append(0)
+                        new = False
+                    times[-1] += 1
+                    other.append(own[j][1])
                     if len(other) == BATCH:
                         step()
+                        new = True
     if other:
         step()
 
