@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 DIMS, SLOTS, SHORTEST, LONGEST = 16, 1 << 14, 3, 6
 WINDOW, NEGATIVES, EPOCHS, RATE = 3, 5, 3, 0.5
-#: Pairs of words that one step is made of.
-BATCH = 256
+#: Pairs of words that one step is made of; sentences whose new words are hashed side by side.
+BATCH, SENTENCES = 256, 1000
 MASK = (1 << 64) - 1
 
 
@@ -38,6 +39,48 @@ def grams(word: str, slots: int = SLOTS) -> list[int]:
     return sorted({_slot(g, slots) for g in found})
 
 
+def grams_of(words: list[str], slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The slots of grams of each of the words, one word's after the other, how many each has, and the slot of the word without marks; letters of all words are hashed side by side."""
+    if not words:
+        return (np.zeros(0, np.int64),) * 3
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    text = np.frombuffer(("".join(f"<{w}>" for w in words) + "\0" * LONGEST).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    long = (text >= 0x80).astype(int) + (text >= 0x800) + (text >= 0x10000)  # UTF-8 bytes behind the first
+    head = text >> (6 * long).astype(np.uint64) | np.array([0, 0xC0, 0xE0, 0xF0], np.uint64)[long]
+    prime, basis = np.uint64(0x100000001B3), np.uint64(0xCBF29CE484222325)
+
+    def stepped(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        h = (h ^ head[at]) * prime
+        for k in range(3):
+            more = np.flatnonzero(long[at] > k)
+            if not len(more):
+                break
+            letters = at[more]
+            h[more] = (h[more] ^ (text[letters] >> (6 * (long[letters] - k - 1)).astype(np.uint64) & np.uint64(0x3F) | np.uint64(0x80))) * prime
+        return h
+
+    def slot(h: np.ndarray) -> np.ndarray:
+        return (((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)) % np.uint64(slots)).astype(np.int64)
+
+    def whole(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = np.full(len(start), basis)
+        for n in range(int(size.max())):
+            at = np.flatnonzero(size > n)
+            h[at] = stepped(h[at], start[at] + n)
+        return slot(h)
+
+    ends = np.cumsum(size)
+    owner, place = np.repeat(np.arange(len(words)), size), np.arange(ends[-1])
+    left, h, keys = ends[owner] - place, np.full(len(place), basis), []
+    for n in range(1, LONGEST + 1):
+        h = stepped(h, place + n - 1)
+        if n >= SHORTEST:
+            keys.append((owner * slots + slot(h))[left >= n])
+    keys.append(np.arange(len(words)) * slots + whole(ends - size, size))
+    key = np.unique(np.concatenate(keys))
+    return key % slots, np.bincount(key // slots, minlength=len(words)), whole(ends - size + 1, size - 2)
+
+
 @dataclass
 class Subwords:
     """ngrams: slots x dims, the vectors that words are made of; contexts: slots x dims, what they predict."""
@@ -56,7 +99,11 @@ class Subwords:
             own = Subwords(table.value, table.value)
             for b in batches:
                 found = b.column(0).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if w is None else own.vector(w).tolist() for w in found], pa.list_(pa.float64()))], names=["word", "vec"])
+                flat, n, _ = grams_of([w for w in found if w is not None], len(own.ngrams))
+                means = np.add.reduceat(own.ngrams[flat], np.cumsum(n) - n) / n[:, None] if len(n) else own.ngrams[:0]
+                ends = np.cumsum([0, *[w is not None for w in found]]) * means.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(means.ravel()), mask=b.column(0).is_null())
+                yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["word", "vec"])
 
         return words.select(F.col(word).alias("word")).mapInArrow(run, "word string, vec array<double>")
 
@@ -97,13 +144,17 @@ def _train(sentences: Iterator[list[str]], model: Subwords, window: int, negativ
         times.clear()
         other.clear()
 
-    for words in sentences:
-        if len(known) > 50_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = (np.array(grams(w, slots)), _slot(w, slots))
-        own = [known[w] for w in words]
+    def looked_up() -> Iterator[list[tuple[np.ndarray, int]]]:
+        while some := list(islice(sentences, SENTENCES)):
+            if len(known) > 50_000:
+                known.clear()
+            new = list({w for words in some for w in words if w not in known})
+            flat, n, context = grams_of(new, slots)
+            known.update(zip(new, zip(np.split(flat, np.cumsum(n)[:-1]), context.tolist(), strict=False), strict=False))
+            for words in some:
+                yield [known[w] for w in words]
+
+    for own in looked_up():
         for i, (g, _) in enumerate(own):
             new = True
             for j in range(max(0, i - window), min(len(own), i + window + 1)):
